@@ -17,13 +17,14 @@ import json
 import os
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lacuna.llm.common import id_text
 
 #: Words that a task's table holds before it is emptied; bounds memory, not results.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 600_000
 
 #: Fixed value: the vocabulary's word pattern, with its most frequent alternative first (alternatives start differently).
 WORDS = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,7 +47,7 @@ class Codec:
 
     def __init__(self, definition: str):
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         spec = json.loads(definition)
@@ -54,12 +55,15 @@ class Codec:
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.far = regex.compile(WORDS)
         self.bpe = Tokenizer.from_str(definition)
-        self.bpe.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.bpe.model
         byte = _bytes_of_chars()
+        self.chars = {b: c for c, b in byte.items()}
         pieces = dict.fromkeys(range(self.bpe.get_vocab_size(with_added_tokens=True)), b"")
         for token, i in self.bpe.get_vocab(with_added_tokens=True).items():
             pieces[i] = token.encode() if token in self.special else bytes(byte[c] for c in token)
-        self.pieces = [pieces[i] for i in range(len(pieces))]
+        self.block = np.frombuffer(b"".join(pieces[i] for i in range(len(pieces))), np.uint8)
+        self.lengths = np.array([len(pieces[i]) for i in range(len(pieces))])
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.table: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
@@ -76,13 +80,20 @@ class Codec:
         if len(self.table) > TABLE_WORDS:
             self.table.clear()
         table = self.table
-        if fresh := [w for w in dict.fromkeys(words) if w not in table]:
-            for word, e in zip(fresh, self.bpe.encode_batch(fresh, add_special_tokens=False), strict=True):
-                table[word] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+        if fresh := set(words).difference(table):
+            for word in fresh:
+                chars = word.encode().decode("latin-1").translate(self.chars)
+                table[word] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(chars))
         return b"".join(map(table.__getitem__, words))
 
     def text(self, ids: bytes) -> str:
-        return b"".join(map(self.pieces.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
+        """Join ids to the table of pieces: where each piece lies in one block of bytes, and how long it is."""
+        i = np.frombuffer(ids, "<u4")
+        lengths = self.lengths[i]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[i] - (ends - lengths), lengths)
+        at += np.arange(len(at))
+        return self.block[at].tobytes().decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
@@ -114,8 +125,6 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     definition = encoded.sparkSession.sparkContext.broadcast(_definition(tokenizer_path))
 
     def run(batches):
-        import numpy as np
-
         codec = _codec(definition.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([codec.text(np.asarray(x.as_py() or [], "<u4").tobytes()) for x in batch.column("ids")], pa.string())], ["doc_id", "text"])
