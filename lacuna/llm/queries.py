@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, mpeg_audio
+from lacuna.llm import bpe, mpeg_audio, repeats, simhash
 from lacuna.llm.common import table
 
 
@@ -24,8 +25,17 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mpeg_audio": op2_mpeg_audio, "op3_bpe": op3_bpe}
+    return {"op2_mpeg_audio": op2_mpeg_audio, "op3_bpe": op3_bpe, "op6_simhash": op6_simhash, "op10_repeats": op10_repeats}
 
 
 def oracle_sql() -> dict[str, str]:
