@@ -26,7 +26,7 @@ _ODD_LIST = [not (chr(b).isalnum() or b in _PLAIN or b >= 128) for b in range(25
 _ODD = np.array(_ODD_LIST)
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
 _LOWER = np.array([97 <= b <= 122 for b in range(256)])
-LABELLERS = ("symbols", "tails", "capitals", "runs", "top_word", "tables", "shouts", "numbers", "repeats")
+LABELLERS = ("symbols", "tails", "capitals", "runs", "top_word", "tables", "shouts", "triples", "repeats")
 
 
 def votes(text: str) -> list[int]:
@@ -39,6 +39,7 @@ def votes(text: str) -> list[int]:
     odd, upper, lower = counts[_ODD].sum() / size, counts[_UPPER].sum(), counts[_LOWER].sum()
     tails = sum(_ODD_LIST[w[-1]] for w in words) / n if n else 0.0
     runs = sum(map(bytes.__eq__, words, words[1:])) / n if n else 0.0
+    triples = len(set(zip(words, words[1:], words[2:], strict=False))) / (n - 2) if n > 2 else 0.0
     top = 0
     if n:
         seen: dict[bytes, int] = {}
@@ -55,7 +56,7 @@ def votes(text: str) -> list[int]:
         spread(n >= 20 and top > 0.3, n >= 20 and top < 0.15),
         spread(n >= 10 and counts[124] > 0.2 * n, n >= 10 and counts[124] == 0),
         spread(n >= 5 and raw.count(b"!!") > 0.2 * n, n >= 5 and raw.count(b"!!") == 0),
-        spread(counts[48:58].sum() > 0.2 * size, counts[48:58].sum() < 0.05 * size),
+        spread(n >= 20 and triples < 0.8, n >= 20 and triples > 0.95),
         spread(len(lines) >= 5 and len(set(lines)) < 0.5 * len(lines), len(lines) >= 5 and len(set(lines)) > 0.9 * len(lines)),
     ]
 
