@@ -20,6 +20,8 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from lacuna.llm.common import id_text
 
@@ -106,18 +108,22 @@ def _definition(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and its ids. The tokenizer's file is read by the driver and goes to the tasks with the code."""
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *carried: str) -> DataFrame:
+    """doc_id, carried columns and ids. The tokenizer's file is read by the driver and goes to the tasks."""
     definition = docs.sparkSession.sparkContext.broadcast(_definition(tokenizer_path))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carried, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("ids", ArrayType(IntegerType()))])
 
     def run(batches):
         codec = _codec(definition.value)
         for batch in batches:
-            for rows in _slices(batch):
-                blobs = [codec.ids(x.as_py()) for x in rows.column("text")]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([list(memoryview(b).cast("I")) for b in blobs], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for part in _slices(batch):
+                blobs = [codec.ids(x.as_py()) for x in part.column("__text")]
+                ends = np.cumsum([0, *(len(b) // 4 for b in blobs)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [*part.schema.names[:-1], "ids"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:

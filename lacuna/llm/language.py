@@ -141,27 +141,33 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], Net
     return langs, train(x, y, len(langs))
 
 
+def _labelled(model: tuple[list[str], Network] | None, texts) -> tuple[list[str], list[float]]:
+    langs, net = model or ([], None)
+    names, scores = [], []
+    for x in texts:
+        text = x.as_py()
+        if net is None or text is None or not _LETTER.search(text):
+            names.append(UNDETERMINED)
+            scores.append(0.0)
+            continue
+        w = windows(text.encode())
+        total = sum(net.log_probabilities(w[i : i + CHUNK]).sum(0, dtype=np.float64) for i in range(0, len(w), CHUNK)) / len(w)
+        p = np.exp(total - total.max())
+        k = int(p.argmax())
+        names.append(langs[k])
+        scores.append(float(p[k] / p.sum()))
+    return names, scores
+
+
 def predict(docs: DataFrame, model: tuple[list[str], Network] | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        langs, net = shared.value or ([], None)
-        net = net and net.prepared()
+        if shared.value:
+            shared.value[1].prepared()
         for batch in batches:
-            names, scores = [], []
-            for x in batch.column("text"):
-                text = x.as_py()
-                if net is None or text is None or not _LETTER.search(text):
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                w = windows(text.encode())
-                total = sum(net.log_probabilities(w[i : i + CHUNK]).sum(0, dtype=np.float64) for i in range(0, len(w), CHUNK)) / len(w)
-                p = np.exp(total - total.max())
-                k = int(p.argmax())
-                names.append(langs[k])
-                scores.append(float(p[k] / p.sum()))
+            names, scores = _labelled(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text"))
@@ -171,3 +177,26 @@ def predict(docs: DataFrame, model: tuple[list[str], Network] | None) -> DataFra
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the labelled rows of ``docs`` and predict all of its rows."""
     return predict(docs, learn(docs))
+
+
+def identified_documents(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, all columns, that are in a learned language with at least the score. No row moves or is joined.
+
+    If nothing can be learned, rows go on that have a letter.
+    """
+    model = learn(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        if shared.value:
+            shared.value[1].prepared()
+        for batch in batches:
+            texts = batch.column("text")
+            if shared.value:
+                names, scores = _labelled(shared.value, texts)
+                good = [n != UNDETERMINED and s >= least_score for n, s in zip(names, scores, strict=True)]
+            else:
+                good = [x.is_valid and bool(_LETTER.search(x.as_py())) for x in texts]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

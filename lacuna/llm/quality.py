@@ -20,7 +20,8 @@ from lacuna.llm.common import id_text
 
 GRAM_BITS, TRAIN_DOCS, SEED = 15, 6_000, 11
 EM_ROUNDS, EPOCHS, RATE, DECAY = 50, 12, 0.5, 1e-4
-KEEP = 0.5
+#: A text is kept if the scorer says so, or if the labellers that spoke are as sure as this.
+KEEP, SURE = 0.5, 0.9
 _PLAIN = frozenset(b" \t\r\n.,;:'\"()-?")
 _ODD_LIST = [not (chr(b).isalnum() or b in _PLAIN or b >= 128) for b in range(256)]
 _ODD = np.array(_ODD_LIST)
@@ -154,7 +155,7 @@ def classify(docs: DataFrame, train_docs: int = TRAIN_DOCS, keep: float = KEEP)
                 scores.append(1 / (1 + np.exp(-np.clip(float(w @ n) / max(1.0, size) + b, -30, 30))))
             good = posterior(np.array(said).reshape(-1, len(LABELLERS)), prior, labellers)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(["".join("-0+"[v + 1] for v in s) for s in said], pa.string()), pa.array(good, pa.float64()), pa.array(scores, pa.float64()), pa.array([s >= keep for s in scores], pa.bool_())],
+                [batch.column("doc_id"), pa.array(["".join("-0+"[v + 1] for v in s) for s in said], pa.string()), pa.array(good, pa.float64()), pa.array(scores, pa.float64()), pa.array([s >= keep or g >= SURE for s, g in zip(scores, good, strict=True)], pa.bool_())],
                 ["doc_id", "votes", "posterior", "score", "keep"],
             )
 
