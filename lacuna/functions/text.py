@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters that decomposition leaves, in Latin letters.
@@ -81,22 +81,37 @@ def contiguous(needle: list[str], hay: list[str]) -> bool:
     return n > 0 and any(hay[i : i + n] == needle for i in range(len(hay) - n + 1))
 
 
-@F.pandas_udf("string")
-def normalised_udf(s: pd.Series) -> pd.Series:
-    return s.map(normalised)
+def _each(kernel):
+    """A vectorised form of a kernel; null stays null."""
 
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: kernel(x) if x is not None else None)
 
-@F.pandas_udf("string")
-def filename_title_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: filename_title(x) if x is not None else None)
+    return run
 
 
-@F.pandas_udf("base string, versions array<string>, guests string")
-def title_parts_udf(s: pd.Series) -> pd.DataFrame:
+def _title_frame(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([title_parts(x or "") for x in s], columns=["base", "versions", "guests"])
 
 
+def normalised_col(column: str) -> Column:
+    return F.pandas_udf(_each(normalised), "string")(column)
+
+
+def filename_title_col(column: str) -> Column:
+    return F.pandas_udf(_each(filename_title), "string")(column)
+
+
+def title_parts_col(column: str) -> Column:
+    """A struct of base title, versions and guests."""
+
+    def run(s: pd.Series) -> pd.DataFrame:
+        return _title_frame(s)
+
+    return F.pandas_udf(run, "base string, versions array<string>, guests string")(column)
+
+
 def with_key(df: DataFrame, column: str, key: str) -> DataFrame:
     """Normalise each distinct value once and join the keys back."""
-    values = df.select(F.col(column).alias("__value")).filter("__value is not null").distinct().withColumn(key, normalised_udf("__value"))
+    values = df.select(F.col(column).alias("__value")).filter("__value is not null").distinct().withColumn(key, normalised_col("__value"))
     return df.join(values, df[column] == values["__value"], "left").drop("__value")

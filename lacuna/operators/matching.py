@@ -51,12 +51,15 @@ def band_join(df: DataFrame, key: str, id_col: str, day: str, value: str, days:
     return near.select(F.col("k").alias(key), F.col("id").alias("left_id"), F.col("id2").alias("right_id"))
 
 
-@F.pandas_udf("double")
-def matching_blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def matching_blocks_ratio(a: str, b: str) -> Column:
     """Twice the matched characters over all characters, by longest matching blocks; the order of the two counts."""
-    from difflib import SequenceMatcher
 
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(a, b)
 
 
 def similar_names(df: DataFrame, name: str, least: float) -> DataFrame:
