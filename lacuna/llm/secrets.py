@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm.common import id_text
+from lacuna.operators.lineage import written
 
 SCOPE = 300
 #: Kind, role and pattern, base kinds first. Greedy runs of at least n are what passes among maximal runs.
@@ -76,7 +77,7 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id and spans (kind, start, stop), by start and kind, for every row."""
     rows = id_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
-    spans = linked(parts(rows.select("row", "text")), scope)
+    spans = linked(written(parts(rows.select("row", "text"))), scope)
     lists = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop"))).alias("spans"))
     return rows.select("doc_id", "row").join(lists, "row", "left").select("doc_id", F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>")).alias("spans"))
 
