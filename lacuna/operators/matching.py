@@ -86,5 +86,5 @@ def greedy_assignment(offers: DataFrame, left: str, right: str, score: str, roun
         taken = best if taken is None else taken.union(best)
         if best.isEmpty():
             return taken
-        open_ = checkpointed(open_.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti"))
+        open_ = checkpointed(open_.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti").select(left, right, score))
     raise RuntimeError(f"offers are left after {rounds} rounds")
