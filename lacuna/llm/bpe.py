@@ -1,9 +1,14 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Texts are split into words inside Spark tasks; each task keeps a table of the distinct words it has met (word to ids as
-little-endian bytes), encodes a word when it is first met and joins ids back by position by looking each word up in order.
-Decoding joins ids to the vocabulary's table of pieces, a fixed table of 50,257 entries. The word table belongs to a task
-because one table for the corpus needs every word occurrence in a shuffle, there and back; README has the sizes.
+Encoding takes three steps, each a Spark job over tables in shared storage:
+
+1. Texts are split into words. A block of texts (about ``BLOCK_BYTES``, always whole texts) lists its distinct words once,
+   and each of its texts becomes the places of its words in that list.
+2. The distinct words of all blocks are the word table; each is encoded once in the whole run.
+3. The ids are joined to the blocks' lists by word, and to the texts by block and place.
+
+So a shuffle carries a word once for each block that has it, not once for each time it occurs. Decoding joins ids to the
+vocabulary's table of pieces, which is fixed (50,257 entries) and goes to all tasks.
 
 Defined results: null text counts as empty; an empty text has no ids; the string of a special token in a text gives that
 token's id, as the tokenizers library does; repeated rows give repeated rows; other columns are not looked at.
@@ -19,14 +24,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from lacuna.llm.common import id_text
+from lacuna.operators.lineage import written
 
-#: Words that a task's table holds before it is emptied; bounds memory, not results.
-TABLE_WORDS = 600_000
+#: A block is closed at so many bytes of text, or so many distinct words; bounds memory, not results.
+BLOCK_BYTES, BLOCK_WORDS = 4 << 20, 60_000
 
 #: Fixed value: the vocabulary's word pattern, with its most frequent alternative first (alternatives start differently).
 WORDS = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,7 +52,7 @@ def _bytes_of_chars() -> dict[str, int]:
 
 
 class Codec:
-    """Encodes and decodes with a byte-level BPE file of the tokenizers library."""
+    """Splits texts, encodes words and looks up pieces with a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, definition: str):
         import regex
@@ -66,36 +73,34 @@ class Codec:
         self.block = np.frombuffer(b"".join(pieces[i] for i in range(len(pieces))), np.uint8)
         self.lengths = np.array([len(pieces[i]) for i in range(len(pieces))])
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.table: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
-        return (self.far if not text.isascii() and _FAR.search(text) else _NEAR).findall(text)
-
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
+        """The words of a text; a special token is a word of its own, which no other word equals."""
         if self.split_special is not None and any(s in text for s in self.special):
-            return b"".join(self.special[x].to_bytes(4, "little") if x in self.special else self._plain(x) for x in self.split_special.split(text))
+            return [w for x in self.split_special.split(text) for w in ([x] if x in self.special else self._plain(x))]
         return self._plain(text)
 
-    def _plain(self, text: str) -> bytes:
-        words = self.words(text)
-        if len(self.table) > TABLE_WORDS:
-            self.table.clear()
-        table = self.table
-        if fresh := set(words).difference(table):
-            for word in fresh:
-                chars = word.encode().decode("latin-1").translate(self.chars)
-                table[word] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(chars))
-        return b"".join(map(table.__getitem__, words))
-
-    def text(self, ids: bytes) -> str:
+    def _plain(self, text: str) -> list[str]:
+        return (self.far if not text.isascii() and _FAR.search(text) else _NEAR).findall(text)
+
+    def word_ids(self, word: str) -> bytes:
+        """The ids of one word as little-endian unsigned 32-bit integers."""
+        if word in self.special:
+            return self.special[word].to_bytes(4, "little")
+        chars = word.encode().decode("latin-1").translate(self.chars)
+        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(chars))
+
+    def text(self, ids: np.ndarray) -> str:
         """Join ids to the table of pieces: where each piece lies in one block of bytes, and how long it is."""
-        i = np.frombuffer(ids, "<u4")
-        lengths = self.lengths[i]
-        ends = np.cumsum(lengths)
-        at = np.repeat(self.starts[i] - (ends - lengths), lengths)
-        at += np.arange(len(at))
-        return self.block[at].tobytes().decode("utf-8", "replace")
+        return _gathered(self.block, self.starts, self.lengths, ids).tobytes().decode("utf-8", "replace")
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs of values that begin at starts and have these lengths, in the order of which."""
+    n = lengths[which]
+    at = np.repeat(starts[which] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return values[at]
 
 
 @functools.lru_cache(maxsize=2)
@@ -108,24 +113,91 @@ def _definition(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *carried: str) -> DataFrame:
-    """doc_id, carried columns and ids. The tokenizer's file is read by the driver and goes to the tasks."""
-    definition = docs.sparkSession.sparkContext.broadcast(_definition(tokenizer_path))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carried, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    schema = StructType([*rows.schema.fields[:-1], StructField("ids", ArrayType(IntegerType()))])
+def _split(rows: DataFrame, definition) -> DataFrame:
+    """The rows with their block and ``__places`` instead of ``__text``; the first row of a block has its list of words."""
+    kept = rows.columns[:-1]
+    schema = StructType([*rows.schema.fields[:-1], StructField("__block", LongType()), StructField("__places", BinaryType()), StructField("__words", ArrayType(StringType()))])
+
+    def closed(number: int, held: list, table: dict[str, int]) -> pa.RecordBatch:
+        others = pa.Table.from_batches([x for x, _ in held]).combine_chunks()
+        width = _width(len(table))
+        places = [p.astype(width).tobytes() for _, ps in held for p in ps]
+        words = [list(table), *[None] * (len(places) - 1)]
+        new = [pa.array([number] * len(places), pa.int64()), pa.array(places, pa.binary()), pa.array(words, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in others.columns), *new], [*kept, "__block", "__places", "__words"])
 
     def run(batches):
-        codec = _codec(definition.value)
+        codec, number = _codec(definition.value), TaskContext.get().partitionId() << 32
+        held: list = []
+        table: dict[str, int] = {}
+        size = 0
         for batch in batches:
-            for part in _slices(batch):
-                blobs = [codec.ids(x.as_py()) for x in part.column("__text")]
-                ends = np.cumsum([0, *(len(b) // 4 for b in blobs)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [*part.schema.names[:-1], "ids"])
+            texts, first, places = batch.column(batch.num_columns - 1), 0, []
+            for i, x in enumerate(texts):
+                text = x.as_py()
+                words = codec.words(text)
+                places.append(np.fromiter((table.setdefault(w, len(table)) for w in words), np.uint32, len(words)))
+                size += len(text)
+                if size >= BLOCK_BYTES or len(table) >= BLOCK_WORDS:
+                    held.append((batch.slice(first, i + 1 - first).select(kept), places))
+                    yield closed(number, held, table)
+                    held, table, size, first, places, number = [], {}, 0, i + 1, [], number + 1
+            if places:
+                held.append((batch.slice(first).select(kept), places))
+        if held:
+            yield closed(number, held, table)
 
     return rows.mapInArrow(run, schema)
 
 
+def _width(words: int) -> str:
+    return "<u2" if words <= 1 << 16 else "<u4"
+
+
+def _word_table(split: DataFrame, definition) -> DataFrame:
+    """__of (the block), __place and ids of every entry of the blocks' lists; each distinct word is encoded once."""
+    listed = split.filter("__words is not null").select(F.col("__block").alias("__of"), F.posexplode("__words").alias("__place", "word"))
+
+    def run(batches):
+        codec = _codec(definition.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([codec.word_ids(x.as_py()) for x in batch.column("word")], pa.binary())], ["word", "__ids"])
+
+    encoded = listed.select("word").distinct().mapInArrow(run, "word string, __ids binary")
+    return listed.join(encoded, "word").select("__of", "__place", "__ids")
+
+
+def _joined(docs: DataFrame, tokenizer_path: str, carried: list, found: list[StructField], describe) -> DataFrame:
+    """The carried columns and what ``describe`` (codec, list of each text's ids) gives, for every row."""
+    definition = docs.sparkSession.sparkContext.broadcast(_definition(tokenizer_path))
+    rows = docs.select(*carried, F.coalesce(F.col("__text"), F.lit("")).alias("__text"))
+    split = written(_split(rows, definition))
+    schema = StructType([*rows.schema.fields[:-1], *found])
+    names = rows.columns[:-1]
+
+    def run(texts: pa.Table, entries: pa.Table) -> pa.Table:
+        order = np.argsort(entries.column("__place").to_numpy())
+        blobs = entries.column("__ids").take(pa.array(order)).to_pylist()
+        lengths = np.array([len(b) // 4 for b in blobs], np.int64)
+        values, starts = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(lengths) - lengths
+        places = (np.frombuffer(p, _width(len(blobs))) for p in texts.column("__places").to_pylist())
+        ids = [_gathered(values, starts, lengths, p) for p in places]
+        return pa.Table.from_arrays([*(texts.column(c) for c in names), *describe(_codec(definition.value), ids)], [*names, *(f.name for f in found)])
+
+    return split.drop("__words").groupBy("__block").cogroup(_word_table(split, definition).groupBy("__of")).applyInArrow(run, schema)
+
+
+def _id_lists(codec: Codec, ids: list[np.ndarray]) -> list[pa.Array]:
+    ends = np.cumsum([0, *map(len, ids)])
+    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.array([], np.uint32), *ids]).astype(np.int32)))]
+
+
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *carried: str) -> DataFrame:
+    """doc_id, carried columns and ids. The tokenizer's file is read by the driver and goes to the tasks."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carried, F.col(text_col).alias("__text"))
+    return _joined(rows, tokenizer_path, ["doc_id", *carried], [StructField("ids", ArrayType(IntegerType()))], _id_lists)
+
+
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id and the text of its ids (null: empty)."""
     definition = encoded.sparkSession.sparkContext.broadcast(_definition(tokenizer_path))
@@ -133,28 +205,18 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches):
         codec = _codec(definition.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([codec.text(np.asarray(x.as_py() or [], "<u4").tobytes()) for x in batch.column("ids")], pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([codec.text(np.asarray(x.as_py() or [], np.int64)) for x in batch.column("ids")], pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def _slices(batch, rows: int = 256):
-    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+def _digests(codec: Codec, ids: list[np.ndarray]) -> list[pa.Array]:
+    told = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
+    texts = [hashlib.sha256(codec.text(x).encode()).hexdigest() for x in ids]
+    return [pa.array([len(x) for x in ids], pa.int64()), pa.array(told, pa.string()), pa.array(texts, pa.string())]
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Per row: number of ids, digest of the ids, digest of the text decoded from them."""
-    definition = docs.sparkSession.sparkContext.broadcast(_definition(tokenizer_path))
-
-    def run(batches):
-        codec = _codec(definition.value)
-        for batch in batches:
-            n, ids, texts = [], [], []
-            for x in batch.column("text"):
-                blob = codec.ids(x.as_py())
-                n.append(len(blob) // 4)
-                ids.append(hashlib.sha256(blob).hexdigest())
-                texts.append(hashlib.sha256(codec.text(blob).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    found = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+    return _joined(id_text(docs).withColumnRenamed("text", "__text"), tokenizer_path, ["doc_id"], found, _digests)
