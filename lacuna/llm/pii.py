@@ -178,7 +178,7 @@ def discovered(docs: DataFrame, rounds: int = ROUNDS, least_pattern: float = LEA
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, row, text and spans (kind number, start, stop) by kind and start, for every row."""
+    """doc_id, row, base spans and all spans (kind number, start, stop) by kind and start, for every row."""
     rows = id_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
     more = discovered(rows).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("more"))
 

@@ -1,7 +1,7 @@
 """Exact top-k search by inner product: a ball tree with branch and bound for each shard.
 
 Vectors are dealt to shards of bounded size by a hash of vec_id, queries to blocks of bounded size; a task has one shard
-and one block. It builds a ball tree of the shard and takes the block down the tree, leaving out a node for those queries
+and one block. It builds a ball tree of the shard and takes the block down the tree, nodes with larger bounds first, leaving out a node for those queries
 whose k-th score is above its bound (centre's product plus radius times the query's length). First each query searches its
 own shard; the k-th score found there goes with it to all other shards. What the shards found is ranked at the end.
 
@@ -48,6 +48,10 @@ class BallTree:
                 order[lo:hi] = order[lo:hi][np.argsort(ids[order[lo:hi]])]
         self.ids, self.vectors = ids[order], vectors[order]
 
+    def _bounds(self, at: int, queries: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """No vector of the node has a larger product with the query."""
+        return queries @ self.nodes[at]["centre"] + length * self.nodes[at]["radius"]
+
     def search(self, own: np.ndarray, queries: np.ndarray, floor: np.ndarray, floor_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Scores and ids of the best k for each query that beat its floor (a score, and the id that ties must be under)."""
         m = len(queries)
@@ -57,7 +61,7 @@ class BallTree:
         while stack:
             at, q = stack.pop()
             node = self.nodes[at]
-            bound = queries[q] @ node["centre"] + length[q] * node["radius"]
+            bound = self._bounds(at, queries[q], length[q])
             bound += 1e-6 + 1e-9 * np.abs(bound)
             better = score[q, -1] > floor[q]
             limit = np.where(better, score[q, -1], floor[q])
@@ -67,7 +71,7 @@ class BallTree:
             if not len(q):
                 continue
             if node["kids"]:
-                stack += [(kid, q) for kid in sorted(node["kids"], key=lambda kid: float((queries[q] @ self.nodes[kid]["centre"]).sum()))]
+                stack += [(kid, q) for kid in sorted(node["kids"], key=lambda kid: self._bounds(kid, queries[q], length[q]).sum())]
                 continue
             hi = min(node["hi"], node["lo"] + k + 1) if node["same"] else node["hi"]
             ids = self.ids[node["lo"] : hi]
