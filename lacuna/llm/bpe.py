@@ -1,11 +1,14 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Encoding takes three steps, each a Spark job over tables in shared storage:
+Encoding takes three steps in Spark:
 
 1. Texts are split into words. A block of texts (about ``BLOCK_BYTES``, always whole texts) lists its distinct words once,
    and each of its texts becomes the places of its words in that list.
-2. The distinct words of all blocks are the word table; each is encoded once in the whole run.
-3. The ids are joined to the blocks' lists by word, and to the texts by block and place.
+2. The lists of all blocks are dealt and sorted by word: the word table, in which each distinct word is encoded once.
+3. The ids go back to the blocks, and to the texts by block and place.
+
+Lists and places come from two readings of the rows, which must give them in one order, as tables of files do; a block is
+named by its words, so that rows in another order fail and never get wrong ids.
 
 So a shuffle carries a word once for each block that has it, not once for each time it occurs. Decoding joins ids to the
 vocabulary's table of pieces, which is fixed (50,257 entries) and goes to all tasks.
@@ -30,10 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from lacuna.llm.common import id_text
-from lacuna.operators.lineage import written
 
 #: A block is closed at so many bytes of text, or so many distinct words; bounds memory, not results.
 BLOCK_BYTES, BLOCK_WORDS = 4 << 20, 60_000
+#: Entries of a list that leave a task at once.
+LISTED = 10_000
 
 #: Fixed value: the vocabulary's word pattern, with its most frequent alternative first (alternatives start differently).
 WORDS = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -83,12 +87,11 @@ class Codec:
     def _plain(self, text: str) -> list[str]:
         return (self.far if not text.isascii() and _FAR.search(text) else _NEAR).findall(text)
 
-    def word_ids(self, word: str) -> bytes:
-        """The ids of one word as little-endian unsigned 32-bit integers."""
+    def word_ids(self, word: str) -> list[int]:
         if word in self.special:
-            return self.special[word].to_bytes(4, "little")
+            return [self.special[word]]
         chars = word.encode().decode("latin-1").translate(self.chars)
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(chars))
+        return [t.id for t in self.model.tokenize(chars)]
 
     def text(self, ids: np.ndarray) -> str:
         """Join ids to the table of pieces: where each piece lies in one block of bytes, and how long it is."""
@@ -113,78 +116,97 @@ def _definition(path: str) -> str:
         return f.read()
 
 
-def _split(rows: DataFrame, definition) -> DataFrame:
-    """The rows with their block and ``__places`` instead of ``__text``; the first row of a block has its list of words."""
+def _blocks(batches, codec: Codec):
+    """(id, words, [(first columns of a batch's slice, places of the words of each of its texts)]) of each block of texts."""
+    part, number = TaskContext.get().partitionId(), 0
+    held, table, size = [], {}, 0
+
+    def closed():
+        words = list(table)
+        told = hashlib.blake2b(f"{part}:{number}:{len(words)}".encode(), digest_size=8)
+        told.update("\0".join(words).encode())
+        return int.from_bytes(told.digest(), "little", signed=True), words, held
+
+    for batch in batches:
+        first, places = 0, []
+        for i, x in enumerate(batch.column(batch.num_columns - 1)):
+            text = x.as_py()
+            words = codec.words(text)
+            places.append(np.fromiter((table.setdefault(w, len(table)) for w in words), np.uint32, len(words)))
+            size += len(text)
+            if size >= BLOCK_BYTES or len(table) >= BLOCK_WORDS:
+                held.append((batch.slice(first, i + 1 - first), places))
+                yield closed()
+                held, table, size, first, places, number = [], {}, 0, i + 1, [], number + 1
+        if places:
+            held.append((batch.slice(first), places))
+    if held:
+        yield closed()
+
+
+def _width(values: int) -> str:
+    return "<u2" if values <= 1 << 16 else "<u4"
+
+
+def _placed(rows: DataFrame, definition) -> DataFrame:
+    """The rows with their block and the places of their words in its list instead of their text."""
     kept = rows.columns[:-1]
-    schema = StructType([*rows.schema.fields[:-1], StructField("__block", LongType()), StructField("__places", BinaryType()), StructField("__words", ArrayType(StringType()))])
-
-    def closed(number: int, held: list, table: dict[str, int]) -> pa.RecordBatch:
-        others = pa.Table.from_batches([x for x, _ in held]).combine_chunks()
-        width = _width(len(table))
-        places = [p.astype(width).tobytes() for _, ps in held for p in ps]
-        words = [list(table), *[None] * (len(places) - 1)]
-        new = [pa.array([number] * len(places), pa.int64()), pa.array(places, pa.binary()), pa.array(words, pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in others.columns), *new], [*kept, "__block", "__places", "__words"])
+    schema = StructType([*rows.schema.fields[:-1], StructField("__block", LongType()), StructField("__places", BinaryType())])
 
     def run(batches):
-        codec, number = _codec(definition.value), TaskContext.get().partitionId() << 32
-        held: list = []
-        table: dict[str, int] = {}
-        size = 0
-        for batch in batches:
-            texts, first, places = batch.column(batch.num_columns - 1), 0, []
-            for i, x in enumerate(texts):
-                text = x.as_py()
-                words = codec.words(text)
-                places.append(np.fromiter((table.setdefault(w, len(table)) for w in words), np.uint32, len(words)))
-                size += len(text)
-                if size >= BLOCK_BYTES or len(table) >= BLOCK_WORDS:
-                    held.append((batch.slice(first, i + 1 - first).select(kept), places))
-                    yield closed(number, held, table)
-                    held, table, size, first, places, number = [], {}, 0, i + 1, [], number + 1
-            if places:
-                held.append((batch.slice(first).select(kept), places))
-        if held:
-            yield closed(number, held, table)
+        for block, words, held in _blocks(batches, _codec(definition.value)):
+            for batch, places in held:
+                coded = pa.array([p.astype(_width(len(words))).tobytes() for p in places], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([block] * len(places), pa.int64()), coded], [*kept, "__block", "__places"])
 
     return rows.mapInArrow(run, schema)
 
 
-def _width(words: int) -> str:
-    return "<u2" if words <= 1 << 16 else "<u4"
+def _word_table(rows: DataFrame, definition) -> DataFrame:
+    """__of (the block), __place and ids of every entry of the blocks' lists. Equal words lie together, and the first is encoded."""
 
+    def listed(batches):
+        for block, words, _ in _blocks(batches, _codec(definition.value)):
+            for i in range(0, len(words), LISTED):
+                n = len(words[i : i + LISTED])
+                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(i, i + n), pa.int32()), pa.array(words[i : i + n], pa.string())], ["__of", "__place", "word"])
 
-def _word_table(split: DataFrame, definition) -> DataFrame:
-    """__of (the block), __place and ids of every entry of the blocks' lists; each distinct word is encoded once."""
-    listed = split.filter("__words is not null").select(F.col("__block").alias("__of"), F.posexplode("__words").alias("__place", "word"))
-
-    def run(batches):
+    def encoded(batches):
         codec = _codec(definition.value)
+        width, word, ids = _width(len(codec.lengths)), None, b""
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([codec.word_ids(x.as_py()) for x in batch.column("word")], pa.binary())], ["word", "__ids"])
+            found = []
+            for x in batch.column("word"):
+                if (new := x.as_py()) != word:
+                    word, ids = new, np.array(codec.word_ids(new), width).tobytes()
+                found.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("__of"), batch.column("__place"), pa.array(found, pa.binary())], ["__of", "__place", "__ids"])
 
-    encoded = listed.select("word").distinct().mapInArrow(run, "word string, __ids binary")
-    return listed.join(encoded, "word").select("__of", "__place", "__ids")
+    words = rows.select("__text").mapInArrow(listed, "__of long, __place int, word string")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encoded, "__of long, __place int, __ids binary")
 
 
 def _joined(docs: DataFrame, tokenizer_path: str, carried: list, found: list[StructField], describe) -> DataFrame:
     """The carried columns and what ``describe`` (codec, list of each text's ids) gives, for every row."""
     definition = docs.sparkSession.sparkContext.broadcast(_definition(tokenizer_path))
     rows = docs.select(*carried, F.coalesce(F.col("__text"), F.lit("")).alias("__text"))
-    split = written(_split(rows, definition))
     schema = StructType([*rows.schema.fields[:-1], *found])
     names = rows.columns[:-1]
 
     def run(texts: pa.Table, entries: pa.Table) -> pa.Table:
-        order = np.argsort(entries.column("__place").to_numpy())
+        codec = _codec(definition.value)
+        width = np.dtype(_width(len(codec.lengths)))
+        place, order = np.unique(entries.column("__place").to_numpy(), return_index=True)
         blobs = entries.column("__ids").take(pa.array(order)).to_pylist()
-        lengths = np.array([len(b) // 4 for b in blobs], np.int64)
-        values, starts = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(lengths) - lengths
-        places = (np.frombuffer(p, _width(len(blobs))) for p in texts.column("__places").to_pylist())
+        lengths = np.array([len(b) // width.itemsize for b in blobs], np.int64)
+        values, starts = np.frombuffer(b"".join(blobs), width), np.cumsum(lengths) - lengths
+        places = [np.frombuffer(p, _width(len(blobs))) for p in texts.column("__places").to_pylist()]
+        if len(places) and len(place) != max((int(p.max()) + 1 for p in places if len(p)), default=0):
+            raise RuntimeError("the rows came in another order when they were read again; write them to a table first")
         ids = [_gathered(values, starts, lengths, p) for p in places]
-        return pa.Table.from_arrays([*(texts.column(c) for c in names), *describe(_codec(definition.value), ids)], [*names, *(f.name for f in found)])
+        return pa.Table.from_arrays([*(texts.column(c) for c in names), *describe(codec, ids)], [*names, *(f.name for f in found)])
 
-    return split.drop("__words").groupBy("__block").cogroup(_word_table(split, definition).groupBy("__of")).applyInArrow(run, schema)
+    return _placed(rows, definition).groupBy("__block").cogroup(_word_table(rows, definition).groupBy("__of")).applyInArrow(run, schema)
 
 
 def _id_lists(codec: Codec, ids: list[np.ndarray]) -> list[pa.Array]:
