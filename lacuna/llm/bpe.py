@@ -35,7 +35,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 from lacuna.llm.common import id_text
 
 #: A block is closed at so many bytes of text, or so many distinct words; bounds memory, not results.
-BLOCK_BYTES, BLOCK_WORDS = 4 << 20, 60_000
+BLOCK_BYTES, BLOCK_WORDS = 32 << 20, 1_000_000
 #: Entries of a list that leave a task at once.
 LISTED = 10_000
 
@@ -144,6 +144,15 @@ def _blocks(batches, codec: Codec):
         yield closed()
 
 
+def _planes(places: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes and so on: places are small numbers, so the later planes are mostly 0."""
+    return places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _of_planes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 def _width(values: int) -> str:
     return "<u2" if values <= 1 << 16 else "<u4"
 
@@ -154,9 +163,9 @@ def _placed(rows: DataFrame, definition) -> DataFrame:
     schema = StructType([*rows.schema.fields[:-1], StructField("__block", LongType()), StructField("__places", BinaryType())])
 
     def run(batches):
-        for block, words, held in _blocks(batches, _codec(definition.value)):
+        for block, _, held in _blocks(batches, _codec(definition.value)):
             for batch, places in held:
-                coded = pa.array([p.astype(_width(len(words))).tobytes() for p in places], pa.binary())
+                coded = pa.array([_planes(p) for p in places], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([block] * len(places), pa.int64()), coded], [*kept, "__block", "__places"])
 
     return rows.mapInArrow(run, schema)
@@ -200,7 +209,7 @@ def _joined(docs: DataFrame, tokenizer_path: str, carried: list, found: list[Str
         blobs = entries.column("__ids").take(pa.array(order)).to_pylist()
         lengths = np.array([len(b) // width.itemsize for b in blobs], np.int64)
         values, starts = np.frombuffer(b"".join(blobs), width), np.cumsum(lengths) - lengths
-        places = [np.frombuffer(p, _width(len(blobs))) for p in texts.column("__places").to_pylist()]
+        places = [_of_planes(p) for p in texts.column("__places").to_pylist()]
         if len(places) and len(place) != max((int(p.max()) + 1 for p in places if len(p)), default=0):
             raise RuntimeError("the rows came in another order when they were read again; write them to a table first")
         ids = [_gathered(values, starts, lengths, p) for p in places]
