@@ -4,8 +4,10 @@ Encoding takes three steps in Spark:
 
 1. Texts are split into words. A block of texts (about ``BLOCK_BYTES``, always whole texts) lists its distinct words once,
    and each of its texts becomes the places of its words in that list.
-2. The lists of all blocks are dealt and sorted by word: the word table, in which each distinct word is encoded once.
-3. The ids go back to the blocks, and to the texts by block and place.
+2. A list is cut into packs by a hash of the word, and packs of one hash bucket are dealt to one task: the word table, in
+   which each distinct word is encoded once. A task remembers up to ``KNOWN`` words; beyond that it starts anew, so that a
+   word may be encoded again, with the same ids.
+3. The ids go back to the blocks in packs, and to the texts by block and place.
 
 Lists and places come from two readings of the rows, which must give them in one order, as tables of files do; a block is
 named by its words, so that rows in another order fail and never get wrong ids.
@@ -24,6 +26,7 @@ import hashlib
 import json
 import os
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,10 @@ from lacuna.llm.common import id_text
 
 #: A block is closed at so many bytes of text, or so many distinct words; bounds memory, not results.
 BLOCK_BYTES, BLOCK_WORDS = 32 << 20, 1_000_000
-#: Entries of a list that leave a task at once.
-LISTED = 10_000
+#: Words whose ids a task remembers; bounds memory, not results.
+KNOWN = 2_000_000
+#: Packs that leave a task at once.
+LISTED = 64
 
 #: Fixed value: the vocabulary's word pattern, with its most frequent alternative first (alternatives start differently).
 WORDS = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -153,8 +158,33 @@ def _of_planes(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-def _width(values: int) -> str:
-    return "<u2" if values <= 1 << 16 else "<u4"
+@functools.lru_cache(maxsize=1)
+def _zstd():
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
+def _pressed(*parts: bytes) -> bytes:
+    """The parts and their lengths, compressed."""
+    sizes = np.array([len(parts), *map(len, parts)], "<u4")
+    return _zstd()[0].compress(b"".join((sizes.tobytes(), *parts)))
+
+
+def _parts(raw: bytes) -> list[bytes]:
+    data = _zstd()[1].decompress(raw)
+    sizes = np.frombuffer(data, "<u4", int.from_bytes(data[:4], "little"), 4)
+    ends = np.cumsum(sizes, dtype=np.int64) + 4 * (len(sizes) + 1)
+    return [data[e - n : e] for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+
+
+def _packs(words: list[str], buckets: int):
+    """(bucket, places of its words in the list, the words in UTF-8) for each hash bucket that has words."""
+    raw = [w.encode() for w in words]
+    bucket = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)) % np.uint32(buckets)
+    order = np.argsort(bucket, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(raw) else ():
+        yield int(bucket[places[0]]), places, [raw[i] for i in places.tolist()]
 
 
 def _placed(rows: DataFrame, definition) -> DataFrame:
@@ -165,34 +195,53 @@ def _placed(rows: DataFrame, definition) -> DataFrame:
     def run(batches):
         for block, _, held in _blocks(batches, _codec(definition.value)):
             for batch, places in held:
-                coded = pa.array([_planes(p) for p in places], pa.binary())
+                coded = pa.array([_pressed(_planes(p)) for p in places], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([block] * len(places), pa.int64()), coded], [*kept, "__block", "__places"])
 
     return rows.mapInArrow(run, schema)
 
 
 def _word_table(rows: DataFrame, definition) -> DataFrame:
-    """__of (the block), __place and ids of every entry of the blocks' lists. Equal words lie together, and the first is encoded."""
+    """__of (the block) and __pack (places in its list, numbers of ids, ids) for every pack of the blocks' lists."""
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def listed(batches):
+        def told(packs):
+            columns = [pa.array(c, k) for c, k in zip(zip(*packs, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)]
+            return pa.RecordBatch.from_arrays(columns, ["__of", "__bucket", "__pack"])
+
         for block, words, _ in _blocks(batches, _codec(definition.value)):
-            for i in range(0, len(words), LISTED):
-                n = len(words[i : i + LISTED])
-                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(i, i + n), pa.int32()), pa.array(words[i : i + n], pa.string())], ["__of", "__place", "word"])
+            packs = []
+            for bucket, places, raw in _packs(words, buckets):
+                steps, lengths = np.diff(places, prepend=0), np.array([len(w) for w in raw])
+                packs.append((block, bucket, _pressed(_planes(steps), _planes(lengths), b"".join(raw))))
+                if len(packs) == LISTED:
+                    yield told(packs)
+                    packs = []
+            if packs:
+                yield told(packs)
 
     def encoded(batches):
-        codec = _codec(definition.value)
-        width, word, ids = _width(len(codec.lengths)), None, b""
+        codec, known = _codec(definition.value), {}
         for batch in batches:
             found = []
-            for x in batch.column("word"):
-                if (new := x.as_py()) != word:
-                    word, ids = new, np.array(codec.word_ids(new), width).tobytes()
-                found.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("__of"), batch.column("__place"), pa.array(found, pa.binary())], ["__of", "__place", "__ids"])
-
-    words = rows.select("__text").mapInArrow(listed, "__of long, __place int, word string")
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encoded, "__of long, __place int, __ids binary")
+            for x in batch.column("__pack"):
+                steps, lengths, raw = _parts(x.as_py())
+                ends = np.cumsum(_of_planes(lengths), dtype=np.int64).tolist()
+                ids = []
+                for a, b in zip([0, *ends], ends, strict=False):
+                    word = raw[a:b]
+                    if (got := known.get(word)) is None:
+                        if len(known) >= KNOWN:
+                            known.clear()
+                        got = known[word] = codec.word_ids(word.decode())
+                    ids.append(got)
+                flat = np.array([i for x in ids for i in x], np.uint32)
+                found.append(_pressed(steps, _planes(np.array([len(x) for x in ids])), _planes(flat)))
+            yield pa.RecordBatch.from_arrays([batch.column("__of"), pa.array(found, pa.binary())], ["__of", "__pack"])
+
+    packs = rows.select("__text").mapInArrow(listed, "__of long, __bucket int, __pack binary")
+    return packs.repartition("__bucket").select("__of", "__pack").mapInArrow(encoded, "__of long, __pack binary")
 
 
 def _joined(docs: DataFrame, tokenizer_path: str, carried: list, found: list[StructField], describe) -> DataFrame:
@@ -204,12 +253,13 @@ def _joined(docs: DataFrame, tokenizer_path: str, carried: list, found: list[Str
 
     def run(texts: pa.Table, entries: pa.Table) -> pa.Table:
         codec = _codec(definition.value)
-        width = np.dtype(_width(len(codec.lengths)))
-        place, order = np.unique(entries.column("__place").to_numpy(), return_index=True)
-        blobs = entries.column("__ids").take(pa.array(order)).to_pylist()
-        lengths = np.array([len(b) // width.itemsize for b in blobs], np.int64)
-        values, starts = np.frombuffer(b"".join(blobs), width), np.cumsum(lengths) - lengths
-        places = [_of_planes(p) for p in texts.column("__places").to_pylist()]
+        packs = [_parts(p) for p in entries.column("__pack").to_pylist()]
+        all_of = lambda arrays: np.concatenate([np.array([], np.int64), *arrays]).astype(np.int64)
+        place, order = np.unique(all_of(np.cumsum(_of_planes(p[0]), dtype=np.int64) for p in packs), return_index=True)
+        lengths, values = all_of(_of_planes(p[1]) for p in packs), np.concatenate([np.array([], np.uint32), *(_of_planes(p[2]) for p in packs)])
+        starts = (np.cumsum(lengths) - lengths)[order]
+        lengths = lengths[order]
+        places = [_of_planes(_parts(p)[0]) for p in texts.column("__places").to_pylist()]
         if len(places) and len(place) != max((int(p.max()) + 1 for p in places if len(p)), default=0):
             raise RuntimeError("the rows came in another order when they were read again; write them to a table first")
         ids = [_gathered(values, starts, lengths, p) for p in places]
