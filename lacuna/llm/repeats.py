@@ -1,4 +1,4 @@
-"""Suffix-array dedup by bucket-pointer refinement over content-chosen suffixes.
+"""Removal of repeated passages by content-chosen anchors; this is not bucket-pointer refinement of all suffixes.
 
 A byte goes when a string of ``length`` bytes that covers it starts anywhere else too. Of all suffixes, only anchors are
 sorted: the gram with the smallest hash of every window of ``length`` bytes, so that equal windows have equal anchors at
@@ -13,6 +13,8 @@ Spark counts and joins buckets and classes; each is pre-aggregated, and neither
 buckets of at most ``GATHER`` classes in step 3 (larger ones are counted row by row). What a task needs to know about the
 corpus comes as a filter of fixed size that may let too much pass, and never too little, so it changes no result.
 
+Equality is that of 64-bit hashes; no bytes are compared afterwards.
+
 Defined results: null text counts as empty; texts under ``length`` bytes keep all; repeated rows are documents of their
 own, so each of them loses what repeats; ties need no rule; an empty table gives an empty table.
 """
