@@ -2,7 +2,7 @@
 
 Base kinds are reported wherever they stand. Weaker parts (identifiers, secret-like tokens, endpoints) are reported only
 where parts of complementary roles lie within one scope: an interval join pairs each weak part with parts whose places
-fall into its own or a neighbouring scope-sized bin of the same text, and keeps it if one of another role is near enough.
+fall into one of its own or a neighbouring scope-sized bin of the same text, and keeps it if one of another role is near enough.
 
 Places come from the texts between matches: split() and regexp_extract_all() cut a text at the same matches, so a match
 starts after all gaps up to it and all matches before it; the running sums are windows over the matches of one text.
@@ -64,7 +64,7 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Base parts, and those weak parts that no base part overlaps and that have a part of another role within the scope."""
     roles = F.element_at(F.array(*[F.lit(role) for _, role, _ in KINDS]), F.col("kind") + 1)
     all_parts = found.withColumn("role", roles).withColumn("bin", F.floor(F.col("start") / scope))
-    weak = all_parts.filter(F.col("kind") >= BASE)
+    weak = all_parts.filter(F.col("kind") >= BASE).withColumn("bin", F.explode(F.sequence("bin", F.floor(F.col("stop") / scope))))
     near = all_parts.select("row", F.col("kind").alias("k2"), F.col("start").alias("s2"), F.col("stop").alias("e2"), F.col("role").alias("r2"), F.explode(F.sequence(F.col("bin") - 1, F.floor(F.col("stop") / scope) + 1)).alias("bin"))
     met = weak.join(near, ["row", "bin"])
     overlap = (F.col("k2") < BASE) & (F.col("s2") < F.col("stop")) & (F.col("start") < F.col("e2"))
