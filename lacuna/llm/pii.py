@@ -3,11 +3,14 @@
 Base kinds (email, ip, card, phone) are found by pattern and always reported. They are also the seeds: the words around a
 seed make lexical patterns (two words before; one before and one after; two after). Tokens that look like identifiers but
 match no base kind are candidates. Spark joins patterns and instances (seeds and candidates) as a graph and scores it in
-rounds: a pattern is as reliable as the share of all tokens of the corpus in its place that are trusted instances; a
-candidate is as reliable as the patterns around it make it together. Candidates above a threshold are reported too.
+rounds: each round admits the patterns that enough trusted instances stand in, seeds or candidates found before, so what is
+found leads to new patterns. A pattern is as reliable as the share of all tokens of the corpus in its place that are trusted
+instances; a candidate is as reliable as the patterns around it make it together. Candidates above a threshold are reported.
 
-How often each pattern occurs with any token at all comes from a second pass over all texts; a filter of fixed size tells
-tasks which patterns matter, and the exact join afterwards removes what it lets pass.
+How often a pattern stands around any other token at all comes from a second pass over all texts, in which a token is cut as
+candidates are: outer punctuation belongs to its context, and what touches a seed or candidate counts as that instance. A
+filter of fixed size tells tasks which patterns matter; the exact join afterwards removes what it lets pass. Patterns with
+fewer instances of any sort than a pattern needs trusted ones could never be admitted and are left out of the graph.
 
 Defined results: null text counts as empty; spans of one kind never overlap; equal rows give equal spans; equal scores are
 equal decisions; an empty table gives an empty table; other columns are not looked at.
@@ -37,6 +40,7 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_TAIL, _LEAD = ".,;:!?)]}>\"'", "([{<\"'"
 _CANDIDATE = re.compile(r"(?<!\S)(?=\S{0,40}[0-9@])\S+")
 
 
@@ -80,8 +84,8 @@ def candidates(text: str, base: list[tuple[int, int, int]]):
     taken = sorted((a, b) for _, a, b in base)
     k = 0
     for m in _CANDIDATE.finditer(text):
-        token = m[0].rstrip(".,;:!?)]}>\"'")
-        lead = len(token) - len(token.lstrip("([{<\"'"))
+        token = m[0].rstrip(_TAIL)
+        lead = len(token) - len(token.lstrip(_LEAD))
         token, start = token[lead:], m.start() + lead
         if not 5 <= len(token) <= 64 or "@" not in token and sum(c in "0123456789" for c in token) < 4:
             continue
@@ -102,9 +106,16 @@ def _pair(a, b, shape: int):
 
 
 def patterns(text: str, start: int, stop: int) -> list[int]:
-    """Hashes of the patterns around a span; words are cut at white space."""
-    before = text[max(0, start - 200) : start].encode().split()[-2:]
-    after = text[stop : stop + 200].encode().split()[:2]
+    """Hashes of the patterns around a span; words are cut at white space and are whole, however long."""
+    near, before, after = 0, [], []
+    while len(before) < 3 and near < start:
+        near = 2 * near or 200
+        before = text[max(0, start - near) : start].encode().split()
+    near = 0
+    while len(after) < 3 and near < len(text) - stop:
+        near = 2 * near or 200
+        after = text[stop : stop + near].encode().split()
+    before, after = before[-2:], after[:2]
     b, a = [_word(w) for w in before], [_word(w) for w in after]
     out = []
     if len(b) == 2:
@@ -137,19 +148,53 @@ def _edges(docs: DataFrame) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, EDGE)
 
 
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\f"))
+_IN_TAIL, _IN_LEAD = (np.isin(np.arange(256), list(x.encode())) for x in (_TAIL, _LEAD))
+
+
+def _contexts(text: str) -> list[np.ndarray]:
+    """By shape: hashes of the patterns around each token that touches no base span and no candidate."""
+    raw = text.encode()
+    words = raw.lower().split()
+    if not words:
+        return []
+    space = _SPACE[np.frombuffer(raw, np.uint8)]
+    starts = np.flatnonzero(~space & np.append(True, space[:-1]))
+    stops = np.flatnonzero(~space & np.append(space[1:], True)) + 1
+    base = base_spans(text)
+    free = np.ones(len(words), bool)
+    place = (lambda k: k) if text.isascii() else (lambda k: len(text[:k].encode()))
+    for a, b in [(a, b) for _, a, b in base] + list(candidates(text, base)):
+        free[np.searchsorted(stops, place(a), "right") : np.searchsorted(starts, place(b))] = False
+    h = np.zeros(len(words) + 4, np.uint64)
+    h[2:-2] = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    there = np.zeros(len(h), bool)
+    there[2:-2] = True
+    (b2, b1, a1, a2), (has_b2, has_b1, has_a1, has_a2) = ([x[k : k + len(words)].copy() for k in (0, 1, 3, 4)] for x in (h, there))
+    data = np.frombuffer(raw, np.uint8)
+    for i in np.flatnonzero((_IN_TAIL[data[stops - 1]] | _IN_LEAD[data[starts]]) & free):
+        word = words[i]
+        front = word.rstrip(_TAIL.encode())
+        core = front.lstrip(_LEAD.encode())
+        if not core:
+            continue
+        if lead := front[: len(front) - len(core)]:
+            b2[i], has_b2[i], b1[i], has_b1[i] = b1[i], has_b1[i], zlib.crc32(lead), True
+        if tail := word[len(front) :]:
+            a2[i], has_a2[i], a1[i], has_a1[i] = a1[i], has_a1[i], zlib.crc32(tail), True
+    shapes = ((b2, b1, has_b2 & has_b1), (b1, a1, has_b1 & has_a1), (a1, a2, has_a1 & has_a2))
+    return [_pair(x[good & free], y[good & free], k) for k, (x, y, good) in enumerate(shapes)]
+
+
 def _occurrences(docs: DataFrame, wanted) -> DataFrame:
-    """pattern, n: how often patterns that pass the filter stand around any single token."""
+    """pattern, n: how often patterns that pass the filter stand around tokens that are no instance."""
 
     def run(batches):
         known = Filter(wanted.value)
         for batch in batches:
             parts = []
             for x in batch.column("text"):
-                words = x.as_py().encode().lower().split()
-                h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-                for shape, (a, b) in enumerate(((h[:-2], h[1:-1]), (h[:-2], h[2:]), (h[1:-1], h[2:]))):
-                    p = _pair(a, b, shape)
-                    parts.append(p[known.has(p)])
+                parts += [p[known.has(p)] for p in _contexts(x.as_py())]
             seen, n = np.unique(np.concatenate(parts) if parts else np.array([], np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n.astype(np.int64))], ["pattern", "n"])
 
@@ -161,16 +206,17 @@ def discovered(docs: DataFrame, rounds: int = ROUNDS, least_pattern: float = LEA
     edges = written(_edges(docs))
     graph = edges.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.count("*").alias("times"), F.max("seed").alias("seed"))
     graph = written(graph)
-    useful = written(graph.filter("seed").groupBy("pattern").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= LEAST_SEEDS).select("pattern"))
+    useful = written(graph.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("times").alias("held")).filter(F.col("instances") >= LEAST_SEEDS).select("pattern", "held"))
     if useful.isEmpty():
         return edges.filter("false").select("row", "start", "stop")
     wanted = docs.sparkSession.sparkContext.broadcast(_filter(useful, "pattern").words)
-    totals = _occurrences(docs, wanted).join(useful, "pattern")
+    totals = useful.join(_occurrences(docs, wanted), "pattern", "left").select("pattern", (F.col("held") + F.coalesce("n", F.lit(0))).alias("n"))
     graph = written(graph.join(totals, "pattern"))
     trusted = graph.select("instance", "seed").groupBy("instance").agg(F.max("seed").cast("double").alias("trust"))
     for _ in range(rounds):
-        score = graph.join(trusted, "instance").groupBy("pattern").agg((F.sum(F.col("times") * F.col("trust")) / (F.greatest(F.max("n"), F.sum("times")) + 1)).alias("score"))
-        good = score.filter(F.col("score") >= least_pattern)
+        backing = F.count_if(F.col("trust") >= least_instance).alias("backing")
+        score = graph.join(trusted, "instance").groupBy("pattern").agg((F.sum(F.col("times") * F.col("trust")) / (F.max("n") + 1)).alias("score"), backing)
+        good = score.filter((F.col("score") >= least_pattern) & (F.col("backing") >= LEAST_SEEDS)).select("pattern", "score")
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce("score", F.lit(0.0))))))
         trusted = written(graph.join(good, "pattern", "left").groupBy("instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("trust")))
     sure = trusted.filter(F.col("trust") >= least_instance).select("instance")
