@@ -6,8 +6,11 @@ languages. A text's score is the softmax of the mean of its windows' log-probabi
 
 Training rows: those whose crc32(doc_id as text) mod 3 is not 1 and whose lang is not null. The network is fitted on at
 most ``TRAIN_DOCS`` of them, chosen by a hash of doc_id, evenly over the languages, ``TRAIN_WINDOWS`` windows of each;
-the bound is the only thing about the network that does not grow with the corpus. At most ``MOST_LANGS`` languages, the
-most frequent, are learned.
+the bound is the only thing about the network that does not grow with the corpus. All languages are learned.
+
+``identified_documents`` fits on four fifths of the training rows; on up to about ``SPARE_DOCS`` of the others it takes the
+lowest score of a text whose language is found, and rejects texts that are more than twice as far from 1 as that one, so that
+clean texts a little under it stay. With fewer than ``LEAST_SPARE`` such texts there is no such bound.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; so is all text if nothing can be learned;
 repeated rows give repeated rows; an empty table gives an empty table; other columns are not looked at.
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 128
 WIDTHS, FILTERS = (2, 3, 4), 16
-TRAIN_DOCS, TRAIN_WINDOWS, MOST_LANGS = 3_000, 4, 200
+TRAIN_DOCS, TRAIN_WINDOWS = 3_000, 4
+SPARE_DOCS, LEAST_SPARE = 1_000, 50
 EPOCHS, BATCH, RATE, SEED = 4, 64, 0.01, 7
 CHUNK = 512
 UNDETERMINED = "und"
@@ -109,17 +113,26 @@ def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], Network] | None:
-    """Languages and network, or None where nothing is labelled."""
+def _draw(seed: int):
+    return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / float(1 << 53)
+
+
+def _training(docs: DataFrame, spare: bool | None = None) -> DataFrame:
+    """doc_id, text and lang of training rows: all, or those spared from fitting, or the others."""
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    return labelled if spare is None else labelled.filter((_draw(SEED + 1) < 0.2) == F.lit(spare))
+
+
+def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, spare: bool = False) -> tuple[list[str], Network] | None:
+    """Languages and network, or None where nothing is labelled; with ``spare``, rows are left for calibration."""
+    labelled = _training(docs, False if spare else None)
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return None
     langs = sorted(r["lang"] for r in counts)
     each = -(-train_docs // len(langs))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 11) / float(1 << 53)
-    chosen = labelled.filter(draw < share[F.col("lang")])
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, share double")
+    chosen = labelled.join(F.broadcast(shares), "lang").filter(_draw(SEED) < F.col("share")).select("doc_id", "text", "lang")
 
     def cut(batches):
         for batch in batches:
@@ -133,11 +146,12 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], Net
                     out_id += [i] * len(np.unique(pick))
             yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_x, pa.binary()), pa.array(out_lang, pa.string())], ["doc_id", "x", "lang"])
 
-    rows = chosen.mapInArrow(cut, "doc_id long, x binary, lang string").orderBy("doc_id", "x").limit(2 * train_docs * TRAIN_WINDOWS).collect()
+    rows = chosen.mapInArrow(cut, "doc_id long, x binary, lang string").orderBy("doc_id", "x").limit(2 * max(train_docs, len(langs)) * TRAIN_WINDOWS).collect()
     if not rows:
         return None
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.uint8).reshape(-1, WINDOW)
-    y = np.array([langs.index(r["lang"]) for r in rows])
+    place = {lang: k for k, lang in enumerate(langs)}
+    y = np.array([place[r["lang"]] for r in rows])
     return langs, train(x, y, len(langs))
 
 
@@ -179,13 +193,35 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, learn(docs))
 
 
-def identified_documents(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, all columns, that are in a learned language with at least the score. No row moves or is joined.
+def calibrated(docs: DataFrame, model: tuple[list[str], Network] | None) -> float:
+    """The bound on scores by spared training texts whose language is found, or 0 with too few of them."""
+    if model is None:
+        return 0.0
+    spare = _training(docs, True)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    chosen = spare.filter(_draw(SEED + 2) < F.lit(min(1.0, SPARE_DOCS / max(1, spare.count()))))
+
+    def run(batches):
+        shared.value[1].prepared()
+        for batch in batches:
+            names, scores = _labelled(shared.value, batch.column("text"))
+            good = [s for n, s, lang in zip(names, scores, batch.column("lang").to_pylist(), strict=True) if n == lang]
+            yield pa.RecordBatch.from_arrays([pa.array(good, pa.float64())], ["score"])
+
+    found = chosen.select("text", "lang").mapInArrow(run, "score double").agg(F.count("*").alias("n"), F.min("score").alias("low")).first()
+    return max(0.0, 1 - 2 * (1 - found["low"])) if found["n"] >= LEAST_SPARE else 0.0
+
+
+def identified_documents(docs: DataFrame, least_score: float | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, that are in a learned language with at least the score, by default the calibrated
+    one. No row moves or is joined.
 
     If nothing can be learned, rows go on that have a letter.
     """
-    model = learn(docs)
+    model = learn(docs, spare=True)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    if least_score is None:
+        least_score = calibrated(docs, model)
 
     def run(batches):
         if shared.value:
