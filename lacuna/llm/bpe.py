@@ -4,16 +4,15 @@ Encoding takes three steps in Spark:
 
 1. Texts are split into words. A block of texts (about ``BLOCK_BYTES``, always whole texts) lists its distinct words once,
    and each of its texts becomes the places of its words in that list.
-2. A list is cut into packs by a hash of the word, and packs of one hash bucket are dealt to one task: the word table, in
-   which each distinct word is encoded once. A task remembers up to ``KNOWN`` words; beyond that it starts anew, so that a
-   word may be encoded again, with the same ids.
+2. A list is cut into packs by a hash of the word. Packs of one hash bucket meet in one task, bucket after bucket: the word
+   table, in which each distinct word is encoded once. A task holds the words of one bucket at a time; ``BUCKETS`` bounds them.
 3. The ids go back to the blocks in packs, and to the texts by block and place.
 
-Lists and places come from two readings of the rows, which must give them in one order, as tables of files do; a block is
-named by its words, so that rows in another order fail and never get wrong ids.
+So a shuffle carries a word once for each block that has it, not once for each time it occurs. Lists and places come from two
+readings of the rows. Rows that come ``from_files`` are in the same order in both; others are written to a table first. A
+digest of a block's texts goes along with both, so that another order would fail and never give wrong ids.
 
-So a shuffle carries a word once for each block that has it, not once for each time it occurs. Decoding joins ids to the
-vocabulary's table of pieces, which is fixed (50,257 entries) and goes to all tasks.
+Decoding joins ids to the vocabulary's table of pieces, which is fixed (50,257 entries) and goes to all tasks.
 
 Defined results: null text counts as empty; an empty text has no ids; the string of a special token in a text gives that
 token's id, as the tokenizers library does; repeated rows give repeated rows; other columns are not looked at.
@@ -27,6 +26,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from lacuna.llm.common import id_text
+from lacuna.operators.lineage import written
 
 #: A block is closed at so many bytes of text, or so many distinct words; bounds memory, not results.
-BLOCK_BYTES, BLOCK_WORDS = 32 << 20, 1_000_000
-#: Words whose ids a task remembers; bounds memory, not results.
-KNOWN = 2_000_000
+BLOCK_BYTES, BLOCK_WORDS = 12 << 20, 150_000
+#: Hash buckets of the word table, at least; a task holds the words of one bucket at a time.
+BUCKETS = 256
 #: Packs that leave a task at once.
 LISTED = 64
 
@@ -60,31 +61,17 @@ def _bytes_of_chars() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Codec:
-    """Splits texts, encodes words and looks up pieces with a byte-level BPE file of the tokenizers library."""
+class Splitter:
+    """Splits texts into words; a special token is a word of its own, which no other word equals."""
 
-    def __init__(self, definition: str):
+    def __init__(self, special: dict[str, int]):
         import regex
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        spec = json.loads(definition)
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.special = special
+        self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.far = regex.compile(WORDS)
-        self.bpe = Tokenizer.from_str(definition)
-        self.model = self.bpe.model
-        byte = _bytes_of_chars()
-        self.chars = {b: c for c, b in byte.items()}
-        pieces = dict.fromkeys(range(self.bpe.get_vocab_size(with_added_tokens=True)), b"")
-        for token, i in self.bpe.get_vocab(with_added_tokens=True).items():
-            pieces[i] = token.encode() if token in self.special else bytes(byte[c] for c in token)
-        self.block = np.frombuffer(b"".join(pieces[i] for i in range(len(pieces))), np.uint8)
-        self.lengths = np.array([len(pieces[i]) for i in range(len(pieces))])
-        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def words(self, text: str) -> list[str]:
-        """The words of a text; a special token is a word of its own, which no other word equals."""
         if self.split_special is not None and any(s in text for s in self.special):
             return [w for x in self.split_special.split(text) for w in ([x] if x in self.special else self._plain(x))]
         return self._plain(text)
@@ -92,14 +79,39 @@ class Codec:
     def _plain(self, text: str) -> list[str]:
         return (self.far if not text.isascii() and _FAR.search(text) else _NEAR).findall(text)
 
+
+class Encoder:
+    """Ids of a word, by a byte-level BPE file of the tokenizers library."""
+
+    def __init__(self, definition: str, special: dict[str, int]):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.special, self.model = special, Tokenizer.from_str(definition).model
+        self.chars = {b: c for c, b in _bytes_of_chars().items()}
+
     def word_ids(self, word: str) -> list[int]:
         if word in self.special:
             return [self.special[word]]
         chars = word.encode().decode("latin-1").translate(self.chars)
         return [t.id for t in self.model.tokenize(chars)]
 
+
+class Pieces:
+    """The table of pieces: where the bytes of each id lie in one block, and how many they are."""
+
+    def __init__(self, definition: str, special: dict[str, int]):
+        from tokenizers import Tokenizer
+
+        byte, bpe = _bytes_of_chars(), Tokenizer.from_str(definition)
+        pieces = dict.fromkeys(range(bpe.get_vocab_size(with_added_tokens=True)), b"")
+        for token, i in bpe.get_vocab(with_added_tokens=True).items():
+            pieces[i] = token.encode() if token in special else bytes(byte[c] for c in token)
+        self.block = np.frombuffer(b"".join(pieces[i] for i in range(len(pieces))), np.uint8)
+        self.lengths = np.array([len(pieces[i]) for i in range(len(pieces))])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
     def text(self, ids: np.ndarray) -> str:
-        """Join ids to the table of pieces: where each piece lies in one block of bytes, and how long it is."""
         return _gathered(self.block, self.starts, self.lengths, ids).tobytes().decode("utf-8", "replace")
 
 
@@ -111,42 +123,46 @@ def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which
     return values[at]
 
 
-@functools.lru_cache(maxsize=2)
-def _codec(definition: str) -> Codec:
-    return Codec(definition)
+@functools.lru_cache(maxsize=1)
+def _encoder(definition: str, special: tuple) -> Encoder:
+    return Encoder(definition, dict(special))
 
 
-def _definition(path: str) -> str:
+def _definition(path: str) -> tuple[str, dict[str, int]]:
+    """The tokenizer's file and its special tokens."""
     with open(path, encoding="utf-8") as f:
-        return f.read()
-
-
-def _blocks(batches, codec: Codec):
-    """(id, words, [(first columns of a batch's slice, places of the words of each of its texts)]) of each block of texts."""
-    part, number = TaskContext.get().partitionId(), 0
-    held, table, size = [], {}, 0
-
-    def closed():
-        words = list(table)
-        told = hashlib.blake2b(f"{part}:{number}:{len(words)}".encode(), digest_size=8)
-        told.update("\0".join(words).encode())
-        return int.from_bytes(told.digest(), "little", signed=True), words, held
-
-    for batch in batches:
-        first, places = 0, []
-        for i, x in enumerate(batch.column(batch.num_columns - 1)):
-            text = x.as_py()
-            words = codec.words(text)
-            places.append(np.fromiter((table.setdefault(w, len(table)) for w in words), np.uint32, len(words)))
-            size += len(text)
-            if size >= BLOCK_BYTES or len(table) >= BLOCK_WORDS:
-                held.append((batch.slice(first, i + 1 - first), places))
-                yield closed()
-                held, table, size, first, places, number = [], {}, 0, i + 1, [], number + 1
-        if places:
-            held.append((batch.slice(first), places))
-    if held:
-        yield closed()
+        definition = f.read()
+    return definition, {x["content"]: x["id"] for x in json.loads(definition)["added_tokens"]}
+
+
+class _Blocks:
+    """Gives each text of a task its block and the places of its words in the block's list of distinct words."""
+
+    def __init__(self, special: dict[str, int], bounds: tuple[int, int]):
+        self.splitter, self.part, self.number = Splitter(special), TaskContext.get().partitionId() << 32, -1
+        self.bounds, self.full = bounds, True
+
+    def add(self, text: str) -> np.ndarray:
+        import xxhash
+
+        if self.full:
+            self.number, self.words, self.size, self.chain, self.n, self.full = self.number + 1, {}, 0, 0, 0, False
+        words, table = self.splitter.words(text), self.words
+        places = np.fromiter((table.setdefault(w, len(table)) for w in words), np.uint32, len(words))
+        raw = text.encode()
+        self.n, self.size = self.n + 1, self.size + len(raw)
+        self.chain = xxhash.xxh64_intdigest(raw, self.chain)
+        self.full = self.size >= self.bounds[0] or len(table) >= self.bounds[1]
+        return places
+
+    @property
+    def name(self) -> int:
+        return self.part | self.number
+
+    @property
+    def digest(self) -> int:
+        """Of the block's texts so far, in their order."""
+        return self.chain - (self.chain >> 63 << 64)
 
 
 def _planes(places: np.ndarray) -> bytes:
@@ -187,117 +203,133 @@ def _packs(words: list[str], buckets: int):
         yield int(bucket[places[0]]), places, [raw[i] for i in places.tolist()]
 
 
-def _placed(rows: DataFrame, definition) -> DataFrame:
-    """The rows with their block and the places of their words in its list instead of their text."""
+def _placed(rows: DataFrame, special: dict[str, int], bounds: tuple[int, int]) -> DataFrame:
+    """The rows with, instead of their text, their block, their place in it, its digest so far, and the places of their words."""
     kept = rows.columns[:-1]
-    schema = StructType([*rows.schema.fields[:-1], StructField("__block", LongType()), StructField("__places", BinaryType())])
+    more = [StructField("__block", LongType()), StructField("__nth", LongType()), StructField("__digest", LongType()), StructField("__places", BinaryType())]
 
     def run(batches):
-        for block, _, held in _blocks(batches, _codec(definition.value)):
-            for batch, places in held:
-                coded = pa.array([_pressed(_planes(p)) for p in places], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([block] * len(places), pa.int64()), coded], [*kept, "__block", "__places"])
+        blocks = _Blocks(special, bounds)
+        for batch in batches:
+            found = []
+            for x in batch.column(batch.num_columns - 1):
+                coded = _pressed(_planes(blocks.add(x.as_py())))
+                found.append((blocks.name, blocks.n, blocks.digest, coded))
+            if found:
+                columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*kept, *(f.name for f in more)])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], *more]))
 
 
-def _word_table(rows: DataFrame, definition) -> DataFrame:
-    """__of (the block) and __pack (places in its list, numbers of ids, ids) for every pack of the blocks' lists."""
-    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _word_table(rows: DataFrame, definition, special: dict[str, int], bounds: tuple[int, int]) -> DataFrame:
+    """__of (the block), __digest and __pack (places in its list, numbers of ids, ids) for every pack of the blocks' lists."""
+    buckets = max(BUCKETS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names, kinds = ["__of", "__digest", "__bucket", "__pack"], (pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
     def listed(batches):
-        def told(packs):
-            columns = [pa.array(c, k) for c, k in zip(zip(*packs, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)]
-            return pa.RecordBatch.from_arrays(columns, ["__of", "__bucket", "__pack"])
+        blocks = _Blocks(special, bounds)
 
-        for block, words, _ in _blocks(batches, _codec(definition.value)):
+        def told():
             packs = []
-            for bucket, places, raw in _packs(words, buckets):
+            for bucket, places, raw in _packs(list(blocks.words), buckets):
                 steps, lengths = np.diff(places, prepend=0), np.array([len(w) for w in raw])
-                packs.append((block, bucket, _pressed(_planes(steps), _planes(lengths), b"".join(raw))))
-                if len(packs) == LISTED:
-                    yield told(packs)
-                    packs = []
-            if packs:
-                yield told(packs)
+                packs.append((blocks.name, blocks.digest, bucket, _pressed(_planes(steps), _planes(lengths), b"".join(raw))))
+            for i in range(0, len(packs), LISTED):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*packs[i : i + LISTED], strict=True), kinds, strict=True)], names)
+
+        for batch in batches:
+            for x in batch.column(0):
+                blocks.add(x.as_py())
+                if blocks.full:
+                    yield from told()
+        if not blocks.full:
+            yield from told()
 
     def encoded(batches):
-        codec, known = _codec(definition.value), {}
+        encoder, known, of = _encoder(definition.value, tuple(special.items())), {}, None
         for batch in batches:
             found = []
-            for x in batch.column("__pack"):
+            for bucket, x in zip(batch.column("__bucket").to_pylist(), batch.column("__pack"), strict=True):
+                if bucket != of:
+                    of, known = bucket, {}
                 steps, lengths, raw = _parts(x.as_py())
                 ends = np.cumsum(_of_planes(lengths), dtype=np.int64).tolist()
                 ids = []
                 for a, b in zip([0, *ends], ends, strict=False):
                     word = raw[a:b]
                     if (got := known.get(word)) is None:
-                        if len(known) >= KNOWN:
-                            known.clear()
-                        got = known[word] = codec.word_ids(word.decode())
+                        got = known[word] = array("I", encoder.word_ids(word.decode()))
                     ids.append(got)
-                flat = np.array([i for x in ids for i in x], np.uint32)
+                flat = np.frombuffer(b"".join(ids), np.uint32)
                 found.append(_pressed(steps, _planes(np.array([len(x) for x in ids])), _planes(flat)))
-            yield pa.RecordBatch.from_arrays([batch.column("__of"), pa.array(found, pa.binary())], ["__of", "__pack"])
+            yield pa.RecordBatch.from_arrays([batch.column("__of"), batch.column("__digest"), pa.array(found, pa.binary())], ["__of", "__digest", "__pack"])
 
-    packs = rows.select("__text").mapInArrow(listed, "__of long, __bucket int, __pack binary")
-    return packs.repartition("__bucket").select("__of", "__pack").mapInArrow(encoded, "__of long, __pack binary")
+    packs = rows.select("__text").mapInArrow(listed, "__of long, __digest long, __bucket int, __pack binary")
+    return packs.repartition("__bucket").sortWithinPartitions("__bucket").mapInArrow(encoded, "__of long, __digest long, __pack binary")
 
 
-def _joined(docs: DataFrame, tokenizer_path: str, carried: list, found: list[StructField], describe) -> DataFrame:
-    """The carried columns and what ``describe`` (codec, list of each text's ids) gives, for every row."""
-    definition = docs.sparkSession.sparkContext.broadcast(_definition(tokenizer_path))
-    rows = docs.select(*carried, F.coalesce(F.col("__text"), F.lit("")).alias("__text"))
-    schema = StructType([*rows.schema.fields[:-1], *found])
+def _joined(docs: DataFrame, tokenizer_path: str, carried: list[str], found: list[StructField], describe, from_files: bool, bounds: tuple[int, int]) -> DataFrame:
+    """The carried columns and what ``describe`` (ids of each text) gives, for every row; ``docs`` has these columns, then the text."""
+    definition, special = _definition(tokenizer_path)
+    numbered = docs.toDF(*[f"__{i}" for i in range(len(carried))], "__text")
+    rows = numbered.withColumn("__text", F.coalesce("__text", F.lit("")))
+    if not from_files:
+        rows = written(rows)
+    model = docs.sparkSession.sparkContext.broadcast(definition)
     names = rows.columns[:-1]
+    schema = StructType([*[StructField(c, f.dataType) for c, f in zip(carried, rows.schema.fields, strict=False)], *found])
 
     def run(texts: pa.Table, entries: pa.Table) -> pa.Table:
-        codec = _codec(definition.value)
         packs = [_parts(p) for p in entries.column("__pack").to_pylist()]
-        all_of = lambda arrays: np.concatenate([np.array([], np.int64), *arrays]).astype(np.int64)
-        place, order = np.unique(all_of(np.cumsum(_of_planes(p[0]), dtype=np.int64) for p in packs), return_index=True)
-        lengths, values = all_of(_of_planes(p[1]) for p in packs), np.concatenate([np.array([], np.uint32), *(_of_planes(p[2]) for p in packs)])
+        last = texts.column("__digest").to_pylist()[int(np.argmax(texts.column("__nth").to_numpy()))] if len(texts) else None
+        if texts.num_rows and set(entries.column("__digest").to_pylist()) - {last}:
+            raise RuntimeError("the rows came in another order when they were read again; encode them with from_files=False")
+        all_of = lambda arrays, kind: np.concatenate([np.array([], kind), *arrays])
+        order = np.argsort(all_of([np.cumsum(_of_planes(p[0]), dtype=np.int64) for p in packs], np.int64))
+        lengths, values = all_of([_of_planes(p[1]).astype(np.int64) for p in packs], np.int64), all_of([_of_planes(p[2]) for p in packs], np.uint32)
+        del packs
         starts = (np.cumsum(lengths) - lengths)[order]
         lengths = lengths[order]
-        places = [_of_planes(_parts(p)[0]) for p in texts.column("__places").to_pylist()]
-        if len(places) and len(place) != max((int(p.max()) + 1 for p in places if len(p)), default=0):
-            raise RuntimeError("the rows came in another order when they were read again; write them to a table first")
-        ids = [_gathered(values, starts, lengths, p) for p in places]
-        return pa.Table.from_arrays([*(texts.column(c) for c in names), *describe(codec, ids)], [*names, *(f.name for f in found)])
+        ids = (_gathered(values, starts, lengths, _of_planes(_parts(p.as_py())[0])) for p in texts.column("__places"))
+        return pa.Table.from_arrays([*(texts.column(c) for c in names), *describe(ids)], schema.fieldNames())
 
-    return _placed(rows, definition).groupBy("__block").cogroup(_word_table(rows, definition).groupBy("__of")).applyInArrow(run, schema)
+    return _placed(rows, special, bounds).groupBy("__block").cogroup(_word_table(rows, model, special, bounds).groupBy("__of")).applyInArrow(run, schema)
 
 
-def _id_lists(codec: Codec, ids: list[np.ndarray]) -> list[pa.Array]:
+def _id_lists(ids) -> list[pa.Array]:
+    ids = list(ids)
     ends = np.cumsum([0, *map(len, ids)])
     return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.array([], np.uint32), *ids]).astype(np.int32)))]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *carried: str) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *carried: str, from_files: bool = False, bounds: tuple[int, int] = (BLOCK_BYTES, BLOCK_WORDS)) -> DataFrame:
     """doc_id, carried columns and ids. The tokenizer's file is read by the driver and goes to the tasks."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carried, F.col(text_col).alias("__text"))
-    return _joined(rows, tokenizer_path, ["doc_id", *carried], [StructField("ids", ArrayType(IntegerType()))], _id_lists)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carried, F.col(text_col))
+    return _joined(rows, tokenizer_path, ["doc_id", *carried], [StructField("ids", ArrayType(IntegerType()))], _id_lists, from_files, bounds)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id and the text of its ids (null: empty)."""
-    definition = encoded.sparkSession.sparkContext.broadcast(_definition(tokenizer_path))
+    table = encoded.sparkSession.sparkContext.broadcast(Pieces(*_definition(tokenizer_path)))
 
     def run(batches):
-        codec = _codec(definition.value)
+        pieces = table.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([codec.text(np.asarray(x.as_py() or [], np.int64)) for x in batch.column("ids")], pa.string())], ["doc_id", "text"])
+            texts = [pieces.text(np.asarray(x.as_py() or [], np.int64)) for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def _digests(codec: Codec, ids: list[np.ndarray]) -> list[pa.Array]:
-    told = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
-    texts = [hashlib.sha256(codec.text(x).encode()).hexdigest() for x in ids]
-    return [pa.array([len(x) for x in ids], pa.int64()), pa.array(told, pa.string()), pa.array(texts, pa.string())]
-
-
-def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, from_files: bool = False, bounds: tuple[int, int] = (BLOCK_BYTES, BLOCK_WORDS)) -> DataFrame:
     """Per row: number of ids, digest of the ids, digest of the text decoded from them."""
+    table = docs.sparkSession.sparkContext.broadcast(Pieces(*_definition(tokenizer_path)))
     found = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
-    return _joined(id_text(docs).withColumnRenamed("text", "__text"), tokenizer_path, ["doc_id"], found, _digests)
+
+    def digests(ids) -> list[pa.Array]:
+        pieces = table.value
+        rows = [(len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(pieces.text(x).encode()).hexdigest()) for x in ids]
+        return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+
+    return _joined(id_text(docs), tokenizer_path, ["doc_id"], found, digests, from_files, bounds)

@@ -26,7 +26,7 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), from_files=True)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

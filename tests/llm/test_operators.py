@@ -80,6 +80,11 @@ def test_bpe(docs, empty):
         ids = reference.encode(x, add_special_tokens=False).ids
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(x.encode()).hexdigest()))
     assert collected(bpe.round_trip(docs, path)) == sorted(want, key=repr)
+    for bounds in ((1, 1), (400, 1 << 20), (1 << 20, 40)):  # blocks of one text, of a few, and closed by their words
+        assert collected(bpe.round_trip(docs, path, bounds=bounds)) == sorted(want, key=repr)
+    clash = docs.select("doc_id", "text", docs["lang"].alias("__text"), docs["row"].alias("__block"))
+    assert bpe.encode(clash, path, "doc_id", "text", "__text", "__block").columns == ["doc_id", "__text", "__block", "ids"]
+    assert bpe.encode(clash, path, "doc_id", "text", "__text", "__block").count() == len(want)
     back = bpe.decode(bpe.encode(docs, path), path)
     assert collected(back) == sorted(texts(), key=repr) and bpe.encode(empty, path).count() == 0
 
