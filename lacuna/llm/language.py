@@ -4,9 +4,10 @@ Texts are cut into windows of ``WINDOW`` bytes. Filters of several widths slide
 256 values for each place it covers), each keeps its maximum over the window, and a dense layer with softmax gives the
 languages. A text's score is the softmax of the mean of its windows' log-probabilities, over all of its windows.
 
-Training rows: those whose crc32(doc_id as text) mod 3 is not 1 and whose lang is not null. The network is fitted on at
-most ``TRAIN_DOCS`` of them, chosen by a hash of doc_id, evenly over the languages, ``TRAIN_WINDOWS`` windows of each;
-the bound is the only thing about the network that does not grow with the corpus. All languages are learned.
+Training rows: those whose crc32(doc_id as text) mod 3 is not 1 and whose lang is not null. The network is fitted on about
+``TRAIN_DOCS`` of them, at most twice as many, chosen by a hash of the row, evenly over the languages (equal rows count once).
+Their whole texts are its windows, of which each of ``STEPS`` steps draws ``BATCH``. The bound on rows is the only thing about
+the network that does not grow with the corpus. All languages are learned.
 
 ``identified_documents`` fits on four fifths of the training rows; on up to about ``SPARE_DOCS`` of the others it takes the
 lowest score of a text whose language is found, and rejects texts that are more than twice as far from 1 as that one, so that
@@ -27,12 +28,17 @@ from pyspark.sql import functions as F
 
 WINDOW = 128
 WIDTHS, FILTERS = (2, 3, 4), 16
-TRAIN_DOCS, TRAIN_WINDOWS = 3_000, 4
+TRAIN_DOCS = 3_000
 SPARE_DOCS, LEAST_SPARE = 1_000, 50
-EPOCHS, BATCH, RATE, SEED = 4, 64, 0.01, 7
+STEPS, BATCH, RATE, SEED = 800, 64, 0.01, 7
 CHUNK = 512
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter by its Unicode category; fractions and raised digits are none."""
+    return bool(_PLAIN_LETTER.search(text)) or not text.isascii() and any(map(str.isalpha, text))
 
 
 def windows(raw: bytes) -> np.ndarray:
@@ -45,11 +51,15 @@ class Network:
     def __init__(self, filters: list[np.ndarray], bias: np.ndarray, dense: np.ndarray, offset: np.ndarray):
         self.filters, self.bias, self.dense, self.offset = filters, bias, dense, offset
 
-    def prepared(self) -> Network:
-        """Tables by byte pairs, so that a filter takes one look-up for two bytes."""
+
+
+class Scorer:
+    """A network with tables by byte pairs, so that a filter takes one look-up for two bytes; a task makes it and drops it."""
+
+    def __init__(self, net: Network):
         pair = lambda a, b: (a[:, None, :] + b[None, :, :]).reshape(1 << 16, FILTERS)
-        self.tables = [[pair(f[t], f[t + 1]) if t + 1 < len(f) else f[t] for t in range(0, len(f), 2)] for f in self.filters]
-        return self
+        self.tables = [[pair(f[t], f[t + 1]) if t + 1 < len(f) else f[t] for t in range(0, len(f), 2)] for f in net.filters]
+        self.bias, self.dense, self.offset = net.bias, net.dense, net.offset
 
     def log_probabilities(self, x: np.ndarray) -> np.ndarray:
         pairs = x[:, :-1].astype(np.int32) << 8 | x[:, 1:]
@@ -73,39 +83,36 @@ def train(x: np.ndarray, y: np.ndarray, classes: int) -> Network:
     net = [rng.normal(0, 0.1, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS]
     net += [np.zeros(FILTERS * len(WIDTHS), np.float32), rng.normal(0, 0.1, (FILTERS * len(WIDTHS), classes)).astype(np.float32), np.zeros(classes, np.float32)]
     first, second = [np.zeros_like(p) for p in net], [np.zeros_like(p) for p in net]
-    step = 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(x))
-        for i in range(0, len(order), BATCH):
-            take = order[i : i + BATCH]
-            b, rows = x[take], np.arange(len(take))
-            pooled, places = [], []
-            for k, width in enumerate(WIDTHS):
-                n = WINDOW - width + 1
-                conv = sum(net[k][t][b[:, t : t + n]] for t in range(width))
-                places.append(conv.argmax(1))
-                pooled.append(conv.max(1))
-            before = np.concatenate(pooled, 1) + net[-3]
-            hidden = np.maximum(before, 0)
-            logits = hidden @ net[-2] + net[-1]
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[rows, y[take]] -= 1
-            p /= len(take)
-            back = (p @ net[-2].T) * (before > 0)
-            slopes = []
-            for k, width in enumerate(WIDTHS):
-                g = np.zeros_like(net[k])
-                part = back[:, k * FILTERS : (k + 1) * FILTERS]
-                for t in range(width):
-                    np.add.at(g[t], (b[rows[:, None], places[k] + t], np.arange(FILTERS)[None, :]), part)
-                slopes.append(g)
-            slopes += [back.sum(0), hidden.T @ p, p.sum(0)]
-            step += 1
-            for q, m, v, g in zip(net, first, second, slopes, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                q -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    rows = np.arange(BATCH)
+    for step in range(1, STEPS + 1):
+        take = rng.integers(0, len(x), BATCH)
+        b = x[take]
+        pooled, places = [], []
+        for k, width in enumerate(WIDTHS):
+            n = WINDOW - width + 1
+            conv = sum(net[k][t][b[:, t : t + n]] for t in range(width))
+            places.append(conv.argmax(1))
+            pooled.append(conv.max(1))
+        before = np.concatenate(pooled, 1) + net[-3]
+        hidden = np.maximum(before, 0)
+        logits = hidden @ net[-2] + net[-1]
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[rows, y[take]] -= 1
+        p /= BATCH
+        back = (p @ net[-2].T) * (before > 0)
+        slopes = []
+        for k, width in enumerate(WIDTHS):
+            g = np.zeros_like(net[k])
+            part = back[:, k * FILTERS : (k + 1) * FILTERS]
+            for t in range(width):
+                np.add.at(g[t], (b[rows[:, None], places[k] + t], np.arange(FILTERS)[None, :]), part)
+            slopes.append(g)
+        slopes += [back.sum(0), hidden.T @ p, p.sum(0)]
+        for q, m, v, g in zip(net, first, second, slopes, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            q -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Network(net[:-3], *net[-3:])
 
 
@@ -114,7 +121,8 @@ def held_out(id_col: str = "doc_id"):
 
 
 def _draw(seed: int):
-    return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / float(1 << 53)
+    """A number from 0 to 1 by the row, so rows that share doc_id, or have none, are drawn one by one."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11) / float(1 << 53)
 
 
 def _training(docs: DataFrame, spare: bool | None = None) -> DataFrame:
@@ -132,35 +140,28 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, spare: bool = False) ->
     langs = sorted(r["lang"] for r in counts)
     each = -(-train_docs // len(langs))
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, share double")
-    chosen = labelled.join(F.broadcast(shares), "lang").filter(_draw(SEED) < F.col("share")).select("doc_id", "text", "lang")
-
-    def cut(batches):
-        for batch in batches:
-            out_x, out_lang, out_id = [], [], []
-            for i, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True):
-                all_windows = windows(text.encode())
-                if len(all_windows):
-                    pick = np.random.default_rng(abs(i or 0)).integers(0, len(all_windows), TRAIN_WINDOWS)
-                    out_x += [all_windows[k].tobytes() for k in np.unique(pick)]
-                    out_lang += [lang] * len(np.unique(pick))
-                    out_id += [i] * len(np.unique(pick))
-            yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_x, pa.binary()), pa.array(out_lang, pa.string())], ["doc_id", "x", "lang"])
-
-    rows = chosen.mapInArrow(cut, "doc_id long, x binary, lang string").orderBy("doc_id", "x").limit(2 * max(train_docs, len(langs)) * TRAIN_WINDOWS).collect()
-    if not rows:
-        return None
-    x = np.frombuffer(b"".join(r["x"] for r in rows), np.uint8).reshape(-1, WINDOW)
+    drawn = labelled.withColumn("draw", _draw(SEED)).join(F.broadcast(shares), "lang").filter("draw < share")
+    chosen = drawn.select("draw", "text", "lang").dropDuplicates(["draw", "lang"])
+    rows = chosen.orderBy("draw", "lang").limit(2 * max(train_docs, len(langs))).toArrow()
     place = {lang: k for k, lang in enumerate(langs)}
-    y = np.array([place[r["lang"]] for r in rows])
-    return langs, train(x, y, len(langs))
+    x, y = [np.zeros((0, WINDOW), np.uint8)], [np.zeros(0, np.int64)]
+    for text, lang in zip(rows.column("text"), rows.column("lang").to_pylist(), strict=True):
+        x.append(windows(text.as_py().encode()))
+        y.append(np.full(len(x[-1]), place[lang]))
+    x, y = np.concatenate(x), np.concatenate(y)
+    return (langs, train(x, y, len(langs))) if len(x) else None
+
+
+def _scorer(model: tuple[list[str], Network] | None) -> tuple[list[str], Scorer] | None:
+    return (model[0], Scorer(model[1])) if model else None
 
 
-def _labelled(model: tuple[list[str], Network] | None, texts) -> tuple[list[str], list[float]]:
+def _labelled(model: tuple[list[str], Scorer] | None, texts) -> tuple[list[str], list[float]]:
     langs, net = model or ([], None)
     names, scores = [], []
     for x in texts:
         text = x.as_py()
-        if net is None or text is None or not _LETTER.search(text):
+        if net is None or text is None or not has_letter(text):
             names.append(UNDETERMINED)
             scores.append(0.0)
             continue
@@ -178,10 +179,9 @@ def predict(docs: DataFrame, model: tuple[list[str], Network] | None) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        if shared.value:
-            shared.value[1].prepared()
+        model = _scorer(shared.value)
         for batch in batches:
-            names, scores = _labelled(shared.value, batch.column("text"))
+            names, scores = _labelled(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text"))
@@ -202,9 +202,9 @@ def calibrated(docs: DataFrame, model: tuple[list[str], Network] | None) -> floa
     chosen = spare.filter(_draw(SEED + 2) < F.lit(min(1.0, SPARE_DOCS / max(1, spare.count()))))
 
     def run(batches):
-        shared.value[1].prepared()
+        model = _scorer(shared.value)
         for batch in batches:
-            names, scores = _labelled(shared.value, batch.column("text"))
+            names, scores = _labelled(model, batch.column("text"))
             good = [s for n, s, lang in zip(names, scores, batch.column("lang").to_pylist(), strict=True) if n == lang]
             yield pa.RecordBatch.from_arrays([pa.array(good, pa.float64())], ["score"])
 
@@ -224,15 +224,14 @@ def identified_documents(docs: DataFrame, least_score: float | None = None) -> D
         least_score = calibrated(docs, model)
 
     def run(batches):
-        if shared.value:
-            shared.value[1].prepared()
+        model = _scorer(shared.value)
         for batch in batches:
             texts = batch.column("text")
-            if shared.value:
-                names, scores = _labelled(shared.value, texts)
+            if model:
+                names, scores = _labelled(model, texts)
                 good = [n != UNDETERMINED and s >= least_score for n, s in zip(names, scores, strict=True)]
             else:
-                good = [x.is_valid and bool(_LETTER.search(x.as_py())) for x in texts]
+                good = [x.is_valid and has_letter(x.as_py()) for x in texts]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

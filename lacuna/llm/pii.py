@@ -13,7 +13,8 @@ filter of fixed size tells tasks which patterns matter; the exact join afterward
 fewer instances of any sort than a pattern needs trusted ones could never be admitted and are left out of the graph.
 
 Defined results: null text counts as empty; spans of one kind never overlap; equal rows give equal spans; equal scores are
-equal decisions; an empty table gives an empty table; other columns are not looked at.
+equal decisions; an empty table gives an empty table; other columns are not looked at. Rows are told apart by a 64-bit hash of
+doc_id and text, so two different rows share spans at a chance of n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TAIL, _LEAD = ".,;:!?)]}>\"'", "([{<\"'"
-_CANDIDATE = re.compile(r"(?<!\S)(?=\S{0,40}[0-9@])\S+")
+_CANDIDATE = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
+#: What may be an identifier: so many characters and, without an @, so many digits.
+LEAST_CHARS, LEAST_DIGITS = 5, 4
 
 
 def luhn(digits: str) -> bool:
@@ -80,14 +83,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]):
-    """Tokens with an @ or four digits or more, without outer punctuation, that touch no base span."""
+    """Tokens with an @ or ``LEAST_DIGITS`` digits, however long, without outer punctuation, that touch no base span."""
     taken = sorted((a, b) for _, a, b in base)
     k = 0
     for m in _CANDIDATE.finditer(text):
         token = m[0].rstrip(_TAIL)
         lead = len(token) - len(token.lstrip(_LEAD))
         token, start = token[lead:], m.start() + lead
-        if not 5 <= len(token) <= 64 or "@" not in token and sum(c in "0123456789" for c in token) < 4:
+        if len(token) < LEAST_CHARS or "@" not in token and sum(map(token.count, "0123456789")) < LEAST_DIGITS:
             continue
         while k < len(taken) and taken[k][1] <= start:
             k += 1

@@ -2,8 +2,10 @@
 
 Heuristic labellers look at every text and vote good, bad or nothing. The corpus is counted by combination of votes (at
 most 3 to the power of the number of labellers), and expectation-maximisation on these counts estimates how often texts
-are good and how accurate each labeller is. The posterior of a text's votes is its label; labels of at most ``TRAIN_DOCS``
-texts, chosen by a hash of doc_id (of longer texts, a piece of ``TRAIN_BYTES`` at a place drawn by doc_id), train a logistic scorer on hashed byte 4-grams, which then scores every whole text.
+are good and how accurate each labeller is. The posterior of a text's votes is its label; the labels of about ``TRAIN_DOCS``
+whole texts, at most twice as many, chosen by a hash of the row (equal rows count once), train a linear logistic scorer on
+hashed byte 4-grams, which then scores every whole text. A row is kept if the scorer gives ``KEEP`` or more, or if the
+labellers that spoke are ``SURE`` that it is good (posterior), whatever the scorer says.
 
 Defined results: null text counts as empty; a text of fewer than 4 bytes has no grams and gets the scorer's prior; equal
 texts get equal scores; an empty table gives an empty table; other columns are not looked at.
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.common import id_text
 
-GRAM_BITS, TRAIN_DOCS, TRAIN_BYTES, SEED = 15, 3_000, 8_192, 11
+GRAM_BITS, TRAIN_DOCS, SEED = 15, 2_000, 11
 EM_ROUNDS, EPOCHS, RATE, DECAY = 50, 12, 0.5, 1e-4
 #: A text is kept if the scorer says so, or if the labellers that spoke are as sure as this.
 KEEP, SURE = 0.5, 0.9
@@ -106,12 +108,6 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.nda
     return w, b
 
 
-def _piece(raw: bytes, doc_id: int | None) -> bytes:
-    spare = len(raw) - TRAIN_BYTES
-    at = int(np.random.default_rng(abs(doc_id or 0)).integers(0, spare + 1)) if spare > 0 else 0
-    return raw[at : at + TRAIN_BYTES]
-
-
 def _features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     i, n = np.unique(hashed(raw), return_counts=True)
     return i, n / max(1.0, np.sqrt((n.astype(float) ** 2).sum()))
@@ -136,17 +132,18 @@ def classify(docs: DataFrame, train_docs: int = TRAIN_DOCS, keep: float = KEEP)
     counts = np.array([r["count"] for r in counted], float)
     order = np.lexsort(patterns.T)
     prior, labellers = fit_labellers(patterns[order], counts[order])
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 11) / float(1 << 53)
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(SEED)), 11) / float(1 << 53)
 
     def described(batches):
         for batch in batches:
             raw = [x.as_py().encode() for x in batch.column("text")]
             good = posterior(np.array([votes(x.as_py()) for x in batch.column("text")]).reshape(-1, len(LABELLERS)), prior, labellers)
-            found = [_features(_piece(r, i)) for r, i in zip(raw, batch.column("doc_id").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0].astype("<u2").tobytes() for f in found], pa.binary()), pa.array([f[1].astype("<f4").tobytes() for f in found], pa.binary()), pa.array(good, pa.float64())], ["doc_id", "i", "x", "y"])
+            found = [_features(r) for r in raw]
+            yield pa.RecordBatch.from_arrays([batch.column("draw"), pa.array([f[0].astype("<u2").tobytes() for f in found], pa.binary()), pa.array([f[1].astype("<f4").tobytes() for f in found], pa.binary()), pa.array(good, pa.float64())], ["draw", "i", "x", "y"])
 
-    sample = id_text(docs.filter(draw < min(1.0, train_docs / counts.sum()))).mapInArrow(described, "doc_id long, i binary, x binary, y double")
-    rows = sample.orderBy("doc_id", "y").limit(2 * train_docs).toArrow()
+    drawn = id_text(docs).withColumn("draw", draw).filter(F.col("draw") < min(1.0, train_docs / counts.sum()))
+    sample = drawn.select("draw", "text").dropDuplicates(["draw"]).mapInArrow(described, "draw double, i binary, x binary, y double")
+    rows = sample.orderBy("draw").limit(2 * train_docs).toArrow()
     scorer = context.broadcast(fit_scorer([(np.frombuffer(i, "<u2"), np.frombuffer(x, "<f4"), y) for i, x, y in zip(*(rows.column(c).to_pylist() for c in ("i", "x", "y")), strict=True)]))
 
     def scored(batches):
