@@ -191,28 +191,46 @@ def test_simhash_links(spark):
     assert {v: found.get(v, v) for v in values} == plain_groups(prints)
 
 
-def test_topk(spark):
+def plain_topk(rows, k=20, every=20):
+    """Python integers of any size; every row is a candidate but the query's own."""
+    whole = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in rows]
+    want = []
+    for at, (i, q) in enumerate(whole):
+        if i % every == 0:
+            scored = sorted((-sum(x * y for x, y in zip(q, v, strict=True)), j) for b, (j, v) in enumerate(whole) if b != at and len(v) == len(q))
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])]
+    return sorted(want, key=repr)
+
+
+def topk_rows():
     rng = np.random.default_rng(5)
     vectors = [(i, [float(x) for x in rng.normal(0, 1, 8)]) for i in range(300)] + [(300 + i, [1.0] * 8) for i in range(400)]
-    odd = [(900, None), (901, [None] * 8), (902, [float("nan")] * 8), (None, [1.0] * 8), (903, [2.0, 3.0])]
-    df = spark.createDataFrame([*vectors, vectors[20], *odd], "vec_id long, embedding array<float>")
-    ids = np.array([i for i, _ in vectors])
-    q = np.floor(64 * np.array([v for _, v in vectors], np.float32).astype(float))
-    want = []
-    for k in np.flatnonzero(ids % 20 == 0):
-        s = q @ q[k]
-        best = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[k]][:20]
-        want += [(int(ids[k]), r + 1, int(ids[j]), int(s[j])) for r, j in enumerate(best)]
-    assert collected(topk.search(df).select("query_id", "rank", "vec_id", "score")) == sorted(want, key=repr)
+    return [*vectors, vectors[20], (7, [2.0] * 8), (40, [3.0] * 8), (903, [2.0, 3.0]), (920, []), (940, [])]
+
+
+ODD_VECTORS = [(900, None), (901, [None] * 8), (902, [float("nan")] * 8), (None, [1.0] * 8)]
+VECTORS = "vec_id long, embedding array<float>"
+
+
+def test_topk(spark):
+    df = spark.createDataFrame([*topk_rows(), *ODD_VECTORS], VECTORS)
+    assert collected(topk.search(df).select("query_id", "rank", "vec_id", "score")) == plain_topk(topk_rows())
     assert topk.search(df.limit(0)).count() == 0
 
 
 def test_topk_over_shards(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_LEAST", 50)
-    monkeypatch.setattr(topk, "BLOCK", 10)
+    for name, value in (("REGION_LEAST", 50), ("SHARD", 30), ("BLOCK", 10)):
+        monkeypatch.setattr(topk, name, value)
     test_topk(spark)
 
 
+def test_topk_of_large_components(spark):
+    rng = np.random.default_rng(6)
+    rows = [(7, [3e7, 3e7]), (8, [3e7, 30000002.0]), (20, [3e7, 3e7]), (40, [-3e7, 3e7]), (60, [1.0, 3e7])]
+    rows += [(100 + i, [float(x) for x in rng.integers(-(10**7), 10**7, 2)]) for i in range(300)]
+    assert collected(topk.search(spark.createDataFrame(rows, VECTORS))) == plain_topk(rows)
+
+
 def plain_secrets(x):
     out = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", x) if len(m[2]) >= 6]
     out += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", x) if len(m[0]) >= 20]
