@@ -6,31 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.operators.lineage import checkpointed
+from lacuna.operators.skew import join_per_key
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its smallest node) for every node of a link. Links to null are left out; loops and repeats do no harm.
 
     Star contraction: in turn, the larger neighbours of each node are tied to the smallest one, then the smaller ones are.
-    Links are never more than at first, hubs are joined and not gathered, and each round is checkpointed.
+    Links are never more than at first, hubs are joined as hot keys and not gathered, and each round is checkpointed. Each
+    round that changes anything brings some node nearer to its smallest one, so the rounds end.
     """
     both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
     edges = checkpointed(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     nodes = edges.select("u").union(edges.select("v")).distinct()
-    edges = edges.filter("u <> v")
-    before = None
-    for _ in range(rounds):
-        around = edges.union(edges.select("v", "u"))
-        low = around.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        edges = around.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        tied = edges.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(tied.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+    edges, before = edges.filter("u <> v"), None
+    while True:
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before or not now["n"]:
             break
         before = now
-    else:
-        raise RuntimeError(f"no components after {rounds} rounds")
+        around = edges.union(edges.select("v", "u"))
+        low = around.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+        edges = join_per_key(around, low, "u", 2 * now["n"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        edges = checkpointed(edges.distinct())
+        low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        tied = join_per_key(edges, low, "u", 2 * now["n"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = checkpointed(tied.union(low.select("u", F.col("m").alias("v"))).distinct())
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return nodes.select(F.col("u").alias("node")).join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
