@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from lacuna.llm import bpe, language, mixing, mpeg_audio, pii, quality, queries, repeats, secrets, simhash, topk
+from lacuna.operators.lineage import written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, fp string, base string, spans string, pattern string"
 PASSAGE = "the quick brown fox jumps over the lazy dog while rain falls on the old stone bridge and nobody counts the drops that run along its mossy edge toward the slow green river below where herons wait for morning light to come again "
@@ -187,8 +188,15 @@ def test_simhash_links(spark):
     prints = {v: v & 0xFFFFFFFFFFFFFFFF for v in values}
     from lacuna.operators.components import connected_components
 
-    found = {r.node: r.component for r in connected_components(simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"))).collect()}
-    assert {v: found.get(v, v) for v in values} == plain_groups(prints)
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    for most in (simhash.MOST, 50, 0):  # all postings tallied, large ones cut again, all cut again
+        found = {r.node: r.component for r in connected_components(simhash.links(df, most=most)).collect()}
+        assert {v: found.get(v, v) for v in values} == plain_groups(prints)
+
+
+def test_simhash_without_doc_ids(spark):
+    rows = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (3, "a b c d"), (None, "x y z"), (None, None)], "doc_id long, text string")
+    assert collected(simhash.near_duplicates(rows).select("doc_id", "component_id")) == sorted([(None, 3), (5, 3), (3, 3), (None, None), (None, None)], key=repr)
 
 
 def plain_topk(rows, k=20, every=20):
@@ -305,7 +313,8 @@ def test_pipeline(spark, docs):
 
     out = docs
     for name, stage in corpus_pipeline.STAGES:
-        before, out = out, stage(spark, out, "")
+        before, out = written(out), None
+        out = stage(spark, before, "")
         if name != "bpe":
             assert out.columns == before.columns
     assert out.count() > 0
@@ -316,5 +325,5 @@ def test_pipeline_of_nothing(spark, empty):
 
     out = empty
     for _, stage in corpus_pipeline.STAGES:
-        out = stage(spark, out, "")
+        out = stage(spark, written(out), "")
     assert out.count() == 0
