@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-#: Used only where the session names no checkpoint folder, as in tests on one machine.
+#: Used only where the session names no checkpoint folder and runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/lacuna-checkpoints"
 
 
@@ -14,7 +14,10 @@ def shared_folder(df: DataFrame) -> str:
     """The checkpoint folder of this application, which all executors share."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or LOCAL_CHECKPOINTS)
     return context.getCheckpointDir()
 
 
