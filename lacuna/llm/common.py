@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,3 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the key and the text (null: empty); other columns, however named, take no part."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[Column], list[Column]]:
+    """The rows under names that no operator uses, the columns asked for, and all columns under their own names again."""
+    rows = docs.toDF(*[f"column_{i}" for i in range(len(docs.columns))])
+    asked = [F.col(rows.columns[docs.columns.index(c)]) for c in columns]
+    return rows, asked, [F.col(new).alias(old) for new, old in zip(rows.columns, docs.columns, strict=True)]

@@ -2,13 +2,14 @@
 
 Sources in code point order (null last) weigh 5, 2, 1, repeating. Together they get as many words as all documents have;
 no source's target exceeds 3 times its size, and what it cannot take goes to the others by weight. A document's place in
-its source is a hash of its doc_id; the source is cut at its exact budget of words along that order, after whole epochs.
+its source is a hash of its doc_id and text; the source is cut at its exact budget of words along that order, after whole
+epochs. Equal rows are counted first and follow one another, so a group of copies is one row of the sums.
 
 Prefix sums are distributed: each source is cut into key ranges of about ``RANGE`` documents, ranges are summed and their
 sums accumulated (one row a range), and only within a range are documents sorted. No source is gathered.
 
-Defined results: null or wordless text has size 0 and is taken 0 times; a null source is a source; rows that share doc_id
-take neighbouring places; an empty table gives an empty table; other columns are carried by ``mixed_documents`` only.
+Defined results: null or wordless text has size 0 and is taken 0 times; a null source is a source; rows that share doc_id,
+or have none, have places of their own; equal rows take neighbouring places; an empty table gives an empty table; other columns are carried by ``mixed_documents`` only.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.llm.common import numbered
 from lacuna.operators.lineage import written
 
 WEIGHTS = (5, 2, 1)
@@ -25,13 +27,18 @@ SEED = 20_240_917
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _key(doc_id, text):
+    """A 53-bit place in the order of documents."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id.cast("long"), text, F.lit(SEED)), 11)
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words and the 53-bit hash key of each document."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 11).alias("key"),
+        _key(F.col("doc_id"), F.col("text")).alias("key"),
     )
 
 
@@ -57,30 +64,38 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return per.select("source", "number", "n", "source_size", F.when(F.col("stops"), F.col("limit")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target and taken, the words that the mix takes of each document, repeats counted."""
+def _mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """As ``mix``, with the documents' keys."""
     sized = written(sizes(docs))
     per = written(targets(sized, weights, most)).alias("p")
-    of = sized.alias("d").join(per, F.col("d.source").eqNullSafe(F.col("p.source"))).select("doc_id", "size", "key", "number", "n", "source_size", "target")
+    equal = sized.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("copies"))
+    of = equal.alias("d").join(per, F.col("d.source").eqNullSafe(F.col("p.source"))).select("doc_id", "size", "key", "copies", "number", "n", "source_size", "target")
     of = of.withColumn("range", F.floor(F.col("key") / F.lit(float(1 << 53)) * F.ceil(F.col("n") / RANGE)).cast("long"))
-    sums = of.groupBy("number", "range").agg(F.sum("size").alias("words"))
+    sums = of.groupBy("number", "range").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
     earlier = Window.partitionBy("number").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("number", "range", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
     inside = Window.partitionBy("number", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = of.join(starts, ["number", "range"]).withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = of.join(starts, ["number", "range"]).withColumn("before", F.col("start") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - F.col("epochs") * F.col("source_size")
-    cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return placed.withColumn("epochs", epochs).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"))
+    cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - F.col("copy") * F.col("size")))
+    each = placed.withColumn("epochs", epochs).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"), "key")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """doc_id, size, source_size, target and taken, the words that the mix takes of each document, repeats counted."""
+    return _mix(docs, weights, most).drop("key")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The documents that the mix takes, a row for each epoch; a document that the cut divides stays whole if at least half is taken.
 
-    Rows that share a doc_id share the largest of their shares. Needs doc_id, source and text; all columns are returned.
+    Rows of one doc_id and text share the largest of their shares. Needs doc_id, source and text; all columns are returned.
     """
     share = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    times = mix(docs, weights, most).groupBy(F.col("doc_id").alias("__id")).agg(F.max(share).alias("__times")).filter("__times > 0")
-    kept = docs.join(times, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")))
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    times = written(_mix(docs, weights, most).groupBy("key").agg(F.max(share).alias("times")).filter("times > 0"))
+    rows, (doc_id, text), named = numbered(docs, "doc_id", "text")
+    kept = rows.withColumn("key", _key(doc_id, text)).join(times, "key")
+    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*named)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm.anchors import mixed
-from lacuna.llm.common import id_text
+from lacuna.llm.common import id_text, numbered
 from lacuna.llm.repeats import Filter, _filter
 from lacuna.operators.lineage import written
 
@@ -239,7 +239,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     base = rows.mapInArrow(run, "doc_id long, row long, base array<struct<kind:int,start:long,stop:long>>")
     added = F.transform(F.coalesce("more", F.array().cast("array<struct<start:bigint,stop:bigint>>")), lambda x: F.struct(F.lit(len(BASE)).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
-    return base.join(more, "row", "left").select("doc_id", "row", "base", F.concat("base", added).alias("spans"))
+    return base.join(written(more), "row", "left").select("doc_id", "row", "base", F.concat("base", added).alias("spans"))
 
 
 def _is(kind: int):
@@ -254,25 +254,30 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """All documents with each span of personal data replaced by its kind in brackets; overlapping spans become one."""
-    spans = find(docs).filter(F.size("spans") > 0).select("row", "spans").dropDuplicates(["row"])
-    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    joined = keyed.join(spans.select(F.col("row").alias("__row"), F.col("spans").alias("__spans")), "__row", "left")
+    """All documents with each span of personal data replaced by its kind in brackets; overlapping spans become one.
+
+    Only what context shows is joined to the texts, as a table whose size the planner knows; base spans are found in passing.
+    """
+    rows, (doc_id, text), named = numbered(docs, "doc_id", "text")
+    keyed = rows.withColumn("row", F.xxhash64(doc_id.cast("long"), F.coalesce(text, F.lit(""))))
+    more = discovered(keyed.select("row", F.coalesce(text, F.lit("")).alias("text"))).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
+    joined = keyed.join(written(more), "row", "left")
 
     @F.pandas_udf("string")
-    def cut(text, spans):
+    def cut(text, more):
         import pandas as pd
 
-        return pd.Series([_cut(t, s) for t, s in zip(text, spans, strict=True)])
+        return pd.Series([_cut(t, m) for t, m in zip(text, more, strict=True)])
 
-    return joined.select(*[F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut("text", "__spans")).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return joined.select(*[cut(text, "more").alias(old) if old == "text" else c for c, old in zip(named, docs.columns, strict=True)])
 
 
-def _cut(text, spans):
-    if text is None or spans is None:
+def _cut(text, more):
+    if text is None:
         return text
+    spans = [(a, b, k) for k, a, b in base_spans(text)] + [(s["start"], s["stop"], len(BASE)) for s in (() if more is None else more)]
     out, at = [], 0
-    for start, stop, kind in sorted((s["start"], s["stop"], s["kind"]) for s in spans):
+    for start, stop, kind in sorted(spans):
         if start >= at:
             out += (text[at:start], f"[{KINDS[kind]}]")
         at = max(at, stop)

@@ -308,6 +308,23 @@ def test_quality(spark, docs, empty):
     assert quality.classify(docs).count() == len(texts()) and quality.classify(empty).count() == 0
 
 
+def test_clashing_columns(spark, docs):
+    odd = docs.select("doc_id", "text", "source", *[docs["row"].alias(c) for c in ("key", "more", "copy", "times", "__row", "__id", "column_1")])
+    for f in (pii.redacted, mixing.mixed_documents):
+        found = f(odd)
+        assert found.columns == odd.columns and {r["key"] for r in found.collect()} == {"r"}
+
+
+def test_mixing_of_equal_rows(spark):
+    rows = [(1, "a b c d", "s")] * 30 + [(None, f"w{i} x", "s") for i in range(20)] + [(2, "z " * 10, "t")] * 5
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken = collections.Counter()
+    for r in found:
+        taken[r.source_size] += r.taken
+    # 210 words by weights 5 and 2; the cut of the first source falls among the rows without doc_id or among the copies.
+    assert len(found) == 55 and taken == {160: 150, 50: 60}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
