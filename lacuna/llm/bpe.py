@@ -123,11 +123,6 @@ def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which
     return values[at]
 
 
-@functools.lru_cache(maxsize=1)
-def _encoder(definition: str, special: tuple) -> Encoder:
-    return Encoder(definition, dict(special))
-
-
 def _definition(path: str) -> tuple[str, dict[str, int]]:
     """The tokenizer's file and its special tokens."""
     with open(path, encoding="utf-8") as f:
@@ -247,7 +242,7 @@ def _word_table(rows: DataFrame, definition, special: dict[str, int], bounds: tu
             yield from told()
 
     def encoded(batches):
-        encoder, known, of = _encoder(definition.value, tuple(special.items())), {}, None
+        encoder, known, of = Encoder(definition.value, special), {}, None
         for batch in batches:
             found = []
             for bucket, x in zip(batch.column("__bucket").to_pylist(), batch.column("__pack"), strict=True):
