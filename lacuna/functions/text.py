@@ -13,9 +13,19 @@ from pyspark.sql import functions as F
 LATIN = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i"}
 #: Han numerals.
 HAN_DIGITS = {"〇": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
-ROMAN = re.compile(r"\b(?=[ivx])(x{0,3})(ix|iv|v?i{0,3})\b")
-_ROMAN_TENS = {"": 0, "x": 10, "xx": 20, "xxx": 30}
-_ROMAN_ONES = {"": 0, "i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9}
+#: Words after which any numeral from I to XX is a number, single letters included.
+NUMBERED = "part pt act movement mov mvt vol volume chapter suite no nr track scene phase section book canto opus op"
+
+
+def _roman(n: int) -> str:
+    tens, ones = divmod(n, 10)
+    return "x" * tens + ("ix" if ones == 9 else "iv" if ones == 4 else "v" * (ones // 5) + "i" * (ones % 5))
+
+
+_VALUES = {_roman(n): str(n) for n in range(1, 21)}
+_NUMERAL = re.compile(
+    rf"(?P<word>\b(?:{'|'.join(NUMBERED.split())})\b\.?\s*)(?P<after>[ivx]+)\b|(?P<open>[(\[{{]\s*)(?P<inside>[ivx]+)(?=\s*[)\]}}])|\b(?P<alone>[ivx]{{2,}})\b", re.IGNORECASE
+)
 _SPACE = re.compile(r"[\W_]+")
 
 
@@ -48,9 +58,14 @@ def normalised(text: str | None) -> str:
     return key or " ".join(folded.split())
 
 
-def numerals(key: str) -> str:
-    """Roman numerals from i to xxxix as digits, in a normalised key."""
-    return ROMAN.sub(lambda m: str(_ROMAN_TENS[m[1]] + _ROMAN_ONES[m[2]]) if m[0] else "", key)
+def numerals(text: str) -> str:
+    """Roman numerals from I to XX as digits; I, V and X alone only in brackets or after a word that numbers something."""
+
+    def digits(m: re.Match) -> str:
+        found = m["after"] or m["inside"] or m["alone"]
+        return (m["word"] or m["open"] or "") + _VALUES.get(found.lower(), found)
+
+    return _NUMERAL.sub(digits, text)
 
 
 _DASH = r"[-‐-―−~〜～]"
@@ -64,14 +79,16 @@ def filename_title(name: str) -> str:
     return _ARTIST.sub("", _PREFIX.sub("", stem)).strip() or stem
 
 
+#: Words that make a bracket a version, and marks of a guest.
 _DESCRIPTOR = re.compile(r"[\(\[]([^()\[\]]*\b(?:live|remix|mix|demo|acoustic|instrumental|remaster(?:ed)?|edit|version|mono|stereo|karaoke)\b[^()\[\]]*)[\)\]]", re.IGNORECASE)
 _FEATURE = re.compile(r"[\(\[]\s*(?:feat\.?|ft\.?|featuring|with)\s+([^()\[\]]+)[\)\]]|\s(?:feat\.?|ft\.?|featuring)\s+(.+)$", re.IGNORECASE)
 
 
 def title_parts(title: str) -> tuple[str, list[str], str]:
-    """The base title's key, its version descriptors and the guests it credits; an unbracketed "with" is title text."""
+    """The base title's key, its version descriptors and the guests it credits; an unbracketed "with" is title text.
+    Roman numerals count as numbers, so Part II and Part 2 have one key."""
     guests = " & ".join(next(g for g in m.groups() if g).strip() for m in _FEATURE.finditer(title))
-    rest = _FEATURE.sub(" ", title)
+    rest = numerals(_FEATURE.sub(" ", title))
     versions = sorted({normalised(m[1]) for m in _DESCRIPTOR.finditer(rest)})
     return normalised(_DESCRIPTOR.sub(" ", rest)), versions, normalised(guests)
 

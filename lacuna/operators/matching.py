@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.operators.lineage import checkpointed
+from lacuna.operators.components import connected_components
+from lacuna.operators.lineage import checkpointed, written
 from lacuna.operators.ranking import top_rows
 
 
@@ -34,10 +35,20 @@ def blocked_candidates(left: DataFrame, right: DataFrame, left_key: str, right_k
 
 
 def coverage(items: DataFrame, docs: DataFrame, item_key: str, doc_key: str, text: str, least_tokens: int, least_share: float) -> DataFrame:
-    """Items most of whose tokens a document holds."""
+    """Items most of whose tokens a document holds.
+
+    A document that holds a share of an item's n tokens holds one of any n - share * n + 1 of them, so the item's rarest ones
+    give all candidates, and common tokens are looked up for these only.
+    """
+    there = written(postings(docs, doc_key, text))
     tokens = postings(items, item_key, text)
     size = tokens.groupBy(item_key).agg(F.count("*").alias("n_tokens")).filter(F.col("n_tokens") >= least_tokens)
-    held = tokens.join(size, item_key).join(postings(docs, doc_key, text), "token").groupBy(item_key, doc_key, "n_tokens").agg(F.count("*").alias("n_held"))
+    often = there.groupBy("token").agg(F.count("*").alias("n_docs"))
+    rarest = F.row_number().over(Window.partitionBy(item_key).orderBy(F.coalesce("n_docs", F.lit(0)), "token"))
+    tokens = written(tokens.join(size, item_key).join(often, "token", "left").withColumn("nth", rarest))
+    first = tokens.filter(F.col("nth") <= F.col("n_tokens") - F.ceil(F.col("n_tokens") * least_share - 1e-9) + 1)
+    met = first.select(item_key, "token").join(there, "token").select(item_key, doc_key).distinct()
+    held = met.join(tokens.select(item_key, "n_tokens", "token"), item_key).join(there, [doc_key, "token"]).groupBy(item_key, doc_key, "n_tokens").agg(F.count("*").alias("n_held"))
     return held.filter(F.col("n_held") >= F.col("n_tokens") * least_share)
 
 
@@ -71,20 +82,37 @@ def similar_names(df: DataFrame, name: str, least: float) -> DataFrame:
     return able.withColumn("ratio", matching_blocks_ratio("a", "b")).filter(F.col("ratio") >= least)
 
 
-def greedy_assignment(offers: DataFrame, left: str, right: str, score: str, rounds: int = 200) -> DataFrame:
+def _in_order(block: pd.DataFrame) -> pd.DataFrame:
+    """The ranks of the offers that are taken, by falling rank, while both ends are free."""
+    used_a, used_b, taken = set(), set(), []
+    for a, b, r in block.sort_values("r")[["a", "b", "r"]].itertuples(index=False):
+        if a not in used_a and b not in used_b:
+            used_a.add(a)
+            used_b.add(b)
+            taken.append(r)
+    return pd.DataFrame({"part": [block["part"].iloc[0]] * len(taken), "r": taken})
+
+
+def greedy_assignment(offers: DataFrame, left: str, right: str, score: str, most: int = 50_000) -> DataFrame:
     """One-to-one pairs as if offers were taken by falling score (ties by left, then right) while both ends are free.
 
-    In each round every offer that is the best of both its ends is taken, which is what the sequence would do, and the
-    offers of taken ends go. Ends take part by joins, so no block of offers is gathered.
+    Offers that share no end, directly or through others, don't touch each other, so connected parts are settled apart: parts
+    of up to ``most`` offers in one pass over each. In larger ones, every round takes all offers that are the best of both
+    their ends, which is what the sequence would do, and drops the offers of taken ends; each round takes some, so it ends.
+    Null ends take no part.
     """
-    order = [F.desc(score), F.col(left), F.col(right)]
-    open_ = checkpointed(offers.select(left, right, score).distinct())
-    taken = None
-    for _ in range(rounds):
-        best = top_rows(open_, [left], order).intersect(top_rows(open_, [right], order))
-        best = checkpointed(best)
-        taken = best if taken is None else taken.union(best)
-        if best.isEmpty():
-            return taken
-        open_ = checkpointed(open_.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti").select(left, right, score))
-    raise RuntimeError(f"offers are left after {rounds} rounds")
+    order = [F.desc("worth"), F.col("one"), F.col("two")]
+    given = offers.select(F.col(left).alias("one"), F.col(right).alias("two"), F.col(score).alias("worth")).filter("one is not null and two is not null").distinct()
+    given = checkpointed(given.withColumn("a", F.xxhash64(F.lit("left"), "one")).withColumn("b", F.xxhash64(F.lit("right"), "two")))
+    parts = connected_components(given.select("a", "b")).select(F.col("node").alias("a"), F.col("component").alias("part"))
+    given = checkpointed(given.join(parts, "a"))
+    sizes = given.groupBy("part").agg(F.count("*").alias("n"))
+    small = given.join(sizes.filter(F.col("n") <= most).drop("n"), "part").withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    settled = small.select("part", "a", "b", "r").groupBy("part").applyInPandas(_in_order, "part long, r int")
+    taken = small.join(settled, ["part", "r"]).select("one", "two", "worth")
+    open_ = checkpointed(given.join(sizes.filter(F.col("n") > most).drop("n"), "part", "left_semi").select("one", "two", "worth"))
+    while not open_.isEmpty():
+        best = checkpointed(top_rows(open_, ["one"], order).intersect(top_rows(open_, ["two"], order)))
+        taken = taken.union(best)
+        open_ = checkpointed(open_.join(best.select("one"), "one", "left_anti").join(best.select("two"), "two", "left_anti").select("one", "two", "worth"))
+    return taken.toDF(left, right, score)

@@ -32,6 +32,30 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_quantity >= 48)")
+def parts_without_large_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that no line of 48 pieces or more holds."""
+    part, lines = t(spark, sf_dir, "part"), t(spark, sf_dir, "lineitem").filter("l_quantity >= 48")
+    return part.join(lines, part.p_partkey == lines.l_partkey, "left_anti").select("p_partkey", "p_name")
+
+
+@query("""SELECT coalesce(u.k, f.k) AS custkey, CASE WHEN u.k IS NOT NULL AND f.k IS NOT NULL THEN 'found' WHEN u.k IS NOT NULL THEN 'missing' ELSE 'extra' END AS status
+FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT') u FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') f ON u.k = f.k""")
+def urgent_against_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with urgent orders against customers with filled ones: all three statuses occur."""
+    orders = t(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "custkey")
+    return gaps.reconciled(orders.filter("o_orderpriority = '1-URGENT'").select("custkey"), orders.filter("o_orderstatus = 'F'").select("custkey"), "custkey")
+
+
+@query("""SELECT custkey FROM ((SELECT o_custkey AS custkey FROM orders WHERE o_orderpriority = '1-URGENT' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')
+UNION (SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'))""")
+def urgent_or_low_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with urgent or low orders, but not both."""
+    orders = t(spark, sf_dir, "orders")
+    urgent, low = (orders.filter(F.col("o_orderpriority") == p).select(F.col("o_custkey").alias("custkey")) for p in ("1-URGENT", "5-LOW"))
+    return urgent.subtract(low).union(low.subtract(urgent))
+
+
 LINE_ORDER = ["l_quantity", "l_extendedprice", "l_partkey", "l_suppkey", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 SQL_LINE_ORDER = "l_quantity, l_extendedprice, l_partkey, l_suppkey, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 

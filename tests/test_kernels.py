@@ -27,6 +27,8 @@ def test_normalised_is_stable_over_composition(text):
 def test_numerals_and_names():
     assert numerals("movement ii") == "movement 2"
     assert numerals("civil mix") == "civil mix"
+    assert [numerals(x) for x in ("I love you", "Part I", "Sonata (V)", "King Henry VIII", "X marks", "Vol. xx", "xxi")] == ["I love you", "Part 1", "Sonata (5)", "King Henry 8", "X marks", "Vol. 20", "xxi"]
+    assert title_parts("Suite, Part II") == title_parts("Suite Part 2")
     assert filename_title("01 - Artist - Song.mp3") == "Song"
     assert filename_title("dir\\Song.flac") == "Song"
     assert title_parts("Dancing with You (Live at Home) [feat. Ann]") == ("dancing with you", ["live at home"], "ann")
@@ -56,3 +58,17 @@ def test_chain_of_links(spark):
 def test_greedy_assignment(spark):
     offers = spark.createDataFrame([("a", "x", 9), ("a", "y", 8), ("b", "x", 8), ("b", "z", 1), ("c", "y", 8)], "l string, r string, s int")
     assert sorted(tuple(r) for r in greedy_assignment(offers, "l", "r", "s").collect()) == [("a", "x", 9), ("b", "z", 1), ("c", "y", 8)]
+
+
+def test_greedy_assignment_of_chains(spark):
+    """A chain settles one pair after the other, in small parts and in large ones."""
+    chain = [(f"a{i // 2}", f"x{(i + 1) // 2}", 100 - i) for i in range(17)]
+    want, a, b = [], set(), set()
+    for x, y, s in sorted(chain, key=lambda o: (-o[2], o[0], o[1])):
+        if x not in a and y not in b:
+            want.append((x, y, s))
+            a.add(x)
+            b.add(y)
+    offers = spark.createDataFrame([*chain, ("a0", None, 500)], "l string, r string, s int")
+    for most in (50_000, 0):
+        assert sorted(tuple(r) for r in greedy_assignment(offers, "l", "r", "s", most).collect()) == sorted(want)
