@@ -62,8 +62,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality, op2_mpeg_audio, op3_bpe, op4_pii, op5_mixing, op6_simhash, op7_topk, op8_secrets, op9_language, op10_repeats)}
 
 
-OP7 = """WITH p AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)
+OP7 = """WITH p AS (SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)
 SELECT query_id, rank, vec_id, score FROM (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.v, b.v)::BIGINT AS score,
   row_number() OVER (PARTITION BY a.r ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id)::INT AS rank
   FROM p a JOIN p b ON a.vec_id % 20 = 0 AND a.r <> b.r AND len(a.v) = len(b.v)) WHERE rank <= 20"""
