@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, language, mixing, mpeg_audio, pii, quality, repeats, secrets, simhash, topk
+from lacuna.llm import bpe, filter_audit, language, mixing, mpeg_audio, pii, quality, repeats, secrets, simhash, topk
 from lacuna.llm.common import table
 
 
@@ -58,8 +58,18 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mpeg_audio, op3_bpe, op4_pii, op5_mixing, op6_simhash, op7_topk, op8_secrets, op9_language, op10_repeats)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_quality, op2_mpeg_audio, op3_bpe, op4_pii, op5_mixing, op6_simhash, op7_topk, op8_secrets, op9_language, op10_repeats,
+            op12_filter_audit,
+        )
+    }
 
 
 OP7 = """WITH p AS (SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS v FROM embeddings
@@ -69,6 +79,24 @@ SELECT query_id, rank, vec_id, score FROM (SELECT a.vec_id AS query_id, b.vec_id
   FROM p a JOIN p b ON a.vec_id % 20 = 0 AND a.r <> b.r AND len(a.v) = len(b.v)) WHERE rank <= 20"""
 
 
+OP12 = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY ALL),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, map {'A': (len(w) < 200)::INT, 'B': (100 * len(list_distinct(w)) < 50 * len(w))::INT,
+    'C': (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT, 'D': regexp_matches(text, '[#$%&*|]')::INT,
+    'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT} AS fails FROM d LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, step::INT AS step, filter_order[step] AS c, filter_order[1:step - 1] AS earlier FROM o, range(1, 6) r(step)),
+m AS (SELECT part, filter_order, step, c, n, good, bad, fails[c] AS here, fails['A'] + fails['B'] + fails['C'] + fails['D'] + fails['E'] AS every,
+    CASE WHEN contains(earlier, 'A') THEN fails['A'] ELSE 0 END + CASE WHEN contains(earlier, 'B') THEN fails['B'] ELSE 0 END + CASE WHEN contains(earlier, 'C') THEN fails['C'] ELSE 0 END
+    + CASE WHEN contains(earlier, 'D') THEN fails['D'] ELSE 0 END + CASE WHEN contains(earlier, 'E') THEN fails['E'] ELSE 0 END AS gone FROM g, s),
+r AS (SELECT part, filter_order, step, c, sum(CASE WHEN gone = 0 AND here = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN gone = 0 AND here = 1 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN gone > 0 AND here = 1 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN here = 1 AND every = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN gone = 0 AND here = 1 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN gone = 0 AND here = 1 THEN bad ELSE 0 END)::BIGINT AS toxic_lost FROM m GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, c)::BIGINT AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express within a test's time; op7's sums are exact while they are under 2^53."""
-    return {"op7_topk": OP7}
+    return {"op7_topk": OP7, "op12_filter_audit": OP12}
