@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, filter_audit, language, mixing, mpeg_audio, pii, quality, repeats, secrets, simhash, topk
+from lacuna.llm import bpe, filter_audit, language, mixing, mpeg_audio, packing, phrases, pii, quality, repeats, secrets, simhash, topk
 from lacuna.llm.common import table
 
 
@@ -58,16 +58,24 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_quality, op2_mpeg_audio, op3_bpe, op4_pii, op5_mixing, op6_simhash, op7_topk, op8_secrets, op9_language, op10_repeats,
-            op12_filter_audit,
+            op11_packing, op12_filter_audit, op13_phrases,
         )
     }
 
@@ -97,6 +105,18 @@ r AS (SELECT part, filter_order, step, c, sum(CASE WHEN gone = 0 AND here = 0 TH
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, c)::BIGINT AS shapley FROM r"""
 
 
+OP13 = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, w[i:i + m - 1] AS x, count(*) AS f FROM (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 6) r(m)) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT g.lang, g.m, g.x, g.f AS a, k, h.f AS l, r.f AS r, n, ((1000 * g.f::HUGEINT * n) // (h.f::HUGEINT * r.f))::BIGINT AS score FROM g JOIN t USING (lang) JOIN range(1, 5) q(k) ON k < g.m
+    JOIN g h ON h.lang = g.lang AND h.x = g.x[1:k] JOIN g r ON r.lang = g.lang AND r.x = g.x[k + 1:]),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, k) = 1),
+d AS (SELECT lang, array_to_string(x, ' ') AS phrase, a, l, r, n::BIGINT AS n, score FROM b WHERE NOT EXISTS (SELECT 1 FROM g o WHERE o.lang = b.lang AND o.m > b.m AND 100 * o.f >= 100 * b.a
+    AND contains(' ' || array_to_string(o.x, ' ') || ' ', ' ' || array_to_string(b.x, ' ') || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM d QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express within a test's time; op7's sums are exact while they are under 2^53."""
-    return {"op7_topk": OP7, "op12_filter_audit": OP12}
+    return {"op7_topk": OP7, "op12_filter_audit": OP12, "op13_phrases": OP13}
