@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,3 +23,15 @@ def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[Column], l
     rows = docs.toDF(*[f"column_{i}" for i in range(len(docs.columns))])
     asked = [F.col(rows.columns[docs.columns.index(c)]) for c in columns]
     return rows, asked, [F.col(new).alias(old) for new, old in zip(rows.columns, docs.columns, strict=True)]
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of so many rows go to Python while actions run in this block: long texts and sets make large ones too large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
