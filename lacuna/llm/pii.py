@@ -1,11 +1,12 @@
 """Personal data: fixed patterns, and bootstrapped extraction from context.
 
 Base kinds (email, ip, card, phone) are found by pattern and always reported. They are also the seeds: the words around a
-seed make lexical patterns (two words before; one before and one after; two after). Tokens that look like identifiers but
-match no base kind are candidates. Spark joins patterns and instances (seeds and candidates) as a graph and scores it in
+seed make lexical patterns (two words before; one before and one after; two after; one before; one after). Tokens that look
+like identifiers but match no base kind are candidates. Spark joins patterns and instances (seeds and candidates) as a graph and scores it in
 rounds: each round admits the patterns that enough trusted instances stand in, seeds or candidates found before, so what is
-found leads to new patterns. A pattern is as reliable as the share of all tokens of the corpus in its place that are trusted
-instances; a candidate is as reliable as the patterns around it make it together. Candidates above a threshold are reported.
+found leads to new patterns. A pattern is as reliable as the share of trusted instances among these and the tokens in its
+place that don't look like identifiers; candidates that are not decided yet speak neither for it nor against it, since they are
+what it is to find. A candidate is as reliable as the patterns around it make it together. Candidates above a threshold are reported.
 
 How often a pattern stands around any other token at all comes from a second pass over all texts, in which a token is cut as
 candidates are: outer punctuation belongs to its context, and what touches a seed or candidate counts as that instance. A
@@ -127,6 +128,10 @@ def patterns(text: str, start: int, stop: int) -> list[int]:
         out.append(_pair([b[-1]], [a[0]], 1))
     if len(a) == 2:
         out.append(_pair([a[0]], [a[1]], 2))
+    if b:
+        out.append(_pair([b[-1]], [b[-1]], 3))
+    if a:
+        out.append(_pair([a[0]], [a[0]], 4))
     return [int(x.view(np.int64)[0]) for x in out]
 
 
@@ -185,7 +190,7 @@ def _contexts(text: str) -> list[np.ndarray]:
             b2[i], has_b2[i], b1[i], has_b1[i] = b1[i], has_b1[i], zlib.crc32(lead), True
         if tail := word[len(front) :]:
             a2[i], has_a2[i], a1[i], has_a1[i] = a1[i], has_a1[i], zlib.crc32(tail), True
-    shapes = ((b2, b1, has_b2 & has_b1), (b1, a1, has_b1 & has_a1), (a1, a2, has_a1 & has_a2))
+    shapes = ((b2, b1, has_b2 & has_b1), (b1, a1, has_b1 & has_a1), (a1, a2, has_a1 & has_a2), (b1, b1, has_b1), (a1, a1, has_a1))
     return [_pair(x[good & free], y[good & free], k) for k, (x, y, good) in enumerate(shapes)]
 
 
@@ -209,16 +214,17 @@ def discovered(docs: DataFrame, rounds: int = ROUNDS, least_pattern: float = LEA
     edges = written(_edges(docs))
     graph = edges.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.count("*").alias("times"), F.max("seed").alias("seed"))
     graph = written(graph)
-    useful = written(graph.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("times").alias("held")).filter(F.col("instances") >= LEAST_SEEDS).select("pattern", "held"))
+    useful = written(graph.groupBy("pattern").agg(F.count("*").alias("instances")).filter(F.col("instances") >= LEAST_SEEDS).select("pattern"))
     if useful.isEmpty():
         return edges.filter("false").select("row", "start", "stop")
     wanted = docs.sparkSession.sparkContext.broadcast(_filter(useful, "pattern").words)
-    totals = useful.join(_occurrences(docs, wanted), "pattern", "left").select("pattern", (F.col("held") + F.coalesce("n", F.lit(0))).alias("n"))
+    totals = useful.join(_occurrences(docs, wanted), "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("others"))
     graph = written(graph.join(totals, "pattern"))
     trusted = graph.select("instance", "seed").groupBy("instance").agg(F.max("seed").cast("double").alias("trust"))
     for _ in range(rounds):
         backing = F.count_if(F.col("trust") >= least_instance).alias("backing")
-        score = graph.join(trusted, "instance").groupBy("pattern").agg((F.sum(F.col("times") * F.col("trust")) / (F.max("n") + 1)).alias("score"), backing)
+        times = F.sum(F.col("times") * F.col("trust"))
+        score = graph.join(trusted, "instance").groupBy("pattern").agg((times / (times + F.max("others") + 1)).alias("score"), backing)
         good = score.filter((F.col("score") >= least_pattern) & (F.col("backing") >= LEAST_SEEDS)).select("pattern", "score")
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce("score", F.lit(0.0))))))
         trusted = written(graph.join(good, "pattern", "left").groupBy("instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("trust")))
