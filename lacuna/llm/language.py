@@ -5,9 +5,10 @@ Texts are cut into windows of ``WINDOW`` bytes. Filters of several widths slide
 languages. A text's score is the softmax of the mean of its windows' log-probabilities, over all of its windows.
 
 Training rows: those whose crc32(doc_id as text) mod 3 is not 1 and whose lang is not null. The network is fitted on about
-``TRAIN_DOCS`` of them, at most twice as many, chosen by a hash of the row, evenly over the languages (equal rows count once).
-Their whole texts are its windows, of which each of ``STEPS`` steps draws ``BATCH``. The bound on rows is the only thing about
-the network that does not grow with the corpus. All languages are learned.
+``TRAIN_DOCS`` of them, chosen by a hash of the row, evenly over the languages (equal rows count once). Their whole texts are
+cut into windows by the tasks; the driver gets all of these, or the ``TRAIN_WINDOWS`` with the smallest hash if there are more,
+so any part of any text may be among them. Each of ``STEPS`` steps draws ``BATCH``. These bounds are the only things about the
+network that do not grow with the corpus. All languages are learned.
 
 ``identified_documents`` fits on four fifths of the training rows; on up to about ``SPARE_DOCS`` of the others it takes the
 lowest score of a text whose language is found, and rejects texts that are more than twice as far from 1 as that one, so that
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 WINDOW = 128
 WIDTHS, FILTERS = (2, 3, 4), 16
 TRAIN_DOCS = 3_000
+#: Windows that the driver gets, 128 bytes each.
+TRAIN_WINDOWS = 150_000
 SPARE_DOCS, LEAST_SPARE = 1_000, 50
 STEPS, BATCH, RATE, SEED = 800, 64, 0.01, 7
 CHUNK = 512
@@ -131,7 +134,23 @@ def _training(docs: DataFrame, spare: bool | None = None) -> DataFrame:
     return labelled if spare is None else labelled.filter((_draw(SEED + 1) < 0.2) == F.lit(spare))
 
 
-def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, spare: bool = False) -> tuple[list[str], Network] | None:
+def _drawn_windows(chosen: DataFrame, most: int) -> DataFrame:
+    """draw, lang, place and window of all windows of the texts, or of the ``most`` with the smallest hash."""
+
+    def cut(batches):
+        for batch in batches:
+            for draw, lang, text in zip(batch.column("draw").to_pylist(), batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                found = windows(text.as_py().encode())
+                for at in range(0, len(found), CHUNK):
+                    part = found[at : at + CHUNK]
+                    columns = [pa.array([draw] * len(part), pa.float64()), pa.array([lang] * len(part), pa.string()), pa.array(np.arange(at, at + len(part)), pa.int64()), pa.array([w.tobytes() for w in part], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["draw", "lang", "place", "window"])
+
+    every = chosen.select("draw", "lang", "text").mapInArrow(cut, "draw double, lang string, place long, window binary")
+    return every.orderBy(F.xxhash64("draw", "lang", "place"), "draw", "lang", "place").limit(most)
+
+
+def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, spare: bool = False, max_windows: int = TRAIN_WINDOWS) -> tuple[list[str], Network] | None:
     """Languages and network, or None where nothing is labelled; with ``spare``, rows are left for calibration."""
     labelled = _training(docs, False if spare else None)
     counts = labelled.groupBy("lang").count().collect()
@@ -142,13 +161,10 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, spare: bool = False) ->
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, share double")
     drawn = labelled.withColumn("draw", _draw(SEED)).join(F.broadcast(shares), "lang").filter("draw < share")
     chosen = drawn.select("draw", "text", "lang").dropDuplicates(["draw", "lang"])
-    rows = chosen.orderBy("draw", "lang").limit(2 * max(train_docs, len(langs))).toArrow()
+    rows = _drawn_windows(chosen, max_windows).toArrow().sort_by([("draw", "ascending"), ("lang", "ascending"), ("place", "ascending")])
+    x = np.frombuffer(b"".join(rows.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW)
     place = {lang: k for k, lang in enumerate(langs)}
-    x, y = [np.zeros((0, WINDOW), np.uint8)], [np.zeros(0, np.int64)]
-    for text, lang in zip(rows.column("text"), rows.column("lang").to_pylist(), strict=True):
-        x.append(windows(text.as_py().encode()))
-        y.append(np.full(len(x[-1]), place[lang]))
-    x, y = np.concatenate(x), np.concatenate(y)
+    y = np.array([place[lang] for lang in rows.column("lang").to_pylist()], np.int64)
     return (langs, train(x, y, len(langs))) if len(x) else None
 
 

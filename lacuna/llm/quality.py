@@ -3,7 +3,7 @@
 Heuristic labellers look at every text and vote good, bad or nothing. The corpus is counted by combination of votes (at
 most 3 to the power of the number of labellers), and expectation-maximisation on these counts estimates how often texts
 are good and how accurate each labeller is. The posterior of a text's votes is its label; the labels of about ``TRAIN_DOCS``
-whole texts, at most twice as many, chosen by a hash of the row (equal rows count once), train a linear logistic scorer on
+whole texts, at most twice as many and at most ``SAMPLE_BYTES`` of features, chosen by a hash of the row (equal rows count once), train a linear logistic scorer on
 hashed byte 4-grams, which then scores every whole text. A row is kept if the scorer gives ``KEEP`` or more, or if the
 labellers that spoke are ``SURE`` that it is good (posterior), whatever the scorer says.
 
@@ -19,8 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm.common import id_text
+from lacuna.operators.lineage import written
 
 GRAM_BITS, TRAIN_DOCS, SEED = 15, 2_000, 11
+#: Bytes of features that the driver gets to train on, the first by hash.
+SAMPLE_BYTES = 96 << 20
 EM_ROUNDS, EPOCHS, RATE, DECAY = 50, 12, 0.5, 1e-4
 #: A text is kept if the scorer says so, or if the labellers that spoke are as sure as this.
 KEEP, SURE = 0.5, 0.9
@@ -142,8 +145,10 @@ def classify(docs: DataFrame, train_docs: int = TRAIN_DOCS, keep: float = KEEP)
             yield pa.RecordBatch.from_arrays([batch.column("draw"), pa.array([f[0].astype("<u2").tobytes() for f in found], pa.binary()), pa.array([f[1].astype("<f4").tobytes() for f in found], pa.binary()), pa.array(good, pa.float64())], ["draw", "i", "x", "y"])
 
     drawn = id_text(docs).withColumn("draw", draw).filter(F.col("draw") < min(1.0, train_docs / counts.sum()))
-    sample = drawn.select("draw", "text").dropDuplicates(["draw"]).mapInArrow(described, "draw double, i binary, x binary, y double")
-    rows = sample.orderBy("draw").limit(2 * train_docs).toArrow()
+    sample = written(drawn.select("draw", "text").dropDuplicates(["draw"]).mapInArrow(described, "draw double, i binary, x binary, y double"))
+    sizes = sample.select("draw", (F.length("i") + F.length("x")).alias("size")).orderBy("draw").limit(2 * train_docs).toPandas()
+    within = sizes["draw"][sizes["size"].cumsum() <= SAMPLE_BYTES]
+    rows = sample.filter(F.col("draw") <= float(within.max() if len(within) else -1)).orderBy("draw").toArrow()
     scorer = context.broadcast(fit_scorer([(np.frombuffer(i, "<u2"), np.frombuffer(x, "<f4"), y) for i, x, y in zip(*(rows.column(c).to_pylist() for c in ("i", "x", "y")), strict=True)]))
 
     def scored(batches):
