@@ -22,7 +22,8 @@ def _roman(n: int) -> str:
     return "x" * tens + ("ix" if ones == 9 else "iv" if ones == 4 else "v" * (ones // 5) + "i" * (ones % 5))
 
 
-_VALUES = {_roman(n): str(n) for n in range(1, 21)}
+#: Roman numerals from I to XX and their numbers.
+NUMBERED_VALUES = _VALUES = {_roman(n): str(n) for n in range(1, 21)}
 _NUMERAL = re.compile(
     rf"(?P<word>\b(?:{'|'.join(NUMBERED.split())})\b\.?\s*)(?P<after>[ivx]+)\b|(?P<open>[(\[{{]\s*)(?P<inside>[ivx]+)(?=\s*[)\]}}])|\b(?P<alone>[ivx]{{2,}})\b", re.IGNORECASE
 )

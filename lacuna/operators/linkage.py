@@ -1,17 +1,24 @@
-"""Linkage of an inventory with a catalogue, in four tiers of falling certainty.
-
-Catalogue rows have seq (their order), artist, release, title, recording_id and track_id. Held rows have path, artist, album,
-title, recording_ids and track_ids. Rows without seq or path take no part. Each tier makes offers between rows that are still
-free on both sides, as joins on an id, a title key or a name with the rest of the rule as a residual; a catalogue row takes
-the first free path of its offers, in the order of seq, and what is taken leaves both sides.
-
-1. ``recording`` and ``track``: a held id is the row's.
-2. ``release``: the album is alike by more than ``ALBUM``, or a folder of the path names the release; the title is the same.
-3. ``artist``: the artist is the row's by tag or folder; the title is the same.
-4. ``fuzzy``: either evidence, and base titles alike by ``FUZZY`` or more; the method carries the percentage, cut.
-
-Titles are the same if their versions are equal and their bases are equal or alike by more than ``TITLE``. Null and empty
-titles match nothing but by ids; an artist or release without letters and digits is no evidence.
+"""Linkage of an inventory with the catalogues of artists, in four tiers of falling certainty.
+
+Catalogue rows have seq (their order), artist_id, release, releases (other titles it is on), title, track_number,
+recording_ids, track_ids and release_id. Artists have artist_id and alias. Held rows have path, artists, album_artist, album,
+title, track_number, recording_ids, track_ids and release_ids. Each catalogue row in its turn takes the first free path, tier
+after tier; what is taken leaves both sides.
+
+1. ``recording`` and ``track``: a held id is the row's, whichever of the two.
+2. ``release``: the title is the same and the release is confirmed: by an album that is alike by more than ``ALBUM`` or a
+   folder that names it, unless the file credits only others and the album is not alike by ``OWN_ALBUM``. A file that has only
+   a number needs the number and the release (``number``).
+3. ``artist``: an alias stands in the tags or the path, and the title is the same.
+4. ``fuzzy``: an alias, or the release by album or folder; titles alike by ``FUZZY`` or more, with or without their versions.
+
+Titles are the same if their versions agree, their bases are equal or alike by more than ``TITLE``, no numbers in them differ
+and, where the bases differ, no track numbers. Evidence is found first, by joins on words in a row; titles meet only within
+an artist that has evidence, by their rarest pairs of letters, so neither is a join of all rows of an artist. Albums of files
+without a trace of the artist are compared with releases that share a word with them.
+
+Rows without seq or path take no part; null and empty titles match nothing but by ids; names without letters, digits or
+symbols are no evidence; repeated paths are one file.
 """
 
 from __future__ import annotations
@@ -19,90 +26,174 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.text import normalised_col, title_parts_col
-from lacuna.operators.lineage import checkpointed
-from lacuna.operators.matching import greedy_assignment, matching_blocks_ratio
+from lacuna.functions import readings as grammar
+from lacuna.functions.text import NUMBERED_VALUES
+from lacuna.operators import allocation, naming, readings
+from lacuna.operators.likeness import like_pairs
+from lacuna.operators.lineage import written
+from lacuna.operators.matching import matching_blocks_ratio
+
+#: Least likeness of an album (exclusive), of one that needs no artist, of a title (exclusive), of a fuzzy title.
+ALBUM, OWN_ALBUM, TITLE, FUZZY = 0.7, 0.9, 0.9, 0.85
+#: Names that credit nobody.
+NOBODY = "various artists|various|va|v.a.|v.a|v. a.|v a|v/a|compilation|compilations|unknown artist"
+
+
+def _keys(values: DataFrame, column: str) -> DataFrame:
+    """value and key of each distinct value that has a key."""
+
+    @F.pandas_udf("string")
+    def keyed(s):
+        return s.map(grammar.title_key)
+
+    some = values.select(F.col(column).alias("value")).filter("value is not null").distinct()
+    return some.withColumn("key", keyed("value")).filter("key <> ''")
 
-#: Least likeness of album (exclusive), of title (exclusive) and of a strict fuzzy title (inclusive).
-ALBUM, TITLE, FUZZY = 0.7, 0.9, 0.85
 
+def _words(keys: DataFrame, name: str) -> DataFrame:
+    return keys.select(F.col("key").alias(name), naming.words("key").alias("words")).distinct()
 
-def _keyed(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Adds a normalised key for each of the columns; each distinct value is normalised once."""
-    values = None
-    for c in columns:
-        some = rows.select(F.col(c).alias("value"))
-        values = some if values is None else values.union(some)
-    keys = checkpointed(values.filter("value is not null").distinct().withColumn("key", normalised_col("value")))
-    for c, name in columns.items():
-        rows = rows.join(keys.select(F.col("value").alias(c), F.col("key").alias(name)), c, "left")
-    return rows
 
+def _named(keys: DataFrame, aliases: DataFrame) -> DataFrame:
+    """value and artist_id where an alias stands in the value."""
+    found = naming.find_names(_words(keys, "text_id"), _words(aliases, "name_id")).select(F.col("text_id").alias("key"), F.col("name_id").alias("alias_key")).distinct()
+    return keys.join(found, "key").join(aliases.select(F.col("key").alias("alias_key"), "artist_id"), "alias_key").select("value", "artist_id").distinct()
 
-def _titled(rows: DataFrame) -> DataFrame:
-    """Adds base and version of the title; each distinct title is parsed once."""
-    parsed = rows.select("title").filter("title <> ''").distinct().withColumn("p", title_parts_col("title"))
-    return rows.join(parsed.select("title", F.nullif("p.base", F.lit("")).alias("base"), F.array_join("p.versions", " ").alias("version")), "title", "left")
 
+def _artists_of(held: DataFrame, artists: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """path and artist_id: by track artists or path; and by these, the album artist or the id of a release."""
+    aliases = written(artists.select("artist_id", "alias").join(_keys(artists, "alias").withColumnRenamed("value", "alias"), "alias").select("artist_id", "key").distinct())
+    tags = held.select("path", F.explode(F.coalesce("artists", F.array())).alias("value"))
+    of = lambda rows: rows.join(_named(_keys(rows, "value"), aliases), "value").select("path", "artist_id")
+    narrow = written(of(tags).union(of(held.select("path", F.col("path").alias("value")))).distinct())
+    ids = held.select("path", F.explode("release_ids").alias("release_id")).join(catalogue.select("release_id", "artist_id").na.drop().distinct(), "release_id").select("path", "artist_id")
+    return narrow, written(narrow.union(of(held.select("path", F.col("album_artist").alias("value")))).union(ids).distinct())
 
-def _folders(held: DataFrame) -> DataFrame:
-    """path and name for every folder of the path, normalised."""
-    each = held.select("path", F.explode(F.slice(F.reverse(F.split(F.regexp_replace("path", r"\\\\", "/"), "/")), 2, 1_000)).alias("folder"))
-    return _keyed(each.distinct(), {"folder": "name"}).filter("name <> ''").select("path", "name").distinct()
 
+def _releases_of(held: DataFrame, titles: DataFrame, wide: DataFrame) -> DataFrame:
+    """path, artist_id, release_key, likeness of the album and whether a folder names the release, for releases that one of
+    the two may confirm; titles have artist_id, title and release_key."""
+    folders = naming.named_by_path(held, titles).join(titles, "title").select("path", "artist_id", "release_key").distinct()
+    albums = written(held.select("path", "album").join(_keys(held, "album").withColumnRenamed("value", "album"), "album").select("path", F.col("key").alias("album_key")))
+    releases = titles.select("artist_id", "release_key").distinct()
+    word = lambda c: F.explode(F.array_distinct(naming.words(c))).alias("word")
+    sharing = albums.select("album_key").distinct().select("album_key", word("album_key")).join(releases.select("release_key").distinct().select("release_key", word("release_key")), "word")
+    near = albums.join(wide, "path").join(releases, "artist_id").select("album_key", "release_key").union(sharing.select("album_key", "release_key")).distinct()
+    like = near.withColumn("likeness", F.when(F.col("album_key") == F.col("release_key"), 1.0).otherwise(matching_blocks_ratio("release_key", "album_key"))).filter(F.col("likeness") > ALBUM)
+    by_album = albums.join(written(like), "album_key").join(releases, "release_key").select("path", "artist_id", "release_key", "likeness")
+    both = by_album.withColumn("folder", F.lit(False)).union(folders.select("path", "artist_id", "release_key", F.lit(0.0), F.lit(True)))
+    return both.groupBy("path", "artist_id", "release_key").agg(F.max("likeness").alias("likeness"), F.max("folder").alias("folder"))
 
-def _alike(a: str, b: str) -> Column:
-    return F.when(F.col(a) == F.col(b), 1.0).otherwise(matching_blocks_ratio(a, b))
 
+def _parsed(rows: DataFrame, file_name: Column) -> DataFrame:
+    """The rows with base, version_type, version and key of their title, or of their file's name where they have none."""
+    rows = rows.withColumn("name", F.coalesce(F.nullif(F.trim("title"), F.lit("")), file_name)).withColumn("tagged", F.coalesce(F.trim("title"), F.lit("")) != "")
+    told = None
+    for tagged in (True, False):
+        some = readings.parsed(rows.filter(F.col("tagged") == F.lit(tagged)), "name", not tagged).filter("n = 0")
+        some = some.select("name", F.lit(tagged).alias("tagged"), "base", "version_type", "version", F.array_join("words", " ").alias("title_key"))
+        told = some if told is None else told.union(some)
+    return written(rows.join(told, ["name", "tagged"], "left").drop("name", "tagged"))
 
-def _evidence(catalogue: DataFrame, held: DataFrame) -> DataFrame:
-    """seq, path, release, artist: pairs with evidence, and of which kind; releases are compared within one artist or folder."""
-    folders = checkpointed(_folders(held))
-    by_artist = catalogue.join(held.select("path", F.col("artist_key").alias("k")), F.col("artist_key") == F.col("k")).select("seq", "path")
-    in_folder = catalogue.join(folders, F.col("artist_key") == F.col("name")).select("seq", "path")
-    artist = by_artist.union(in_folder).filter("path is not null").distinct()
-    named = catalogue.join(folders, F.col("release_key") == F.col("name")).select("seq", "path")
-    albums = catalogue.select("seq", "release_key").join(artist, "seq").join(held.select("path", "album_key"), "path").filter("release_key <> '' and album_key <> ''")
-    near = albums.select("release_key", "album_key").distinct().filter(_alike("release_key", "album_key") > ALBUM)
-    release = named.union(albums.join(near, ["release_key", "album_key"]).select("seq", "path")).distinct()
-    kinds = artist.withColumn("kind", F.lit("artist")).union(release.withColumn("kind", F.lit("release")))
-    return kinds.groupBy("seq", "path").agg(F.max(F.col("kind") == "release").alias("release"), F.max(F.col("kind") == "artist").alias("artist"))
 
+def _numbers(key: str) -> Column:
+    values = F.create_map(*[F.lit(x) for pair in NUMBERED_VALUES.items() for x in pair])
+    numbers = F.transform(naming.words(key), lambda w: F.coalesce(F.try_element_at(values, w), F.when(w.rlike("^[0-9]+$"), F.regexp_replace(w, "^0+(?=.)", ""))))
+    return F.filter(numbers, lambda n: n.isNotNull())
 
-def _first_fit(offers: DataFrame) -> DataFrame:
-    return greedy_assignment(offers.select("seq", "path", (-F.col("seq")).alias("first")), "seq", "path", "first").select("seq", "path")
 
+def _differ(a: Column, b: Column) -> Column:
+    return (F.size(a) > 0) & (F.size(b) > 0) & (a != b)
 
-def linked(catalogue: DataFrame, held: DataFrame) -> DataFrame:
+
+def _number(c: str, whole: bool = False) -> Column:
+    """The digits of a track number behind its last slash and dash, without zeros in front; of all of it where none are there."""
+    digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
+    last = digits(F.regexp_extract(F.col(c), "([^/-]*)$", 1))
+    found = F.when(last != "", last).otherwise(digits(F.col(c))) if whole else last
+    return F.nullif(F.regexp_replace(found, "^0+(?=.)", ""), F.lit(""))
+
+
+def _only_number(stem: Column) -> Column:
+    """Whether a held row names its track by a number alone."""
+    title, bare = F.coalesce(F.trim("title"), F.lit("")), r"(?i)^(?:track|trk)[\s._\-]*\d{1,3}$"
+    return ((stem.rlike(r"^\d+$") | stem.rlike(bare)) & ((title == "") | title.rlike(r"^\d+$") | title.rlike(bare))) | (title.rlike(r"^\d+$") & ~stem.rlike("[a-zA-Z]"))
+
+
+def linked(catalogue: DataFrame, artists: DataFrame, held: DataFrame) -> DataFrame:
     """seq, path and method of every pair."""
-    c = checkpointed(_titled(_keyed(catalogue.filter("seq is not null"), {"artist": "artist_key", "release": "release_key"})))
-    h = checkpointed(_titled(_keyed(held.filter("path is not null"), {"artist": "artist_key", "album": "album_key"})))
+    file_name = F.regexp_extract(F.regexp_replace("path", r"\\", "/"), "([^/]*)$", 1)
+    h = _parsed(held.filter("path is not null").dropDuplicates(["path"]).withColumn("bare", _only_number(F.trim(F.regexp_replace(file_name, r"\.[^.]*$", "")))), file_name)
+    c = _parsed(catalogue.filter("seq is not null"), F.lit(None).cast("string"))
     taken = None
 
-    def settle(offers: DataFrame, method: Column | str) -> None:
+    def settle(offers: DataFrame) -> None:
         nonlocal taken
         if taken is not None:
             offers = offers.join(taken.select("seq"), "seq", "left_anti").join(taken.select("path"), "path", "left_anti")
-        offers = checkpointed(offers)
-        pairs = _first_fit(offers).join(offers, ["seq", "path"]) if isinstance(method, Column) else _first_fit(offers)
-        pairs = pairs.select("seq", "path", method if isinstance(method, Column) else F.lit(method).alias("method"))
-        taken = checkpointed(pairs if taken is None else taken.union(pairs))
-
-    for method in ("recording", "track"):
-        ids = h.select("path", F.explode(f"{method}_ids").alias("id")).distinct()
-        settle(c.join(ids, c[f"{method}_id"] == ids["id"]).select("seq", "path").distinct(), method)
-    titles = checkpointed(_evidence(c, h)).join(c.select("seq", "base", "version"), "seq").join(h.select("path", F.col("base").alias("h_base"), F.col("version").alias("h_version")), "path")
-    able = titles.filter("version = h_version and base is not null and h_base is not null")
-    able = able.filter(2 * F.least(F.length("base"), F.length("h_base")) >= FUZZY * (F.length("base") + F.length("h_base")))
-    near = able.select("base", "h_base").distinct().withColumn("likeness", _alike("base", "h_base"))
-    scored = checkpointed(able.join(near, ["base", "h_base"]).filter(F.col("likeness") >= FUZZY).select("seq", "path", "release", "artist", "likeness"))
-    same = F.col("likeness") > TITLE
-    settle(scored.filter(same & F.col("release")).select("seq", "path"), "release")
-    settle(scored.filter(same & F.col("artist")).select("seq", "path"), "artist")
-    settle(scored.select("seq", "path", "likeness"), F.concat(F.lit("fuzzy "), F.floor(F.col("likeness") * 100).cast("string"), F.lit("%")).alias("method"))
+        got = allocation.allocate(offers, ["seq"], ["path"], [F.col("seq"), F.col("path")]).select("seq", "path", "method")
+        taken = written(got if taken is None else taken.union(got))
+
+    offers = None
+    for rank, ids in enumerate(("recording_ids", "track_ids")):
+        some = c.select("seq", F.explode(ids).alias("id")).join(h.select("path", F.explode(ids).alias("id")), "id").select("seq", "path", F.lit(rank).alias("rank"))
+        offers = some if offers is None else offers.union(some)
+    settle(offers.groupBy("seq", "path").agg(F.when(F.min("rank") == 0, "recording").otherwise("track").alias("method")))
+
+    narrow, wide = _artists_of(h, artists, c)
+    on = c.select("seq", "artist_id", F.explode(F.array_compact(F.array_distinct(F.concat(F.array("release"), F.coalesce("releases", F.array()))))).alias("title"), (F.col("title") == F.col("release")).alias("main"))
+    keys = _keys(on, "title").withColumnsRenamed({"value": "title", "key": "release_key"})
+    on = written(on.join(keys, "title"))
+    titles = on.select("artist_id", "title", "release_key").distinct()
+    confirmed = written(_releases_of(h, titles, wide))
+    credits = F.filter(F.concat(F.coalesce("artists", F.array()), F.array("album_artist")), lambda x: x.isNotNull() & (F.trim(x) != "") & ~F.lower(F.trim(x)).rlike(f"^(?:{NOBODY.replace('.', chr(92) + '.')})$"))
+    credited = h.filter(F.size(credits) > 0).select("path")
+    confirmed = confirmed.join(credited.withColumn("credited", F.lit(True)), "path", "left").join(wide.withColumn("traced", F.lit(True)), ["path", "artist_id"], "left")
+    confirmed = written(confirmed.withColumn("other", F.col("credited").isNotNull() & F.col("traced").isNull()))
+
+    known = narrow.union(confirmed.select("path", "artist_id")).distinct()
+    near = written(h.join(known, "path"))
+    same_title = _titles(c, near)
+    of = ["seq", "artist_id", "track_number", "release", "base", "version_type", "version", "title_key"]
+    rows = same_title.join(c.select(*[F.col(x).alias(f"e_{x}") for x in of]).withColumnsRenamed({"e_seq": "seq", "e_artist_id": "artist_id"}), ["artist_id", "seq"])
+    rows = rows.join(h.select("path", "bare", *[F.col(x).alias(f"r_{x}") for x in of if x in h.columns]), "path")
+    rows = readings._versions_agree(rows).filter("agree").withColumn("same", F.greatest("base_like", F.lit(0.0)) > TITLE)
+    numbers = ~_differ(_numbers("e_base"), _numbers("r_base"))
+    tracks = (F.col("e_base") == F.col("r_base")) | F.coalesce(_number("e_track_number") == _number("r_track_number"), F.lit(True))
+    rows = written(rows.filter(numbers & tracks))
+
+    by_release = on.join(confirmed, ["artist_id", "release_key"]).groupBy("seq", "path").agg(
+        (((F.max("likeness") > ALBUM) | F.max("folder")) & ((F.max("likeness") >= OWN_ALBUM) | ~F.max("other"))).alias("confirmed"),
+        F.max(F.col("main") & ((F.col("likeness") == 1.0) | (F.col("folder") & ~F.col("other")))).alias("main"),
+    )
+    by_release = written(by_release)
+    sure = by_release.filter("confirmed").select("seq", "path")
+    c_numbers = c.filter("base <> ''").select("seq", F.lower(F.trim("track_number")).alias("c_text"), _number("track_number", True).alias("c_number"))
+    bare = h.filter("bare").withColumn("n", F.coalesce("track_number", F.regexp_replace(file_name, r"\.[^.]*$", ""))).select("path", F.lower(F.trim("n")).alias("h_text"), _number("n", True).alias("h_number"))
+    numbered = sure.join(c_numbers, "seq").join(bare, "path").filter("c_text <> '' and (c_text = h_text or c_number = h_number)").select("seq", "path", F.lit("number").alias("method"))
+    exact = rows.filter("same").join(sure, ["seq", "path"]).select("seq", "path", F.lit("release").alias("method"))
+    settle(numbered.union(exact).groupBy("seq", "path").agg(F.min("method").alias("method")))
+    by_artist = narrow.withColumn("by_artist", F.lit(True))
+    rows = rows.join(by_artist, ["path", "artist_id"], "left")
+    settle(rows.filter("same and by_artist").select("seq", "path", F.lit("artist").alias("method")))
+    fuzzy = rows.join(by_release.filter("main").select("seq", "path", "main"), ["seq", "path"], "left").filter("(by_artist or main) and not bare and length(e_base) >= 3")
+    fuzzy = fuzzy.filter(~_differ(_numbers("e_title_key"), _numbers("r_title_key"))).withColumn("best", F.greatest("base_like", "key_like"))
+    settle(fuzzy.filter(F.col("best") >= FUZZY).select("seq", "path", F.concat(F.lit("fuzzy "), F.floor(F.col("best") * 100 + 1e-9).cast("string"), F.lit("%")).alias("method")))
     return taken
 
 
-def linkage(catalogue: DataFrame, held: DataFrame) -> DataFrame:
+def _titles(c: DataFrame, near: DataFrame) -> DataFrame:
+    """artist_id, seq, path and the likeness of bases and of whole titles, where one of them is ``FUZZY`` or more."""
+    found = None
+    for key, name in (("base", "base_like"), ("title_key", "key_like")):
+        side = lambda rows: rows.select("artist_id", F.col(key).alias("key"))  # noqa: B023, E731
+        like = written(like_pairs(side(c), side(near), FUZZY, ["artist_id"]))
+        some = like.join(c.select("artist_id", "seq", F.col(key).alias("a")), ["artist_id", "a"]).join(near.select("artist_id", "path", F.col(key).alias("b")), ["artist_id", "b"])
+        some = some.select("artist_id", "seq", "path", *[(F.col("ratio") if n == name else F.lit(0.0)).alias(n) for n in ("base_like", "key_like")])
+        found = some if found is None else found.union(some)
+    return found.groupBy("artist_id", "seq", "path").agg(F.max("base_like").alias("base_like"), F.max("key_like").alias("key_like"))
+
+
+def linkage(catalogue: DataFrame, artists: DataFrame, held: DataFrame) -> DataFrame:
     """Every catalogue row: seq, status (found or missing), method and path."""
-    return catalogue.select("seq").join(linked(catalogue, held), "seq", "left").select("seq", F.when(F.col("path").isNull(), "missing").otherwise("found").alias("status"), "method", "path")
+    return catalogue.select("seq").join(linked(catalogue, artists, held), "seq", "left").select("seq", F.when(F.col("path").isNull(), "missing").otherwise("found").alias("status"), "method", "path")
