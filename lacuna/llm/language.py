@@ -21,6 +21,7 @@ repeated rows give repeated rows; an empty table gives an empty table; other col
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,7 +163,8 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, spare: bool = False, ma
     drawn = labelled.withColumn("draw", _draw(SEED)).join(F.broadcast(shares), "lang").filter("draw < share")
     chosen = drawn.select("draw", "text", "lang").dropDuplicates(["draw", "lang"])
     rows = _drawn_windows(chosen, max_windows).toArrow().sort_by([("draw", "ascending"), ("lang", "ascending"), ("place", "ascending")])
-    x = np.frombuffer(b"".join(rows.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW)
+    held = rows.column("window").combine_chunks()
+    x = np.frombuffer(held.buffers()[2], np.uint8, len(held) * WINDOW).reshape(-1, WINDOW) if len(held) else np.zeros((0, WINDOW), np.uint8)
     place = {lang: k for k, lang in enumerate(langs)}
     y = np.array([place[lang] for lang in rows.column("lang").to_pylist()], np.int64)
     return (langs, train(x, y, len(langs))) if len(x) else None
@@ -239,15 +241,15 @@ def identified_documents(docs: DataFrame, least_score: float | None = None) -> D
     if least_score is None:
         least_score = calibrated(docs, model)
 
-    def run(batches):
+    @F.arrow_udf("boolean")
+    def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _scorer(shared.value)
-        for batch in batches:
-            texts = batch.column("text")
+        for texts in batches:
             if model:
                 names, scores = _labelled(model, texts)
-                good = [n != UNDETERMINED and s >= least_score for n, s in zip(names, scores, strict=True)]
+                yield pa.array([n != UNDETERMINED and s >= least_score for n, s in zip(names, scores, strict=True)], pa.bool_())
             else:
-                good = [x.is_valid and has_letter(x.as_py()) for x in texts]
-            yield batch.filter(pa.array(good, pa.bool_()))
+                yield pa.array([x.is_valid and has_letter(x.as_py()) for x in texts], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    # only texts go to Python and only decisions come back
+    return docs.filter(good("text"))
