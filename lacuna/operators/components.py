@@ -2,22 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lacuna.operators.lineage import checkpointed
 from lacuna.operators.skew import join_per_key
 
+#: So many links between long nodes are settled by one task, which takes a few MB; more in rounds.
+SMALL = 100_000
+
+
+def _settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and component of all links that come, by the smaller root of both ends."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root[x]) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            root.setdefault(u, u)
+            root.setdefault(v, v)
+            x, y = top(u), top(v)
+            root[max(x, y)] = min(x, y)
+    nodes = np.fromiter(root, np.int64, len(root))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([top(int(x)) for x in nodes], pa.int64())], ["node", "component"])
+
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", small: int = SMALL) -> DataFrame:
     """node, component (its smallest node) for every node of a link. Links to null are left out; loops and repeats do no harm.
 
     Star contraction: in turn, the larger neighbours of each node are tied to the smallest one, then the smaller ones are.
     Links are never more than at first, hubs are joined as hot keys and not gathered, and each round is checkpointed. Each
-    round that changes anything brings some node nearer to its smallest one, so the rounds end.
+    round that changes anything brings some node nearer to its smallest one, so the rounds end. Up to ``small`` links between
+    long nodes are settled in one task, with the same result.
     """
     both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
     edges = checkpointed(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if edges.schema["u"].dataType == LongType() and edges.schema["v"].dataType == LongType() and edges.count() <= small:
+        return edges.repartition(1).mapInArrow(_settled, "node long, component long")
     nodes = edges.select("u").union(edges.select("v")).distinct()
     edges, before = edges.filter("u <> v"), None
     while True:

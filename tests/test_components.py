@@ -1,5 +1,10 @@
 """The components query against a union-find, with a part that many orders hold."""
 
+import random
+
+import pytest
+
+from lacuna.operators.components import connected_components
 from lacuna.plans import catalogue
 
 
@@ -20,3 +25,20 @@ def test_components_query(spark, tmp_path):
                 root[max(a, b)] = min(a, b)
     found = {r.node: r.component for r in catalogue.QUERIES["components"](spark, str(tmp_path)).collect()}
     assert found == {k: find(k) for k in root}
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_random_graphs(spark, small):
+    rng = random.Random(small)
+    links = [(rng.randrange(-40, 400), rng.randrange(-40, 400)) for _ in range(220)] + [(k, k + 1) for k in range(1_000, 1_060)] + [(None, 3), (5, None), (7, 7)]
+    root = {x: x for link in links if None not in link for x in link}
+    changed = True
+    while changed:
+        changed = False
+        for u, v in (link for link in links if None not in link):
+            low = min(root[u], root[v])
+            changed |= (root[u], root[v]) != (low, low)
+            root[u] = root[v] = low
+    frame = spark.createDataFrame(links, "a long, b long")
+    assert {r.node: r.component for r in connected_components(frame, small=small).collect()} == root
+    assert connected_components(frame.limit(0), small=small).count() == 0
