@@ -46,5 +46,6 @@ def like_pairs(left: DataFrame, right: DataFrame, least: float = LEAST, per: Seq
     counts = a.select("key").union(b.select("key")).filter(F.length("key") > 1).select(F.explode(_grams(F.col("key"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     same = a.join(b, [*per, "key"]).select(*per, F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("ratio"))
     met = _firsts(a, counts, per, least).withColumnRenamed("key", "a").join(_firsts(b, counts, per, least).withColumnRenamed("key", "b"), [*per, "gram"])
-    able = met.filter((F.col("a") != F.col("b")) & (2 * F.least(F.length("a"), F.length("b")) >= least * (F.length("a") + F.length("b")) - 1e-9)).select(*per, "a", "b").distinct()
+    able = met.filter((F.col("a") != F.col("b")) & (2 * F.least(F.length("a"), F.length("b")) >= least * (F.length("a") + F.length("b")) - 1e-9)).select(*per, "a", "b")
+    able = able.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b").distinct()
     return same.union(able.withColumn("ratio", matching_blocks_ratio("a", "b")).filter(F.col("ratio") >= least).select(*per, "a", "b", "ratio"))

@@ -46,7 +46,9 @@ def _keys(values: DataFrame, column: str) -> DataFrame:
     def keyed(s):
         return s.map(grammar.title_key)
 
-    some = values.select(F.col(column).alias("value")).filter("value is not null").distinct()
+    # a key takes longer to make than a value to move, so values are dealt to as many tasks as a shuffle has
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = values.select(F.col(column).alias("value")).filter("value is not null").repartition(tasks, "value").distinct()
     return some.withColumn("key", keyed("value")).filter("key <> ''")
 
 
@@ -92,6 +94,7 @@ def _parsed(rows: DataFrame, file_name: Column) -> DataFrame:
     for tagged in (True, False):
         some = readings.parsed(rows.filter(F.col("tagged") == F.lit(tagged)), "name", not tagged).filter("n = 0")
         some = some.select("name", F.lit(tagged).alias("tagged"), "base", "version_type", "version", F.array_join("words", " ").alias("title_key"))
+        some = some.withColumn("title_id", F.xxhash64("base", "version_type", "version", "title_key", F.col("version").isNull()))
         told = some if told is None else told.union(some)
     return written(rows.join(told, ["name", "tagged"], "left").drop("name", "tagged"))
 
@@ -153,14 +156,11 @@ def linked(catalogue: DataFrame, artists: DataFrame, held: DataFrame) -> DataFra
 
     known = narrow.union(confirmed.select("path", "artist_id")).distinct()
     near = written(h.join(known, "path"))
-    same_title = _titles(c, near)
-    of = ["seq", "artist_id", "track_number", "release", "base", "version_type", "version", "title_key"]
-    rows = same_title.join(c.select(*[F.col(x).alias(f"e_{x}") for x in of]).withColumnsRenamed({"e_seq": "seq", "e_artist_id": "artist_id"}), ["artist_id", "seq"])
-    rows = rows.join(h.select("path", "bare", *[F.col(x).alias(f"r_{x}") for x in of if x in h.columns]), "path")
-    rows = readings._versions_agree(rows).filter("agree").withColumn("same", F.greatest("base_like", F.lit(0.0)) > TITLE)
-    numbers = ~_differ(_numbers("e_base"), _numbers("r_base"))
+    fit = written(_titles(c, near))
+    rows = fit.join(c.select("artist_id", "seq", F.col("title_id").alias("e_title_id"), F.col("track_number").alias("e_track_number")), ["artist_id", "e_title_id"])
+    rows = rows.join(near.select("artist_id", "path", "bare", F.col("title_id").alias("r_title_id"), F.col("track_number").alias("r_track_number")), ["artist_id", "r_title_id"])
     tracks = (F.col("e_base") == F.col("r_base")) | F.coalesce(_number("e_track_number") == _number("r_track_number"), F.lit(True))
-    rows = written(rows.filter(numbers & tracks))
+    rows = written(rows.filter(tracks).withColumn("same", F.col("base_like") > TITLE))
 
     by_release = on.join(confirmed, ["artist_id", "release_key"]).groupBy("seq", "path").agg(
         (((F.max("likeness") > ALBUM) | F.max("folder")) & ((F.max("likeness") >= OWN_ALBUM) | ~F.max("other"))).alias("confirmed"),
@@ -183,15 +183,19 @@ def linked(catalogue: DataFrame, artists: DataFrame, held: DataFrame) -> DataFra
 
 
 def _titles(c: DataFrame, near: DataFrame) -> DataFrame:
-    """artist_id, seq, path and the likeness of bases and of whole titles, where one of them is ``FUZZY`` or more."""
+    """Within each artist, the pairs of distinct titles of which bases or whole titles are alike by ``FUZZY`` or more, whose
+    versions agree and whose bases differ in no number; with both likenesses. Titles are known by title_id."""
+    told = ["title_id", "base", "version_type", "version", "title_key"]
+    left, right = (side.select("artist_id", *[F.col(x).alias(f"{p}_{x}") for x in told]).filter(f"{p}_base is not null").distinct() for side, p in ((c, "e"), (near, "r")))
     found = None
-    for key, name in (("base", "base_like"), ("title_key", "key_like")):
-        side = lambda rows: rows.select("artist_id", F.col(key).alias("key"))  # noqa: B023, E731
-        like = written(like_pairs(side(c), side(near), FUZZY, ["artist_id"]))
-        some = like.join(c.select("artist_id", "seq", F.col(key).alias("a")), ["artist_id", "a"]).join(near.select("artist_id", "path", F.col(key).alias("b")), ["artist_id", "b"])
-        some = some.select("artist_id", "seq", "path", *[(F.col("ratio") if n == name else F.lit(0.0)).alias(n) for n in ("base_like", "key_like")])
+    for key in ("base", "title_key"):
+        like = written(like_pairs(left.select("artist_id", F.col(f"e_{key}").alias("key")), right.select("artist_id", F.col(f"r_{key}").alias("key")), FUZZY, ["artist_id"]))
+        some = like.join(left.select("artist_id", "e_title_id", F.col(f"e_{key}").alias("a")), ["artist_id", "a"]).join(right.select("artist_id", "r_title_id", F.col(f"r_{key}").alias("b")), ["artist_id", "b"])
+        some = some.select("artist_id", "e_title_id", "r_title_id", *[(F.col("ratio") if k == key else F.lit(0.0)).alias(n) for k, n in (("base", "base_like"), ("title_key", "key_like"))])
         found = some if found is None else found.union(some)
-    return found.groupBy("artist_id", "seq", "path").agg(F.max("base_like").alias("base_like"), F.max("key_like").alias("key_like"))
+    pairs = found.groupBy("artist_id", "e_title_id", "r_title_id").agg(F.max("base_like").alias("base_like"), F.max("key_like").alias("key_like"))
+    pairs = pairs.join(left, ["artist_id", "e_title_id"]).join(right, ["artist_id", "r_title_id"]).filter(~_differ(_numbers("e_base"), _numbers("r_base")))
+    return readings._versions_agree(pairs).filter("agree").drop("agree")
 
 
 def linkage(catalogue: DataFrame, artists: DataFrame, held: DataFrame) -> DataFrame:
