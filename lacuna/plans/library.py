@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.operators import folders
 from lacuna.operators import linkage as linking
 from lacuna.plans.catalogue import query, t
 
@@ -30,3 +31,19 @@ def linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     artists = part.select(F.col("p_brand").alias("artist_id"), F.col("p_brand").alias("alias")).distinct()
     return linking.linkage(catalogue, artists, held)
+
+
+@query("""WITH k AS (SELECT DISTINCT p_name || ' ' || p_partkey % 500 AS title, p_retailprice AS s FROM part WHERE p_retailprice > 0),
+f AS (SELECT DISTINCT l_suppkey, l_orderkey % 10 AS disc, p_name || ' ' || p_partkey % 500 AS title, p_retailprice * CASE l_suppkey % 7 WHEN 0 THEN 0.7 WHEN 1 THEN 1.3 WHEN 2 THEN 0.92 ELSE 1.0 END AS seconds FROM lineitem JOIN part ON l_partkey = p_partkey),
+r AS (SELECT l_suppkey, disc, title, seconds, arg_min(seconds / s, abs(seconds / s - 1)) AS ratio FROM f JOIN k USING (title) GROUP BY ALL),
+p AS (SELECT l_suppkey, disc, count(*) AS n_songs, min(ratio) AS low, max(ratio) AS high FROM r GROUP BY ALL)
+SELECT l_suppkey, disc, n_songs FROM p WHERE n_songs >= 2 AND (high < 0.88 OR low > 1.12) AND high / low < 1.08""")
+def wrong_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of lines, in which some suppliers run too fast or too slow for the known lengths (prices) of their names."""
+    part = t(spark, sf_dir, "part").withColumn("title", F.concat_ws(" ", "p_name", (F.col("p_partkey") % 500).cast("string")))
+    lines = t(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    kind = F.col("l_suppkey") % 7
+    speed = F.when(kind == 0, 0.7).when(kind == 1, 1.3).when(kind == 2, 0.92).otherwise(1.0)
+    files = lines.select(F.struct("l_suppkey", (F.col("l_orderkey") % 10).alias("disc")).alias("folder"), "title", (F.col("p_retailprice") * speed).alias("seconds")).distinct()
+    found = folders.wrong_speed(files, part.select("title", F.col("p_retailprice").alias("seconds")))
+    return found.select("folder.l_suppkey", "folder.disc", "n_songs")
