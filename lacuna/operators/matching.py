@@ -73,15 +73,6 @@ def matching_blocks_ratio(a: str, b: str) -> Column:
     return F.pandas_udf(run, "double")(a, b)
 
 
-def similar_names(df: DataFrame, name: str, least: float) -> DataFrame:
-    """Pairs of distinct names with a ratio of ``least`` or more that share a token and whose lengths allow it."""
-    names = df.select(name).filter(F.col(name).isNotNull()).distinct()
-    block = names.select(name, F.explode(ascii_tokens(F.col(name))).alias("token"))
-    pairs = block.alias("x").join(block.alias("y"), "token").select(F.col(f"x.{name}").alias("a"), F.col(f"y.{name}").alias("b")).filter("a < b").distinct()
-    able = pairs.filter(2 * F.least(F.length("a"), F.length("b")) >= least * (F.length("a") + F.length("b")))
-    return able.withColumn("ratio", matching_blocks_ratio("a", "b")).filter(F.col("ratio") >= least)
-
-
 def _in_order(block: pd.DataFrame) -> pd.DataFrame:
     """The ranks of the offers that are taken, by falling rank, while both ends are free."""
     used_a, used_b, taken = set(), set(), []

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lacuna.functions import text as titles
 from lacuna.operators import gaps, matching, ranking
 from lacuna.operators.components import connected_components
+from lacuna.operators.likeness import like_pairs
 from lacuna.operators.lineage import shared_folder
 from lacuna.streaming import state
 
@@ -235,7 +236,9 @@ def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.similar_names(t(spark, sf_dir, "part"), "p_name", 0.85)
+    """All pairs of part names with a ratio of 0.85 or more."""
+    names = t(spark, sf_dir, "part").select(F.col("p_name").alias("key"))
+    return like_pairs(names, names, 0.85).filter("a < b")
 
 
 @query()
@@ -244,7 +247,10 @@ def assignment_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.greedy_assignment(lines, "l_partkey", "l_suppkey", "score")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+l AS (SELECT DISTINCT o, o AS label, 0 AS r FROM e UNION ALL SELECT o, min(m) AS label, any_value(r) + 1 AS r FROM
+    (SELECT e.o, min(l.label) OVER (PARTITION BY e.p) AS m, l.r FROM l JOIN e ON e.o = l.o WHERE l.r < 16) GROUP BY o)
+SELECT o AS node, label AS component FROM l WHERE r = 16""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that share a part, directly or through others."""
     lines = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
