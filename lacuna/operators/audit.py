@@ -5,7 +5,7 @@ recording_id; held rows have release_id, seq, path, disc_number, number, title,
 order within a release and breaks ties. All releases are audited in one job; offers are joined on a release together with
 an id, a position or two letters of a title, never on the release alone.
 
-Versions of titles are compatible where their descriptors are equal. Null titles match nothing; a held row without title
+Versions of titles agree as in ``readings``: a remaster is no version, two remixes of one name are one. Null titles match nothing; a held row without title
 or number is an extra; a release without official rows has no audit; a release without held rows misses all its tracks.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.text import title_parts_col
+from lacuna.operators import readings
 from lacuna.operators.lineage import checkpointed
 from lacuna.operators.matching import greedy_assignment, matching_blocks_ratio
 
@@ -55,8 +55,8 @@ def held_positions(held: DataFrame) -> DataFrame:
 def _titles(rows: DataFrame, end: str, titles: Column) -> DataFrame:
     """One row for each end and title, with the parts of each distinct title parsed once."""
     each = rows.select(end, F.col(f"{end}.release_id").alias("release_id"), F.explode(titles).alias("title")).filter("title is not null and title <> ''")
-    parsed = each.select("title").distinct().withColumn("p", title_parts_col("title"))
-    return each.join(parsed, "title").select("release_id", end, F.col("p.base").alias("base"), F.array_join("p.versions", " ").alias("version")).filter("base <> ''")
+    parsed = readings.parsed(each, "title", False).filter("n = 0").select(F.col("name").alias("title"), "base", "version_type", "version")
+    return each.join(parsed, "title").select("release_id", end, "base", "version_type", "version").filter("base <> ''")
 
 
 def _blocks(titles: DataFrame) -> DataFrame:
@@ -67,7 +67,11 @@ def _blocks(titles: DataFrame) -> DataFrame:
 
 def _scored(pairs: DataFrame) -> DataFrame:
     """Best score of each pair (o, h) over its titles: full titles equal, likeness of the base, likeness of the version."""
-    able = pairs.filter("version = h_version").select("o", "h", "base", "h_base", "version").distinct()
+    versions = pairs.select("version_type", "version", "h_version_type", "h_version").distinct().toDF("e_version_type", "e_version", "r_version_type", "r_version")
+    agreed = readings._versions_agree(versions).filter("agree").toDF("e_type", "e_version", "r_type", "r_version", "agree")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    on = same("version_type", "e_type") & same("version", "e_version") & same("h_version_type", "r_type") & same("h_version", "r_version")
+    able = pairs.join(agreed, on).select("o", "h", "base", "h_base").distinct()
     distinct = able.select("base", "h_base").distinct().withColumn("ratio", F.when(F.col("base") == F.col("h_base"), 1.0).otherwise(matching_blocks_ratio("base", "h_base")))
     score = F.struct((F.col("base") == F.col("h_base")).alias("equal"), F.col("ratio").alias("likeness"))
     return able.join(distinct, ["base", "h_base"]).groupBy("o", "h").agg(F.max(score).alias("score"))
@@ -100,7 +104,7 @@ def matched(official: DataFrame, held: DataFrame) -> DataFrame:
     known = named.union(by_recording.select("h")).distinct()
     ours = _free(_titles(o, "o", F.concat(F.array("title"), F.coalesce("alt_titles", F.array().cast("array<string>")))), first, "o")
     theirs = _free(_titles(h, "h", F.array("title")), first, "h").join(known, "h", "left_anti")
-    theirs = theirs.select("release_id", "h", F.col("base").alias("h_base"), F.col("version").alias("h_version"))
+    theirs = theirs.select("release_id", "h", F.col("base").alias("h_base"), F.col("version_type").alias("h_version_type"), F.col("version").alias("h_version"))
     placed_pairs = at.join(ours.drop("release_id"), "o").join(theirs.drop("release_id"), "h")
     untitled = _free(h, first, "h").filter("title is null or trim(title) rlike '^[0-9]*$'").join(known, "h", "left_anti").select("h")
     bare = _free(at.join(untitled, "h"), first, "o").select("o", "h", F.struct(F.lit(True).alias("equal"), F.lit(1.0).alias("likeness")).alias("score"))

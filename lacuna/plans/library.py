@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lacuna.operators import folders
+from lacuna.operators import audit, folders
 from lacuna.operators import linkage as linking
 from lacuna.plans.catalogue import query, t
 
@@ -47,3 +47,24 @@ def wrong_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = lines.select(F.struct("l_suppkey", (F.col("l_orderkey") % 10).alias("disc")).alias("folder"), "title", (F.col("p_retailprice") * speed).alias("seconds")).distinct()
     found = folders.wrong_speed(files, part.select("title", F.col("p_retailprice").alias("seconds")))
     return found.select("folder.l_suppkey", "folder.disc", "n_songs")
+
+
+@query("""WITH x AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_returnflag FROM lineitem), f AS (SELECT l_orderkey, l_linenumber, l_partkey, min(l_returnflag) AS flag FROM x GROUP BY ALL)
+SELECT l_orderkey AS release_id, count(*) AS expected, count(*) FILTER (flag <> 'R') AS found, count(*) FILTER (flag = 'R') AS missing, CASE WHEN count(*) FILTER (flag = 'R') > 0 THEN 'has_missing' ELSE 'complete' END AS status
+FROM f GROUP BY 1""")
+def audited_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as releases, lines as tracks; files of returned lines are not held, the others are named as remasters."""
+    lines = t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min("l_returnflag").alias("flag"))
+    lines = lines.join(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    tracks = lines.withColumn("place", place).withColumn("name", F.concat(F.col("p_name"), F.lit(" no "), F.col("l_partkey").cast("string")))
+    text, ids = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    official = tracks.select(
+        F.col("l_orderkey").alias("release_id"), F.col("place").alias("seq"), F.lit(1).alias("disc_number"), F.col("place").alias("track_position"), F.col("place").alias("absolute_position"),
+        F.col("place").cast("string").alias("token"), F.col("name").alias("title"), ids.alias("alt_titles"), text.alias("track_id"), text.alias("recording_id"),
+    )
+    held = tracks.filter("flag <> 'R'").select(
+        F.col("l_orderkey").alias("release_id"), F.col("place").alias("seq"), F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("place").cast("string")).alias("path"), F.lit(1).alias("disc_number"),
+        F.col("place").alias("number"), F.concat(F.col("name"), F.lit(" (2009 Remaster)")).alias("title"), ids.alias("track_ids"), ids.alias("recording_ids"),
+    )
+    return audit.audit_releases(audit.audit_tracks(official, held)).select("release_id", "expected", "found", "missing", "status")
