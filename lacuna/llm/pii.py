@@ -269,11 +269,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     more = discovered(keyed.select("row", F.coalesce(text, F.lit("")).alias("text"))).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
     joined = keyed.join(written(more), "row", "left")
 
-    @F.pandas_udf("string")
-    def cut(text, more):
-        import pandas as pd
-
-        return pd.Series([_cut(t, m) for t, m in zip(text, more, strict=True)])
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, more: pa.Array) -> pa.Array:
+        return pa.array([_cut(t.as_py(), m) for t, m in zip(text, more.to_pylist(), strict=True)], pa.string())
 
     return joined.select(*[cut(text, "more").alias(old) if old == "text" else c for c, old in zip(named, docs.columns, strict=True)])
 
