@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lacuna.plans import catalogue
+from lacuna.plans import catalogue, choices, library, naming, peers  # noqa: F401  (these add their queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
