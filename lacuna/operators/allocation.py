@@ -104,25 +104,27 @@ def cover(offers: DataFrame, release: str, folder: str, song: str, most: int = M
     that are left (of equals the smaller one) is taken, and the rest are counted again.
 
     All releases go at once. A folder that is first among all folders with which it shares a song is taken whatever the others
-    do, since counts only fall; a round takes all of these and counts only what is left. When ``most`` offers or fewer are
-    left, each release's rest is settled in a loop. The order of steps is that of the counts at which folders were taken.
+    do, since counts only fall; a round takes all of these and counts only what is left. A release with ``most`` offers or fewer
+    left is settled by one task in a loop. The order of steps is that of the counts at which folders were taken.
     Nulls take no part.
     """
     named = offers.select(F.col(release).alias("release"), F.col(folder).alias("folder"), F.col(song).alias("song")).na.drop().distinct()
-    open_, taken = written(named), []
-    n = open_.count()
-    while n > most:
-        counts = open_.groupBy("release", "folder").agg(F.count("*").alias("n"))
-        keyed = open_.join(counts, ["release", "folder"])
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema.fields)
+    open_, found = written(named), None
+    while True:
+        sizes = open_.groupBy("release").agg(F.count("*").alias("n"))
+        small = open_.join(sizes.filter(F.col("n") <= most).select("release"), "release", "left_semi")
+        settled = small.groupBy("release").applyInPandas(_cover_each, f"{kinds}, n_filled long").select("release", "folder", "song", "n_filled")
+        found = settled if found is None else found.union(settled)
+        large = written(open_.join(sizes.filter(F.col("n") > most).select("release"), "release", "left_semi").select("release", "folder", "song"))
+        if large.isEmpty():
+            break
+        counts = large.groupBy("release", "folder").agg(F.count("*").alias("n"))
+        keyed = large.join(counts, ["release", "folder"])
         first = keyed.groupBy("release", "song").agg(F.min_by("folder", F.struct(-F.col("n"), "folder")).alias("first"))
         judged = keyed.join(first, ["release", "song"]).groupBy("release", "folder").agg(F.count("*").alias("n_filled"), F.bool_and(F.col("folder") == F.col("first")).alias("leads"))
-        filled = written(open_.join(judged.filter("leads").drop("leads"), ["release", "folder"]).select("release", "folder", "song", "n_filled"))
-        taken.append(filled)
-        open_ = written(open_.join(filled.select("release", "song"), ["release", "song"], "left_anti").select("release", "folder", "song"))
-        n = open_.count()
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema.fields)
-    found = open_.groupBy("release").applyInPandas(_cover_each, f"{kinds}, n_filled long").select("release", "folder", "song", "n_filled")
-    for rows in taken:
-        found = found.union(rows)
+        filled = written(large.join(judged.filter("leads").drop("leads"), ["release", "folder"]).select("release", "folder", "song", "n_filled"))
+        found = found.union(filled)
+        open_ = written(large.join(filled.select("release", "song"), ["release", "song"], "left_anti").select("release", "folder", "song"))
     steps = Window.partitionBy("release").orderBy(F.desc("n_filled"), "folder")
     return found.withColumn("step", F.dense_rank().over(steps)).toDF(release, folder, song, "n_filled", "step")
