@@ -7,8 +7,8 @@ up what is not nearly full. The tree is as wide as its rows need (``NODE`` piece
 ends at its root, or where a node would get more than ``CROWDED`` times as many pieces because most fit nowhere, as they are
 then. So no task holds more than that on average. What travels is a key and a length for each piece, never its ids.
 
-A piece's ids are bytes in its task only; its row has their digest. Words are encoded once a task (as far as ``WORDS`` of
-them are remembered), by the same splitter and model as ``bpe``.
+A piece's ids are bytes in its task only (of little-endian machines); its row has their digest. Words are encoded once a worker,
+as far as ``WORDS`` of them are remembered, by the same splitter and model as ``bpe``.
 
 Defined results: null or empty text is one piece, the end mark alone; rows that share doc_id, or have none, are documents of
 their own; equal lengths are packed in the order of rows; an empty table gives no rows; other columns are not looked at.
@@ -18,7 +18,9 @@ Numbers of sequences depend on how the rows are dealt to tasks; lengths, places
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ CAPACITY, END = 1_024, 2
 FREE = 4
 #: Pieces of a batch in a task, and of a node of the tree: bound memory and may change which pieces meet, not what is packed.
 BATCH, NODE, CROWDED = 100_000, 20_000, 4
-#: Words whose ids a task remembers.
+#: Words whose ids a worker remembers.
 WORDS = 400_000
 
 
@@ -49,10 +51,16 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS:
             self.clear()
-        self[word] = ids = np.array(self.encoder.word_ids(word), "<u4").tobytes()
+        self[word] = ids = array("I", self.encoder.word_ids(word)).tobytes()
         return ids
 
 
+@lru_cache(maxsize=1)
+def _words(definition: str, special: tuple[tuple[str, int], ...]) -> _Words:
+    """One a worker process, so that tasks after the first know the common words."""
+    return _Words(Encoder(definition, dict(special)))
+
+
 def cut(tokens: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """Start and length of each piece; all but the first are full where there are several."""
     first = (tokens - 1) % capacity + 1
@@ -123,7 +131,7 @@ def _local(docs: DataFrame, tokenizer_path: str, capacity: int, end: int, batch_
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _TYPES, strict=True)], _NAMES)
 
     def run(batches: Iterable[pa.RecordBatch]):
-        splitter, words, rows, number = Splitter(special), _Words(Encoder(model.value, special)), [], TaskContext.get().partitionId() << 16
+        splitter, words, rows, number = Splitter(special), _words(model.value, tuple(special.items())), [], TaskContext.get().partitionId() << 16
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = b"".join(map(words.__getitem__, splitter.words(text.as_py()))) + mark
