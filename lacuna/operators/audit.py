@@ -55,7 +55,7 @@ def held_positions(held: DataFrame) -> DataFrame:
 def _titles(rows: DataFrame, end: str, titles: Column) -> DataFrame:
     """One row for each end and title, with the parts of each distinct title parsed once."""
     each = rows.select(end, F.col(f"{end}.release_id").alias("release_id"), F.explode(titles).alias("title")).filter("title is not null and title <> ''")
-    parsed = readings.parsed(each, "title", False).filter("n = 0").select(F.col("name").alias("title"), "base", "version_type", "version")
+    parsed = readings.parsed(each, "title", False, ["name", "base", "version_type", "version"], likeliest=True).withColumnRenamed("name", "title")
     return each.join(parsed, "title").select("release_id", end, "base", "version_type", "version").filter("base <> ''")
 
 

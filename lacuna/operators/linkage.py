@@ -92,7 +92,7 @@ def _parsed(rows: DataFrame, file_name: Column) -> DataFrame:
     rows = rows.withColumn("name", F.coalesce(F.nullif(F.trim("title"), F.lit("")), file_name)).withColumn("tagged", F.coalesce(F.trim("title"), F.lit("")) != "")
     told = None
     for tagged in (True, False):
-        some = readings.parsed(rows.filter(F.col("tagged") == F.lit(tagged)), "name", not tagged).filter("n = 0")
+        some = readings.parsed(rows.filter(F.col("tagged") == F.lit(tagged)), "name", not tagged, ["name", "base", "version_type", "version", "words"], likeliest=True)
         some = some.select("name", F.lit(tagged).alias("tagged"), "base", "version_type", "version", F.array_join("words", " ").alias("title_key"))
         some = some.withColumn("title_id", F.xxhash64("base", "version_type", "version", "title_key", F.col("version").isNull()))
         told = some if told is None else told.union(some)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions import readings as grammar
+from lacuna.operators.lineage import written
 from lacuna.operators.matching import matching_blocks_ratio
 
 #: What a title with masked letters scores against the one that spells them out, and what an unbracketed version needs.
@@ -19,25 +21,30 @@ AGREE = 0.75
 REMIX_WORDS = r"\b(remix|rmx|re-mix|flip|edit|bootleg|version|mix)\b"
 TAKE_WORDS = r"\b(version|take|mix|live|acoustic|demo|rough|alt|alternate|alternative|unplugged|piano)\b"
 
-_ROW = "name string, n int, title string, base string, version_type string, version string, guests array<string>, full string, words array<string>, lone string"
+_ROW = {
+    "name": "string", "n": "int", "title": "string", "base": "string", "version_type": "string", "version": "string",
+    "guests": "array<string>", "full": "string", "words": "array<string>", "lone": "string",
+}
 
 
-def parsed(names: DataFrame, name: str, filename: bool) -> DataFrame:
+def parsed(names: DataFrame, name: str, filename: bool, columns: Sequence[str] = tuple(_ROW), likeliest: bool = False) -> DataFrame:
     """name, n (0: the likeliest) and the parts of every reading of every distinct name; ``words`` are those of the whole
-    title, ``lone`` its key if it could be a title that is a version's name. Null and empty names have no readings."""
+    title, ``lone`` its key if it could be a title that is a version's name. Null and empty names have no readings.
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Only the ``columns`` are made and leave Python; with ``likeliest`` only the likeliest title of a name is read."""
+    of = grammar.first_reading if likeliest else grammar.readings
+    told = {"name": lambda x, n, r: x, "n": lambda x, n, r: n, "words": lambda x, n, r: grammar.title_key(r.title).split(), "lone": lambda x, n, r: grammar.lone(x, filename)}
+    makers = [told.get(c) or (lambda x, n, r, c=c: getattr(r, c)) for c in columns]
+    kinds = [pa.list_(pa.string()) if _ROW[c].startswith("array") else pa.int32() if _ROW[c] == "int" else pa.string() for c in columns]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (x, n, r.title, r.base, r.version_type, r.version, r.guests, r.full, grammar.title_key(r.title).split(), grammar.lone(x, filename))
-                for x in batch["name"]
-                for n, r in enumerate(grammar.readings(x, filename))
-            ]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ROW.split(", ")])
+            rows = [(x, n, r) for x in batch.column(0).to_pylist() for n, r in enumerate(of(x, filename))]
+            yield pa.RecordBatch.from_arrays([pa.array([make(*row) for row in rows], kind) for make, kind in zip(makers, kinds, strict=True)], list(columns))
 
     # a name takes longer to parse than to move, so names are dealt to as many tasks as a shuffle has
     dealt = names.select(F.col(name).alias("name")).filter("name is not null").repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
-    return dealt.distinct().mapInPandas(run, _ROW)
+    return dealt.distinct().mapInArrow(run, ", ".join(f"{c} {_ROW[c]}" for c in columns))
 
 
 def _compact(c: str) -> Column:
@@ -122,7 +129,9 @@ def same_titles(expected: DataFrame, title: str, offered: DataFrame, name: str)
     Readings meet by version type and key without spaces, so no pair is formed that does not match.
     """
     side = lambda rows, p: rows.select(F.col("name").alias(p), F.struct("n", "title").alias(f"{p}_reading"), F.coalesce("version_type", F.lit("")).alias("kind"), _compact("full").alias("key"))
-    e, r = side(parsed(expected, title, False), "e"), side(parsed(offered, name, True), "r")
+    columns = ["name", "n", "title", "version_type", "full"]
+    # expected titles are written, so that Spark knows whether they are few enough to go to the files
+    e, r = written(side(parsed(expected, title, False, columns), "e")), side(parsed(offered, name, True, columns), "r")
     best = e.join(r, ["kind", "key"]).groupBy("e", "r").agg(F.min(F.struct("e_reading", "r_reading")).alias("best"))
     return best.select(F.col("e").alias("title"), F.col("r").alias("name"), F.col("best.e_reading.title").alias("e_reading"), F.col("best.r_reading.title").alias("r_reading"))
 

@@ -38,7 +38,7 @@ FILES = """SELECT p_name, p_type, l_linenumber % 4 AS form, CASE l_linenumber %
     CASE WHEN form IN (0, 2) THEN lower(p_type) || ' remix' ELSE '' END AS version FROM ({FILES})""")
 def file_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likeliest title of each distinct file name, and its version."""
-    found = readings.parsed(_files(spark, sf_dir), "file", True).filter("n = 0")
+    found = readings.parsed(_files(spark, sf_dir), "file", True, ["name", "base", "version_type", "version"], likeliest=True)
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return found.select(F.col("name").alias("file"), "base", empty("version_type"), empty("version"))
 

@@ -189,3 +189,15 @@ def test_masked_titles_equal_all_pairs(spark, seed):
 
     want = {(t, n) for t in titles if t and (p := pattern(t)) for n in names if p.fullmatch(n)}
     assert got == want and len(want) > 20
+
+
+def test_likeliest_alone(spark, monkeypatch):
+    names = ["03 - A - Song (X Remix).mp3", "01-artist_1-large_gear-abc.mp3", "2 Of 9.flac", "A - b - LARGE Remix.mp3"]
+    rows = spark.createDataFrame([(n,) for n in [*names, None, " "]], "name string")
+    columns = ["name", "title", "base", "version_type", "version", "words"]
+    every = {tuple(map(str, r)) for r in readings.parsed(rows, "name", True).filter("n = 0").select(columns).collect()}
+    assert {tuple(map(str, r)) for r in readings.parsed(rows, "name", True, columns, likeliest=True).collect()} == every and len(every) == 4
+    # no reading but the first is made
+    read = []
+    monkeypatch.setattr(grammar, "parts", lambda title: read.append(title) or title)
+    assert [grammar.first_reading(n, True)[0] for n in names] == [grammar.titles(n, True)[0] for n in names] == read
