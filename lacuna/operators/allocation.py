@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from lacuna.operators.lineage import written
 
 #: Open offers that one task may settle in sequence.
 MOST = 50_000
+#: Offers of one release that one task may cover in a loop; more are cut down in rounds first.
+COVER_MOST = 10_000_000
 
 
 def _sequence(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,24 +94,54 @@ def best_folders(offers: DataFrame, complete: DataFrame | None = None, most: int
     return first.select("release", "song", "of.*")
 
 
-def _cover_each(rows: pd.DataFrame) -> pd.DataFrame:
-    """Folder after folder of one release: the one with most of the songs that are left, the smaller name first."""
-    left, steps = rows.groupby("folder")["song"].agg(set).to_dict(), []
-    while left:
-        best = min(left, key=lambda f: (-len(left[f]), f))
-        gone = left.pop(best)
-        steps += [(rows["release"].iloc[0], best, song, len(gone)) for song in gone]
-        left = {f: rest for f, songs in left.items() if (rest := songs - gone)}
-    return pd.DataFrame(steps, columns=["release", "folder", "song", "n_filled"])
+def _ends(offers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of offers in the order of one end, and where each of its ``n`` values begins there."""
+    return np.argsort(offers, kind="stable").astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(offers, minlength=n))])
 
 
-def cover(offers: DataFrame, release: str, folder: str, song: str, most: int = MOST) -> DataFrame:
+def _cover_each(rows: pa.Table) -> pa.Table:
+    """Folder after folder of one release: the one with most of the songs that are left, the smaller name first."""
+    numbered = []
+    for c in ("folder", "song"):
+        coded = rows.column(c).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        rank = np.empty(len(order), np.int32)
+        rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+        numbered.append((rank[coded.indices.to_numpy()], coded.dictionary.take(order)))
+    (folder, folders), (song, songs) = numbered
+    by_folder, of_folder = _ends(folder, len(folders))
+    by_song, of_song = _ends(song, len(songs))
+    left, free = np.diff(of_folder), np.ones(len(songs), bool)
+    waiting = list(zip((-left).tolist(), range(len(folders)), strict=True))
+    heapq.heapify(waiting)
+    taken, filled = [], []
+    while waiting:
+        n, f = heapq.heappop(waiting)
+        if left[f] != -n:
+            # counts only fall, so a folder waits again at its new count
+            if left[f]:
+                heapq.heappush(waiting, (-int(left[f]), f))
+            continue
+        gone = song[by_folder[of_folder[f] : of_folder[f + 1]]]
+        gone = gone[free[gone]]
+        free[gone] = False
+        for s in gone.tolist():
+            left[folder[by_song[of_song[s] : of_song[s + 1]]]] -= 1
+        taken.append(np.full(len(gone), f, np.int32))
+        filled.append(gone)
+    who, what = np.concatenate(taken), np.concatenate(filled)
+    n_filled = np.bincount(who, minlength=len(folders))[who].astype(np.int64)
+    release = rows.column("release").slice(0, len(who))
+    return pa.table({"release": release, "folder": folders.take(pa.array(who)), "song": songs.take(pa.array(what)), "n_filled": n_filled})
+
+
+def cover(offers: DataFrame, release: str, folder: str, song: str, most: int = COVER_MOST) -> DataFrame:
     """release, folder, song, n_filled and step: the folder that fills each song if in every step the folder with most songs
     that are left (of equals the smaller one) is taken, and the rest are counted again.
 
     All releases go at once. A folder that is first among all folders with which it shares a song is taken whatever the others
     do, since counts only fall; a round takes all of these and counts only what is left. A release with ``most`` offers or fewer
-    left is settled by one task in a loop. The order of steps is that of the counts at which folders were taken.
+    left is settled by one task in a loop, in arrays of some 50 bytes an offer. The order of steps is that of the counts at which folders were taken.
     Nulls take no part.
     """
     named = offers.select(F.col(release).alias("release"), F.col(folder).alias("folder"), F.col(song).alias("song")).na.drop().distinct()
@@ -114,7 +150,7 @@ def cover(offers: DataFrame, release: str, folder: str, song: str, most: int = M
     while True:
         sizes = open_.groupBy("release").agg(F.count("*").alias("n"))
         small = open_.join(sizes.filter(F.col("n") <= most).select("release"), "release", "left_semi")
-        settled = small.groupBy("release").applyInPandas(_cover_each, f"{kinds}, n_filled long").select("release", "folder", "song", "n_filled")
+        settled = small.groupBy("release").applyInArrow(_cover_each, f"{kinds}, n_filled long").select("release", "folder", "song", "n_filled")
         found = settled if found is None else found.union(settled)
         large = written(open_.join(sizes.filter(F.col("n") > most).select("release"), "release", "left_semi").select("release", "folder", "song"))
         if large.isEmpty():

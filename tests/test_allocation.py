@@ -121,3 +121,13 @@ def test_cover_equals_the_loop(spark, most):
     rows += [(7, f"c{i:02}", i + d) for i in range(15) for d in (0, 1)]
     got = allocation.cover(spark.createDataFrame([*rows, (None, "f", 1), (9, None, 1)], "album int, dir string, track int"), "album", "dir", "track", most)
     assert got.columns == ["album", "dir", "track", "n_filled", "step"] and sorted(tuple(r) for r in got.collect()) == plain_cover(rows)
+
+
+def test_cover_of_a_long_chain_needs_no_rounds(spark, monkeypatch):
+    # each folder shares a song with the next smaller one, so a round could take one folder only
+    rows = [(1, f"d{i:03}", i * 1_000 + k) for i in range(200) for k in range(400 - i)] + [(1, f"d{i:03}", (i - 1) * 1_000) for i in range(1, 200)]
+    assert len(rows) > allocation.MOST
+    tables, write = [], allocation.written
+    monkeypatch.setattr(allocation, "written", lambda df: tables.append(1) or write(df))
+    got = allocation.cover(spark.createDataFrame(rows, "album int, dir string, track int"), "album", "dir", "track").collect()
+    assert sorted(tuple(r) for r in got) == plain_cover(rows) and len(tables) <= 2
