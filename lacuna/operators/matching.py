@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.operators.components import connected_components
 from lacuna.operators.lineage import checkpointed, written
-from lacuna.operators.ranking import top_rows
 
 
 def ascii_tokens(text: Column) -> Column:
@@ -73,37 +75,54 @@ def matching_blocks_ratio(a: str, b: str) -> Column:
     return F.pandas_udf(run, "double")(a, b)
 
 
-def _in_order(block: pd.DataFrame) -> pd.DataFrame:
-    """The ranks of the offers that are taken, by falling rank, while both ends are free."""
-    used_a, used_b, taken = set(), set(), []
-    for a, b, r in block.sort_values("r")[["a", "b", "r"]].itertuples(index=False):
-        if a not in used_a and b not in used_b:
-            used_a.add(a)
-            used_b.add(b)
-            taken.append(r)
-    return pd.DataFrame({"part": [block["part"].iloc[0]] * len(taken), "r": taken})
+def _in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The offers that are taken while both ends are free; offers come part after part, each part in order."""
+    used_a, used_b, now = set(), set(), None
+    for batch in batches:
+        taken = []
+        for part, a, b in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b")), strict=True):
+            if part != now:
+                used_a, used_b, now = set(), set(), part
+            free = a not in used_a and b not in used_b
+            if free:
+                used_a.add(a)
+                used_b.add(b)
+            taken.append(free)
+        yield batch.filter(pa.array(taken, pa.bool_())).select(["one", "two", "worth"])
 
 
-def greedy_assignment(offers: DataFrame, left: str, right: str, score: str, most: int = 50_000) -> DataFrame:
+def greedy_assignment(offers: DataFrame, left: str, right: str, score: str, most: int = 2_000_000) -> DataFrame:
     """One-to-one pairs as if offers were taken by falling score (ties by left, then right) while both ends are free.
 
-    Offers that share no end, directly or through others, don't touch each other, so connected parts are settled apart: parts
-    of up to ``most`` offers in one pass over each. In larger ones, every round takes all offers that are the best of both
-    their ends, which is what the sequence would do, and drops the offers of taken ends; each round takes some, so it ends.
-    Null ends take no part.
+    A round takes all offers that are the best of both their ends, which is what the sequence would do, and drops the offers of
+    taken ends. One round leaves little where most ends have one offer. Of what is left, offers that share no end, directly or
+    through others, don't touch each other, so connected parts are settled apart: those of up to ``most`` offers by one pass
+    of a task over each, which holds the ends that are taken and no offers. Larger ones go in rounds; each takes some, so it
+    ends. Null ends take no part.
     """
     order = [F.desc("worth"), F.col("one"), F.col("two")]
     given = offers.select(F.col(left).alias("one"), F.col(right).alias("two"), F.col(score).alias("worth")).filter("one is not null and two is not null").distinct()
-    given = checkpointed(given.withColumn("a", F.xxhash64(F.lit("left"), "one")).withColumn("b", F.xxhash64(F.lit("right"), "two")))
-    parts = connected_components(given.select("a", "b")).select(F.col("node").alias("a"), F.col("component").alias("part"))
-    given = checkpointed(given.join(parts, "a"))
-    sizes = given.groupBy("part").agg(F.count("*").alias("n"))
-    small = given.join(sizes.filter(F.col("n") <= most).drop("n"), "part").withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    settled = small.select("part", "a", "b", "r").groupBy("part").applyInPandas(_in_order, "part long, r int")
-    taken = small.join(settled, ["part", "r"]).select("one", "two", "worth")
-    open_ = checkpointed(given.join(sizes.filter(F.col("n") > most).drop("n"), "part", "left_semi").select("one", "two", "worth"))
-    while not open_.isEmpty():
-        best = checkpointed(top_rows(open_, ["one"], order).intersect(top_rows(open_, ["two"], order)))
+    open_ = checkpointed(given.withColumn("a", F.xxhash64(F.lit("left"), "one")).withColumn("b", F.xxhash64(F.lit("right"), "two")))
+    first = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(*order))
+    taken = open_.select("one", "two", "worth").limit(0)
+
+    def settle_round(rows: DataFrame) -> DataFrame:
+        nonlocal taken
+        best = checkpointed(rows.withColumn("nth", first("one")).withColumn("nth_of_two", first("two")).filter("nth = 1 and nth_of_two = 1").select("one", "two", "worth"))
         taken = taken.union(best)
-        open_ = checkpointed(open_.join(best.select("one"), "one", "left_anti").join(best.select("two"), "two", "left_anti").select("one", "two", "worth"))
+        return checkpointed(rows.join(best.select("one"), "one", "left_anti").join(best.select("two"), "two", "left_anti").select(*rows.columns))
+
+    if not open_.isEmpty():
+        open_ = settle_round(open_)
+    if open_.isEmpty():
+        return taken.toDF(left, right, score)
+    parts = connected_components(open_.select("a", "b")).select(F.col("node").alias("a"), F.col("component").alias("part"))
+    open_ = checkpointed(open_.join(parts, "a"))
+    large = open_.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("part")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in taken.schema.fields)
+    small = open_.join(large, "part", "left_anti").select("part", "a", "b", "one", "two", "worth").repartition(int(offers.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
+    taken = taken.union(small.sortWithinPartitions("part", *order).mapInArrow(_in_order, kinds))
+    open_ = checkpointed(open_.join(large, "part", "left_semi").select("one", "two", "worth"))
+    while not open_.isEmpty():
+        open_ = settle_round(open_)
     return taken.toDF(left, right, score)

@@ -72,3 +72,13 @@ def test_greedy_assignment_of_chains(spark):
     offers = spark.createDataFrame([*chain, ("a0", None, 500)], "l string, r string, s int")
     for most in (50_000, 0):
         assert sorted(tuple(r) for r in greedy_assignment(offers, "l", "r", "s", most).collect()) == sorted(want)
+
+
+def test_greedy_assignment_of_many_pairs_in_one_round(spark, monkeypatch):
+    from lacuna.operators import matching
+
+    monkeypatch.setattr(matching, "connected_components", None)
+    offers = spark.range(3_000).selectExpr("id as l", "id + 1 as r", "cast(id % 7 as int) as s")
+    assert greedy_assignment(offers, "l", "r", "s").count() == 3_000
+    closed = offers.union(offers.selectExpr("l", "r", "s - 10"))
+    assert sorted(r.s for r in greedy_assignment(closed, "l", "r", "s").collect()) == sorted(i % 7 for i in range(3_000))
