@@ -10,9 +10,9 @@ cut into windows by the tasks; the driver gets all of these, or the ``TRAIN_WIND
 so any part of any text may be among them. Each of ``STEPS`` steps draws ``BATCH``. These bounds are the only things about the
 network that do not grow with the corpus. All languages are learned.
 
-``identified_documents`` fits on four fifths of the training rows; on up to about ``SPARE_DOCS`` of the others it takes the
-lowest score of a text whose language is found, and rejects texts that are more than twice as far from 1 as that one, so that
-clean texts a little under it stay. With fewer than ``LEAST_SPARE`` such texts there is no such bound.
+``identified_documents`` fits on four fifths of the training rows; on all of the others it takes the lowest score of a text
+whose language is found, and rejects texts that are more than twice as far from 1 as that one, so that clean texts a little
+under it stay. With fewer than ``LEAST_SPARE`` such texts there is no such bound.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; so is all text if nothing can be learned;
 repeated rows give repeated rows; an empty table gives an empty table; other columns are not looked at.
@@ -33,7 +33,7 @@ WIDTHS, FILTERS = (2, 3, 4), 16
 TRAIN_DOCS = 3_000
 #: Windows that the driver gets, 128 bytes each.
 TRAIN_WINDOWS = 150_000
-SPARE_DOCS, LEAST_SPARE = 1_000, 50
+LEAST_SPARE = 50
 STEPS, BATCH, RATE, SEED = 800, 64, 0.01, 7
 CHUNK = 512
 UNDETERMINED = "und"
@@ -212,12 +212,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def calibrated(docs: DataFrame, model: tuple[list[str], Network] | None) -> float:
-    """The bound on scores by spared training texts whose language is found, or 0 with too few of them."""
+    """The bound on scores by all spared training texts whose language is found, or 0 with too few of them."""
     if model is None:
         return 0.0
-    spare = _training(docs, True)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = spare.filter(_draw(SEED + 2) < F.lit(min(1.0, SPARE_DOCS / max(1, spare.count()))))
 
     def run(batches):
         model = _scorer(shared.value)
@@ -226,7 +224,7 @@ def calibrated(docs: DataFrame, model: tuple[list[str], Network] | None) -> floa
             good = [s for n, s, lang in zip(names, scores, batch.column("lang").to_pylist(), strict=True) if n == lang]
             yield pa.RecordBatch.from_arrays([pa.array(good, pa.float64())], ["score"])
 
-    found = chosen.select("text", "lang").mapInArrow(run, "score double").agg(F.count("*").alias("n"), F.min("score").alias("low")).first()
+    found = _training(docs, True).select("text", "lang").mapInArrow(run, "score double").agg(F.count("*").alias("n"), F.min("score").alias("low")).first()
     return max(0.0, 1 - 2 * (1 - found["low"])) if found["n"] >= LEAST_SPARE else 0.0
 
 
