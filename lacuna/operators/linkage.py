@@ -30,7 +30,7 @@ from lacuna.functions import readings as grammar
 from lacuna.functions.text import NUMBERED_VALUES
 from lacuna.operators import allocation, naming, readings
 from lacuna.operators.likeness import like_pairs
-from lacuna.operators.lineage import written
+from lacuna.operators.lineage import written as _write
 from lacuna.operators.matching import matching_blocks_ratio
 
 #: Least likeness of an album (exclusive), of one that needs no artist, of a title (exclusive), of a fuzzy title.
@@ -38,6 +38,20 @@ ALBUM, OWN_ALBUM, TITLE, FUZZY = 0.7, 0.9, 0.9, 0.85
 #: Names that credit nobody.
 NOBODY = "various artists|various|va|v.a.|v.a|v. a.|v a|v/a|compilation|compilations|unknown artist"
 
+#: Written tables take some ten times the memory once they are read: columns of titles and paths repeat and compress well.
+COMPRESSED = 10.0
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As a table, planned by what its sources take in memory, so that only tables that are small there are broadcast."""
+    conf, factor = df.sparkSession.conf, "spark.sql.sources.fileCompressionFactor"
+    before = conf.get(factor)
+    conf.set(factor, str(max(COMPRESSED, float(before))))
+    try:
+        return _write(df)
+    finally:
+        conf.set(factor, before)
+
 
 def _keys(values: DataFrame, column: str) -> DataFrame:
     """value and key of each distinct value that has a key."""
@@ -162,15 +176,22 @@ def linked(catalogue: DataFrame, artists: DataFrame, held: DataFrame) -> DataFra
     tracks = (F.col("e_base") == F.col("r_base")) | F.coalesce(_number("e_track_number") == _number("r_track_number"), F.lit(True))
     rows = written(rows.filter(tracks).withColumn("same", F.col("base_like") > TITLE))
 
-    by_release = on.join(confirmed, ["artist_id", "release_key"]).groupBy("seq", "path").agg(
+    c_numbers = c.filter("base <> ''").select("seq", F.lower(F.trim("track_number")).alias("text"), _number("track_number", True).alias("number")).filter("text <> ''")
+    bare = h.filter("bare").withColumn("n", F.coalesce("track_number", F.regexp_replace(file_name, r"\.[^.]*$", ""))).select("path", F.lower(F.trim("n")).alias("text"), _number("n", True).alias("number"))
+    # by text or by number; a release meets only files of the same one, never all of its own
+    either = F.explode(F.array_compact(F.array(F.concat(F.lit("text "), "text"), F.concat(F.lit("number "), "number")))).alias("at")
+    tracks_at = on.select("seq", "artist_id", "release_key").distinct().join(c_numbers.select("seq", either), "seq")
+    files_at = confirmed.select("path", "artist_id", "release_key").join(bare.select("path", either), "path")
+    numbered = written(tracks_at.join(files_at, ["artist_id", "release_key", "at"]).select("seq", "path").distinct())
+
+    pairs = rows.select("seq", "path").union(numbered).distinct()
+    by_release = pairs.join(on, "seq").join(confirmed, ["path", "artist_id", "release_key"]).groupBy("seq", "path").agg(
         (((F.max("likeness") > ALBUM) | F.max("folder")) & ((F.max("likeness") >= OWN_ALBUM) | ~F.max("other"))).alias("confirmed"),
         F.max(F.col("main") & ((F.col("likeness") == 1.0) | (F.col("folder") & ~F.col("other")))).alias("main"),
     )
     by_release = written(by_release)
     sure = by_release.filter("confirmed").select("seq", "path")
-    c_numbers = c.filter("base <> ''").select("seq", F.lower(F.trim("track_number")).alias("c_text"), _number("track_number", True).alias("c_number"))
-    bare = h.filter("bare").withColumn("n", F.coalesce("track_number", F.regexp_replace(file_name, r"\.[^.]*$", ""))).select("path", F.lower(F.trim("n")).alias("h_text"), _number("n", True).alias("h_number"))
-    numbered = sure.join(c_numbers, "seq").join(bare, "path").filter("c_text <> '' and (c_text = h_text or c_number = h_number)").select("seq", "path", F.lit("number").alias("method"))
+    numbered = numbered.join(sure, ["seq", "path"]).select("seq", "path", F.lit("number").alias("method"))
     exact = rows.filter("same").join(sure, ["seq", "path"]).select("seq", "path", F.lit("release").alias("method"))
     settle(numbered.union(exact).groupBy("seq", "path").agg(F.min("method").alias("method")))
     by_artist = narrow.withColumn("by_artist", F.lit(True))
@@ -184,12 +205,22 @@ def linked(catalogue: DataFrame, artists: DataFrame, held: DataFrame) -> DataFra
 
 def _titles(c: DataFrame, near: DataFrame) -> DataFrame:
     """Within each artist, the pairs of distinct titles of which bases or whole titles are alike by ``FUZZY`` or more, whose
-    versions agree and whose bases differ in no number; with both likenesses. Titles are known by title_id."""
+    versions agree and whose bases differ in no number; with both likenesses. Titles are known by title_id.
+
+    Titles with numbers meet those of the same numbers and those without any, so a catalogue of numbered titles is no join of
+    all its titles."""
     told = ["title_id", "base", "version_type", "version", "title_key"]
     left, right = (side.select("artist_id", *[F.col(x).alias(f"{p}_{x}") for x in told]).filter(f"{p}_base is not null").distinct() for side, p in ((c, "e"), (near, "r")))
+
+    def blocks(side: DataFrame, p: str, key: str) -> DataFrame:
+        numbers = F.array_join(_numbers(f"{p}_base"), " ")
+        bare, other = ("e", "r") if p == "e" else ("r", "e")
+        met = F.array(F.concat(F.lit("="), numbers), F.when(numbers == "", f"{bare} has none").otherwise(f"{other} has none"))
+        return side.select("artist_id", F.explode(met).alias("block"), F.col(f"{p}_{key}").alias("key"))
+
     found = None
     for key in ("base", "title_key"):
-        like = written(like_pairs(left.select("artist_id", F.col(f"e_{key}").alias("key")), right.select("artist_id", F.col(f"r_{key}").alias("key")), FUZZY, ["artist_id"]))
+        like = written(like_pairs(blocks(left, "e", key), blocks(right, "r", key), FUZZY, ["artist_id", "block"]).drop("block").distinct())
         some = like.join(left.select("artist_id", "e_title_id", F.col(f"e_{key}").alias("a")), ["artist_id", "a"]).join(right.select("artist_id", "r_title_id", F.col(f"r_{key}").alias("b")), ["artist_id", "b"])
         some = some.select("artist_id", "e_title_id", "r_title_id", *[(F.col("ratio") if k == key else F.lit(0.0)).alias(n) for k, n in (("base", "base_like"), ("title_key", "key_like"))])
         found = some if found is None else found.union(some)
@@ -200,4 +231,4 @@ def _titles(c: DataFrame, near: DataFrame) -> DataFrame:
 
 def linkage(catalogue: DataFrame, artists: DataFrame, held: DataFrame) -> DataFrame:
     """Every catalogue row: seq, status (found or missing), method and path."""
-    return catalogue.select("seq").join(linked(catalogue, artists, held), "seq", "left").select("seq", F.when(F.col("path").isNull(), "missing").otherwise("found").alias("status"), "method", "path")
+    return catalogue.select("seq").join(linked(catalogue, artists, held).hint("merge"), "seq", "left").select("seq", F.when(F.col("path").isNull(), "missing").otherwise("found").alias("status"), "method", "path")

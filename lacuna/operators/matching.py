@@ -64,15 +64,17 @@ def band_join(df: DataFrame, key: str, id_col: str, day: str, value: str, days:
     return near.select(F.col("k").alias(key), F.col("id").alias("left_id"), F.col("id2").alias("right_id"))
 
 
-def matching_blocks_ratio(a: str, b: str) -> Column:
-    """Twice the matched characters over all characters, by longest matching blocks; the order of the two counts."""
+def matching_blocks_ratio(a: str, b: str, once: bool = False) -> Column:
+    """Twice the matched characters over all characters, by longest matching blocks; the order of the two counts. With ``once``
+    it is made where it stands and nowhere else: Spark moves no filter on it to below a shuffle or a distinct."""
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
         return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return F.pandas_udf(run, "double")(a, b)
+    ratio = F.pandas_udf(run, "double")
+    return (ratio.asNondeterministic() if once else ratio)(a, b)
 
 
 def _in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
