@@ -66,6 +66,21 @@ def allocate(offers: DataFrame, left: Sequence[str], right: Sequence[str], order
     return found
 
 
+def _held(offers: DataFrame, most: int) -> DataFrame:
+    """The file of each song in each folder. Only folders that have a file for several songs need turns; in all others each
+    song has its best file, whatever the others take."""
+    folder = ["release", "peer", "folder"]
+    whole = offers.filter(" and ".join(f"{c} is not null" for c in (*folder, "song", "file")))
+    shared = whole.groupBy(*folder, "file").agg(F.min("song").alias("low"), F.max("song").alias("high")).filter("low <> high").select(*folder).distinct()
+    shared = written(shared)
+    row = F.struct(*[c for c in offers.columns if c not in (*folder, "song")])
+    free = whole.join(shared, folder, "left_anti").groupBy(*folder, "song").agg(F.min_by(row, F.struct("song_order", "rank", "file")).alias("row")).select(*folder, "song", "row.*").select(*offers.columns)
+    if shared.isEmpty():
+        return written(free)
+    turns = allocate(whole.join(shared, folder, "left_semi"), [*folder, "song"], [*folder, "file"], [F.col("song_order"), F.col("rank")], most)
+    return written(free.unionByName(turns))
+
+
 def best_folders(offers: DataFrame, complete: DataFrame | None = None, most: int = MOST) -> DataFrame:
     """The file that fills each song of each release, all folders of all peers compared before any is chosen.
 
@@ -76,8 +91,7 @@ def best_folders(offers: DataFrame, complete: DataFrame | None = None, most: int
     has it. With ``complete`` (release, n_songs), only folders that fill a whole release count. A null release, song, peer,
     folder or file takes no part.
     """
-    held = allocate(offers, ["release", "peer", "folder", "song"], ["release", "peer", "folder", "file"], [F.col("song_order"), F.col("rank")], most)
-    held = written(held)
+    held = _held(offers, most)
     songs = offers.groupBy("release").agg(F.count_distinct("song").alias("known"))
     total = lambda c: F.sum(F.col(c).cast("long"))
     per = held.groupBy("release", "peer", "folder").agg(
@@ -89,8 +103,9 @@ def best_folders(offers: DataFrame, complete: DataFrame | None = None, most: int
     per = per.join(songs, "release")
     placed = F.when((F.col("known") > 1) | F.col("in_context"), F.coalesce("placed", F.lit(0))).otherwise(0)
     falling = [~F.col("in_context"), -F.coalesce("preferred", F.lit(0)), -F.col("n"), -placed, F.col("health"), -F.coalesce("quality", F.lit(0))]
-    per = per.select("release", "peer", "folder", F.struct(*falling, F.lower("peer"), F.lower("folder"), "peer", "folder").alias("place"))
-    first = held.join(per, ["release", "peer", "folder"]).groupBy("release", "song").agg(F.min_by(F.struct("peer", "folder", "file"), "place").alias("of"))
+    turn = Window.partitionBy("release").orderBy(*falling, F.lower("peer"), F.lower("folder"), "peer", "folder")
+    per = per.select("release", "peer", "folder", F.row_number().over(turn).alias("place"))
+    first = held.select("release", "song", "peer", "folder", "file").join(per, ["release", "peer", "folder"]).groupBy("release", "song").agg(F.min_by(F.struct("peer", "folder", "file"), "place").alias("of"))
     return first.select("release", "song", "of.*")
 
 
