@@ -39,18 +39,20 @@ def allocate(offers: DataFrame, left: Sequence[str], right: Sequence[str], order
     With an order that starts with what orders the left ends, each left end in its turn takes the best that earlier ones left
     over. In a round, every offer that comes first at both of its ends is taken: whatever the sequence takes before it touches
     neither end. Offers of taken ends go, so rounds shrink what is open and each takes some; when ``most`` offers or fewer are
-    open, one task takes the rest in sequence. Ends are lists of columns; columns of offers are returned, each pair of ends
-    once, its first offer. An end with a null takes no part; no offers give no rows.
+    open, one task takes the rest in sequence. Ends are lists of columns; columns of offers are returned. Of repeated pairs of
+    ends, the first offer counts. An end with a null takes no part; no offers give no rows.
     """
     whole = offers.filter(F.concat(*[F.array(F.col(c).isNull()) for c in (*left, *right)]) == F.array(*[F.lit(False)] * (len(left) + len(right))))
     keyed = whole.select(F.struct(*left).alias("left"), F.struct(*right).alias("right"), F.struct(*order).alias("at"), F.struct("*").alias("row"))
-    open_ = written(keyed.groupBy("left", "right").agg(F.min_by(F.struct("at", "row"), "at").alias("x")).select("left", "right", F.col("x.at").alias("at"), F.col("x.row").alias("row")))
+    open_ = written(keyed)
     taken, n = [], open_.count()
     while n > most:
-        place = F.struct("at", "left", "right")
-        by_left = open_.groupBy("left").agg(F.min(place).alias("first")).select("first.*")
-        by_right = open_.groupBy("right").agg(F.min(place).alias("first")).select("first.*")
-        both = written(by_left.join(by_right.select("left", "right"), ["left", "right"]).join(open_.select("left", "right", "row"), ["left", "right"]))
+        # only the right ends that come first somewhere are looked at from their side, so a round shuffles no open offer
+        # where left ends have many offers each
+        best = written(open_.groupBy("left").agg(F.min_by(F.struct("right", "row"), F.struct("at", "right")).alias("x")).select("left", "x.*"))
+        rivals = open_.select("left", "right", "at").join(best.select("right").distinct(), "right", "left_semi")
+        winners = rivals.groupBy("right").agg(F.min_by("left", F.struct("at", "left")).alias("left"))
+        both = written(best.join(winners, ["left", "right"]).select("left", "right", "row"))
         taken.append(both)
         open_ = written(open_.join(both.select("left"), "left", "left_anti").join(both.select("right"), "right", "left_anti").select("left", "right", "at", "row"))
         n = open_.count()
