@@ -36,6 +36,19 @@ def blocked_candidates(left: DataFrame, right: DataFrame, left_key: str, right_k
     return met.groupBy(left_key, right_key).agg(F.count("*").alias("n_shared")).filter(F.col("n_shared") >= least)
 
 
+def sharing_pairs(rows: DataFrame, key: str, shared: str) -> DataFrame:
+    """left_key and right_key (the larger) of all rows that have a value of ``shared`` in common, each pair once.
+
+    A pair comes from the smallest value that both have, so no table of pairs is kept to find repeats; values are dealt to as
+    many tasks as a shuffle has, since few rows may make many pairs. Nulls take no part.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = rows.select(F.col(key).alias("key"), F.col(shared).alias("k")).na.drop().groupBy("key").agg(F.collect_set("k").alias("all"))
+    each = known.select("key", "all", F.explode("all").alias("k")).repartition(tasks, "k")
+    met = each.alias("a").join(each.alias("b"), "k").filter("a.key < b.key").filter(F.col("k") == F.array_min(F.array_intersect("a.all", "b.all")))
+    return met.select(F.col("a.key").alias("left_key"), F.col("b.key").alias("right_key"))
+
+
 def coverage(items: DataFrame, docs: DataFrame, item_key: str, doc_key: str, text: str, least_tokens: int, least_share: float) -> DataFrame:
     """Items most of whose tokens a document holds.
 

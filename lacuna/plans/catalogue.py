@@ -209,8 +209,7 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def key_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = F.array(F.concat_ws(":", F.col("s_nationkey").cast("string"), (F.col("s_suppkey") % 7).cast("string")), F.concat(F.lit("b"), F.floor(F.col("s_acctbal") / 10).cast("string")))
     rows = t(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array_distinct(keys)).alias("k"))
-    pairs = rows.alias("a").join(rows.alias("b"), "k").filter("a.s_suppkey < b.s_suppkey")
-    return pairs.select(F.col("a.s_suppkey").alias("left_key"), F.col("b.s_suppkey").alias("right_key")).distinct()
+    return matching.sharing_pairs(rows, "s_suppkey", "k")
 
 
 ITEM_TOKENS, DOC_TOKENS = TOKENS.format(key="item_id", text="text", table="benchmark"), TOKENS.format(key="doc_id", text="text", table="documents")
