@@ -131,7 +131,9 @@ def merged(old: tuple | None, new: tuple) -> tuple:
 
 
 class PeerBlocks(StatefulProcessor):
-    """One peer: its block, the signatures that have counted, and cancellations announced as our own."""
+    """One peer: its block, the signatures that have counted, and cancellations announced as our own.
+
+    The block is read from the state once and written once for all events of a batch, however many snapshots they are."""
 
     def __init__(self, cooldown_s: float = COOLDOWN_S, keep_s: float = KEEP_S):
         self.cooldown_s, self.keep_s = cooldown_s, keep_s
@@ -142,19 +144,29 @@ class PeerBlocks(StatefulProcessor):
         self.seen = handle.getMapState("seen", "signature string", "outcome string, at double")
         self.own = handle.getMapState("own", "transfer_id string", "at double")
 
+    def _load(self) -> tuple | None:
+        self.held = self.kept = tuple(self.block.get()) if self.block.exists() else None
+        return self.held
+
     def _held(self) -> tuple | None:
-        return tuple(self.block.get()) if self.block.exists() else None
+        return self.held
 
     def _put(self, block: tuple | None) -> None:
-        if block is None:
+        self.held = block
+
+    def _store(self) -> None:
+        if self.held == self.kept:
+            return
+        if self.held is None:
             self.block.clear()
             return
-        self.block.update(block)
-        if block[2] is not None:
-            self.handle.registerTimer(int(block[2] * 1000))
+        self.block.update(self.held)
+        if self.held[2] is not None:
+            self.handle.registerTimer(int(self.held[2] * 1000))
 
     def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
-        self._put(tuple(initialState[c] for c in ("reason", "blocked_at", "expires_at", "transfer_id")))
+        self.held, self.kept = tuple(initialState[c] for c in ("reason", "blocked_at", "expires_at", "transfer_id")), None
+        self._store()
 
     def _judged(self, e: Row, now: float) -> str:
         """What a failure that has not counted yet comes to; blocks where it does."""
@@ -194,12 +206,13 @@ class PeerBlocks(StatefulProcessor):
         return Row(peer=key[0], at=at, **dict(zip(("reason", "blocked_at", "expires_at", "transfer_id"), self._held() or [None] * 4, strict=True)))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        before, at = self._held(), 0.0
+        before, at = self._load(), 0.0
         order = {"internal": 0, "forget": 1, "unblock": 2, "failure": 3}
         events = sorted(rows, key=lambda e: (e.seen_at, order[e.kind], e.ended or 0.0, e.signature, e.transfer_id))
         for seen_at, group in groupby(events, key=lambda e: e.seen_at):
             at = seen_at.timestamp()
             self._snapshot(at, list(group))
+        self._store()
         self.handle.registerTimer(int((at + self.keep_s) * 1000))
         if self._held() != before:
             yield self._row(key, at)
@@ -210,9 +223,10 @@ class PeerBlocks(StatefulProcessor):
             for k, v in list(state.iterator()):
                 if age(v) + self.keep_s <= now:
                     state.removeKey(k)
-        held = self._held()
+        held = self._load()
         if held and held[2] is not None and held[2] <= now:
             self._put(None)
+            self._store()
             yield self._row(key, now)
 
 
