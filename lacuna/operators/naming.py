@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import text as titles
+from lacuna.operators.lineage import written
 
 #: Words of a name by which texts are searched first.
 HEAD = 2
+#: Characters of all names up to which every task gets the names, each counted with so many more. Decides on the plan, not on its result.
+FEW, EACH = 8 << 20, 64
 
 
 def _joined(words: Column) -> Column:
@@ -20,27 +23,36 @@ def find_names(texts: DataFrame, names: DataFrame) -> DataFrame:
 
     Both tables have an id and ``words``. Texts give their first words at each position, which meet the heads of names; only
     where a head stands is a text cut to the lengths that names with this head have, and these cuts meet whole names. So no
-    text meets a name with which it does not share its head, and both joins are by equality. Null or empty names and texts
-    find nothing; names of equal words are all found; repeated text_ids find what each of them holds.
+    text meets a name with which it does not share its head, and both joins are by equality. Up to ``FEW`` characters of names
+    go to every task, and texts are cut where they are; of more names, places are dealt by head and go back to their texts.
+    Null or empty names and texts find nothing; names of equal words are all found; repeated text_ids find what each of them
+    holds.
     """
-    named = names.select("name_id", "words", F.size("words").alias("n_words")).filter("n_words > 0")
-    heads = named.select(_joined(F.slice("words", 1, HEAD)).alias("head"), "n_words").distinct()
-    held = texts.select("text_id", "words").filter(F.size("words") > 0).withColumn("text_no", F.xxhash64("text_id", "words")).dropDuplicates(["text_id", "words"])
+    named = names.select("name_id", F.size("words").alias("n_words"), _joined(F.slice("words", 1, HEAD)).alias("head"), _joined("words").alias("phrase")).filter("n_words > 0")
+    heads, phrases = named.select("head", "n_words").distinct(), named.select("name_id", "phrase").distinct()
+    held = texts.select("text_id", "words", F.xxhash64("text_id", "words").alias("text_no")).filter(F.size("words") > 0)
     at = lambda n: F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.struct(i.alias("start"), _joined(F.slice("words", i, n)).alias("head")))
-    places = held.select("text_no", F.size("words").alias("size"), F.inline(F.concat(*[at(n) for n in range(1, HEAD + 1)])))
-    hits = places.join(heads, "head").filter(F.col("start") + F.col("n_words") - 1 <= F.col("size")).select("text_no", "start", "n_words").distinct()
-    each = hits.groupBy("text_no").agg(F.collect_list(F.struct("start", "n_words")).alias("hits"))
-    cuts = held.join(each, "text_no").select("text_id", "words", F.inline("hits"))
-    cuts = cuts.select("text_id", "start", "n_words", _joined(F.slice("words", F.col("start"), F.col("n_words"))).alias("phrase"))
-    return cuts.join(named.select("name_id", _joined("words").alias("phrase")).distinct(), "phrase").select("text_id", "name_id", "start", "n_words")
+    places, inside = F.inline(F.concat(*[at(n) for n in range(1, HEAD + 1)])), F.col("start") + F.col("n_words") - 1 <= F.col("size")
+    if named.agg(F.coalesce(F.sum(F.length("phrase") + EACH), F.lit(0))).first()[0] <= FEW:
+        heads, phrases = F.broadcast(heads), F.broadcast(phrases)
+        cuts = held.select("text_id", "text_no", "words", F.size("words").alias("size"), places).join(heads, "head").filter(inside)
+    else:
+        hits = held.select("text_no", F.size("words").alias("size"), places).join(heads, "head").filter(inside).select("text_no", "start", "n_words").distinct()
+        each = hits.groupBy("text_no").agg(F.collect_list(F.struct("start", "n_words")).alias("hits"))
+        cuts = held.join(each, "text_no").select("text_id", "text_no", "words", F.inline("hits"))
+    cuts = cuts.select("text_id", "text_no", "start", "n_words", _joined(F.slice("words", F.col("start"), F.col("n_words"))).alias("phrase"))
+    return cuts.join(phrases, "phrase").select("text_no", "text_id", "name_id", "start", "n_words").distinct().drop("text_no")
 
 
 def longest(found: DataFrame, names: DataFrame, *per: str) -> DataFrame:
-    """Of the names found for a text (and ``per``), those that no longer one of them holds: First Light names no Light."""
+    """Of the names found for a text (and ``per``), those that no longer one of them holds: First Light names no Light.
+
+    What was found is written once, so that the texts are not searched twice.
+    """
     inside = find_names(names.select(F.col("name_id").alias("text_id"), "words"), names)
     sizes = names.select(F.col("name_id").alias("outer"), F.size("words").alias("outer_words")).distinct()
     inside = inside.select(F.col("text_id").alias("outer"), F.col("name_id").alias("inner"), "n_words").join(sizes, "outer").filter("outer_words > n_words").select("outer", "inner").distinct()
-    rows = found.select(*per, "text_id", "name_id").distinct()
+    rows = written(found.select(*per, "text_id", "name_id").distinct())
     covered = rows.join(inside, rows.name_id == inside.outer).select(*per, "text_id", F.col("inner").alias("name_id"))
     return rows.join(covered, [*per, "text_id", "name_id"], "left_anti")
 

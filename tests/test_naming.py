@@ -1,6 +1,7 @@
 """Names in texts against brute force over all pairs."""
 
 import random
+import re
 
 import pytest
 
@@ -29,6 +30,19 @@ def test_names_in_texts_equal_brute_force(spark, seed):
     assert kept == {(t, n) for t, ns in by_text.items() for n in ns if not any(len(of[o]) > len(of[n]) and inside(of[n], of[o]) for o in ns)}
 
 
+@pytest.mark.parametrize("few", [0, naming.FEW])
+def test_few_names_come_to_the_texts(spark, monkeypatch, few):
+    """Texts are not shuffled to meet few names; repeated rows and ids find the same either way."""
+    monkeypatch.setattr(naming, "FEW", few)
+    texts = [(1, ["a", "b", "c", "a", "b"]), (1, ["a", "b", "c", "a", "b"]), (1, ["a", "b"]), (None, ["c"]), (2, ["b", "c", "d"])]
+    names = [("ab", ["a", "b"]), ("c", ["c"]), ("bcd", ["b", "c", "d"]), ("bcd", ["b", "c", "d"]), ("b", ["b"])]
+    found = naming.find_names(spark.createDataFrame(texts, TEXT), spark.createDataFrame(names, NAME))
+    want = {(i, n, at, len(x), tuple(ws)) for i, ws in texts for n, x in names for at in inside(x, ws)}
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted((w[:4] for w in want), key=repr)
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)", found._jdf.queryExecution().executedPlan().toString())
+    assert not any(re.search(r"\bwords#", by) or re.fullmatch(r"text_no#\d+L?, \d+", by) for by in dealt) or not few
+
+
 def test_folders_name_releases_by_whole_words(spark):
     files = ["/m/Abba/1992 - Gold Hits [FLAC]/01.mp3", "/m/Abba/Online Sessions/a.mp3", "/m/X/On/1.mp3", "C:\\m\\Gold\\Hits\\1.mp3", "bare.mp3", None]
     frame = spark.createDataFrame([(f,) for f in files], "path string")
