@@ -206,32 +206,39 @@ def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
     return written(rows.select("hash", "form", "n", "pos", "fp", F.coalesce("component", "form").alias("label")))
 
 
-def _relabelled(labelled: DataFrame, mixed: DataFrame, links: DataFrame, total: int) -> DataFrame:
-    """The rows of postings that hold several groups, with the groups that new links make of these; a posting of one group
-    stays one, so the others are done."""
-    rows = written(join_per_key(labelled, mixed.select("hash", "rows"), "hash", total, "rows"))
+def _mixed(labelled: DataFrame, total: int) -> DataFrame:
+    """The rows of postings of several groups, with the posting's most frequent one, its number of rows and of those outside it."""
+    per = labelled.groupBy("hash", "label").agg(F.count("*").alias("held")).groupBy("hash")
+    mixed = per.agg(F.max_by("label", "held").alias("most"), F.max("held").alias("top"), F.count("*").alias("labels"), F.sum("held").alias("rows"))
+    mixed = written(mixed.filter("labels > 1").select("hash", "most", "rows", F.col("rows").alias("size"), (F.col("rows") - F.col("top")).alias("outside")))
+    return written(join_per_key(labelled.select("hash", "form", "n", "pos", "fp", "label"), mixed, "hash", total, "rows"))
+
+
+def _is_large():
+    """Of rows of mixed postings: by the pairs of rows outside the most frequent group with all rows."""
+    return F.col("outside") * F.col("size") > LARGE
+
+
+def _tied(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component: the groups that links of forms among these rows make of their groups so far."""
     of = rows.select("form", "label").distinct()
     ends = links.join(of.select(F.col("form").alias("a"), F.col("label").alias("x")), "a").join(of.select(F.col("form").alias("b"), F.col("label").alias("y")), "b")
-    groups = connected_components(ends.select("x", "y"), "x", "y")
-    found = rows.join(groups, rows.label == groups.node, "left")
-    return written(found.select("hash", "form", "n", "pos", "fp", F.coalesce("component", "label").alias("label")))
+    return written(connected_components(ends.select("x", "y"), "x", "y"))
 
 
-def _mixed(labelled: DataFrame) -> DataFrame:
-    """Of each posting of several groups: the most frequent one, the number of rows, and of pairs of those outside it."""
-    per = labelled.groupBy("hash", "label").agg(F.count("*").alias("held")).groupBy("hash")
-    mixed = per.agg(F.max_by("label", "held").alias("most"), F.max("held").alias("top"), F.count("*").alias("labels"), F.sum("held").alias("rows"))
-    return written(mixed.filter("labels > 1").select("hash", "most", "rows", ((F.col("rows") - F.col("top")) * F.col("rows")).alias("pairs")))
+def _regrouped(rows: DataFrame, groups: DataFrame, *labels: str) -> DataFrame:
+    """The rows with what became of the groups in these columns."""
+    for c in labels:
+        rows = rows.join(groups.select(F.col("node").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
+    return rows
 
 
-def _turn(labelled: DataFrame, mixed: DataFrame, turn: int, total: int) -> DataFrame:
+def _turn(large: DataFrame, turn: int, total: int) -> DataFrame:
     """Candidates (a, b, g) of large postings: each row outside the most frequent group with one row of it, by the turn."""
-    large = mixed.filter(F.col("pairs") > LARGE)
-    rows = written(join_per_key(labelled, large.select("hash", "most", "rows", F.col("rows").alias("size")), "hash", total, "rows"))
     head = F.min_by(F.struct("form", "n", "pos", "fp"), F.xxhash64("form", "hash", F.lit(turn))).alias("first")
-    heads = rows.filter("label = most").groupBy("hash").agg(head, F.first("size").alias("size"))
-    heads = heads.select("hash", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("form", "n", "pos", "fp")], F.col("size").alias("rows"))
-    met = join_per_key(rows.filter("label <> most"), heads, "hash", total, "rows").filter(_able("", "first_"))
+    heads = large.filter("label = most").groupBy("hash").agg(head, F.first("size").alias("rows"))
+    heads = heads.select("hash", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("form", "n", "pos", "fp")], "rows")
+    met = join_per_key(large.filter("label <> most"), heads, "hash", total, "rows").filter(_able("", "first_"))
     ends = met.select(F.least("form", "first_form").alias("a"), F.greatest("form", "first_form").alias("b"), "hash")
     return ends.groupBy("a", "b").agg(F.min("hash").alias("g"))
 
@@ -244,14 +251,13 @@ def _differ_little(x: str, y: str):
     return (den + num) * bits <= (den - num) * (F.col(f"{x}n") + F.col(f"{y}n"))
 
 
-def _between(labelled: DataFrame, mixed: DataFrame, total: int, parities: DataFrame) -> DataFrame:
+def _between(mixed: DataFrame, parities: DataFrame) -> DataFrame:
     """Candidates (a, b, g) that stand in one posting under different labels, and the largest such posting.
 
     Of a posting, only the rows outside its most frequent label are joined with all rows, so a large group that is connected
     already is never paired with itself.
     """
-    rows = join_per_key(labelled, mixed.select("hash", "most", "rows", F.col("rows").alias("size")), "hash", total, "rows")
-    rows = written(rows.join(parities, "form"))
+    rows = written(mixed.join(parities, "form"))
     columns = ("form", "n", "pos", "fp", "label", *parities.columns[1:])
     x = rows.filter("label <> most").select("hash", "size", *[F.col(c).alias(f"x_{c}") for c in columns])
     y = rows.select("hash", *[F.col(c).alias(f"y_{c}") for c in columns])
@@ -263,21 +269,23 @@ def _between(labelled: DataFrame, mixed: DataFrame, total: int, parities: DataFr
 def _linked(postings: DataFrame, stars: DataFrame, keyed: DataFrame, firsts: DataFrame, parities: DataFrame, words_each: int) -> DataFrame:
     """Verified links (a, b) that connect all similar forms, from the first candidates on.
 
-    Turns go on while the pairs left in large postings outnumber the postings and a turn took a quarter of them or more.
+    Turns go on while the pairs left in large postings outnumber the postings and a turn took a quarter of them or more. A turn
+    reads and joins the rows of large postings only; those of the others just learn what became of their groups.
     """
     total, tried, turn, before = postings.count(), stars.select("a", "b"), 0, None
     links = _verified(stars, keyed, firsts, words_each)
-    labelled = _labelled(postings, links)
+    rows = _mixed(_labelled(postings, links), total)
+    small, large = rows.filter(~_is_large()), rows.filter(_is_large())
     while True:
-        mixed = _mixed(labelled)
-        pairs = mixed.filter(F.col("pairs") > LARGE).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+        pairs = large.filter(_is_large()).agg(F.coalesce(F.sum("outside"), F.lit(0))).first()[0]
         if pairs <= PAIRS_EACH * total or (before is not None and 4 * pairs > 3 * before):
             break
-        found = written(_turn(labelled, mixed, turn, total).join(tried, ["a", "b"], "left_anti"))
+        found = written(_turn(large.filter(_is_large()), turn, total).join(tried, ["a", "b"], "left_anti"))
         more = _verified(found, keyed, firsts, words_each)
-        labelled = _relabelled(labelled, mixed, more, total)
+        groups = _tied(large, more)
+        small, large = _regrouped(small, groups, "label", "most"), _mixed(written(_regrouped(large, groups, "label")), total)
         links, tried, turn, before = links.union(more), tried.union(found.select("a", "b")), turn + 1, pairs
-    rest = written(_between(labelled, mixed, total, parities).join(tried, ["a", "b"], "left_anti"))
+    rest = written(_between(small.unionByName(large), parities).join(tried, ["a", "b"], "left_anti"))
     return links.union(_verified(rest, keyed, firsts, words_each))
 
 

@@ -76,6 +76,30 @@ def test_turns_over_a_large_group_equal_brute_force(spark, monkeypatch):
     assert turns
 
 
+def test_a_turn_joins_only_rows_of_large_postings(spark, monkeypatch):
+    """One large group beside many pairs that share a passage and are not similar: rows of their postings are joined once."""
+    rng = np.random.default_rng(9)
+    word, base, rows, joined = lambda n: [f"v{k}" for k in rng.integers(0, 10**6, n)], [f"w{k}" for k in range(120)], [], []
+    for _ in range(60):
+        text = list(base)
+        for k in rng.integers(0, len(text), int(rng.integers(1, 7))):
+            text[k] = f"edit{rng.integers(0, 10**6)}"
+        rows.append((len(rows), " ".join(text), "s"))
+    for _ in range(40):
+        shared = word(12)
+        rows += [(len(rows) + k, " ".join(word(9) + shared + word(9)), "s") for k in range(2)]
+    monkeypatch.setattr(similar, "LARGE", 20)
+    monkeypatch.setattr(similar, "PAIRS_EACH", 0)
+    turn, join = similar._turn, similar.join_per_key
+    turns = []
+    monkeypatch.setattr(similar, "_turn", lambda *a: turns.append(len(joined)) or turn(*a))
+    monkeypatch.setattr(similar, "join_per_key", lambda *a: joined.append(a[0].count() if a[2] == "hash" else 0) or join(*a))
+    found = similar.kept(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id for r in found), key=repr) == plain_kept(rows)
+    postings = joined[0]
+    assert turns and max(joined[turns[0] :]) < postings - 2 * 40
+
+
 def test_repeated_lines_and_words_lose_no_link(spark):
     """Copies with one of their own lines, a phrase or a word repeated many times are similar sets, whatever they weigh."""
     rng = np.random.default_rng(12)
