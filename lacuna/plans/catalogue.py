@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import text as titles
 from lacuna.operators import gaps, matching, ranking
-from lacuna.operators.components import connected_components
+from lacuna.operators.components import shared_components
 from lacuna.operators.likeness import like_pairs
 from lacuna.operators.lineage import shared_folder
 from lacuna.streaming import state
@@ -252,9 +252,7 @@ l AS (SELECT DISTINCT o, o AS label, 0 AS r FROM e UNION ALL SELECT o, min(m) AS
 SELECT o AS node, label AS component FROM l WHERE r = 16""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that share a part, directly or through others."""
-    lines = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    stars = lines.groupBy("l_partkey").agg(F.min("l_orderkey").alias("first"))
-    return connected_components(lines.join(stars, "l_partkey").select(F.col("l_orderkey").alias("a"), F.col("first").alias("b")))
+    return shared_components(t(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
 
 
 @query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key FROM part")
