@@ -65,11 +65,11 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def _mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """As ``mix``, with the documents' keys."""
+    """As ``mix``, with the documents' keys, their sources and the sources' whole epochs."""
     sized = written(sizes(docs))
     per = written(targets(sized, weights, most)).alias("p")
     equal = sized.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("copies"))
-    of = equal.alias("d").join(per, F.col("d.source").eqNullSafe(F.col("p.source"))).select("doc_id", "size", "key", "copies", "number", "n", "source_size", "target")
+    of = equal.alias("d").join(per, F.col("d.source").eqNullSafe(F.col("p.source"))).select("doc_id", "d.source", "size", "key", "copies", "number", "n", "source_size", "target")
     of = of.withColumn("range", F.floor(F.col("key") / F.lit(float(1 << 53)) * F.ceil(F.col("n") / RANGE)).cast("long"))
     sums = of.groupBy("number", "range").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
     earlier = Window.partitionBy("number").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,12 +81,12 @@ def _mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     rest = budget - F.col("epochs") * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - F.col("copy") * F.col("size")))
     each = placed.withColumn("epochs", epochs).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"), "key")
+    return each.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"), "key", "source", "epochs")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, size, source_size, target and taken, the words that the mix takes of each document, repeats counted."""
-    return _mix(docs, weights, most).drop("key")
+    return _mix(docs, weights, most).drop("key", "source", "epochs")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -94,8 +94,19 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
     Rows of one doc_id and text share the largest of their shares. Needs doc_id, source and text; all columns are returned.
     """
-    share = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    times = written(_mix(docs, weights, most).groupBy("key").agg(F.max(share).alias("times")).filter("times > 0"))
-    rows, (doc_id, text), named = numbered(docs, "doc_id", "text")
-    kept = rows.withColumn("key", _key(doc_id, text)).join(times, "key")
+    found = written(_mix(docs, weights, most).select("source", "key", "size", "taken", "epochs"))
+    size, key, epochs = F.col("size"), F.col("key"), F.col("epochs")
+    share = F.when(size > 0, F.round(F.col("taken") / size)).otherwise(0).cast("int")
+    # Keys below a source's cut are taken whole once more than keys beyond it, so a row's own key and source tell how often it
+    # is taken, but at the cut itself and where sources share a key: only these are looked up, and texts stay where they are.
+    cuts = written(found.groupBy("source").agg(F.max("epochs").alias("epochs"), F.min(F.when((size > 0) & (F.col("taken") < (epochs + 1) * size), key)).alias("cut")))
+    by_cut = (epochs + F.when(F.col("cut").isNull() | (key < F.col("cut")), 1).otherwise(0)).cast("int")
+    judged = found.drop("epochs").alias("d").join(cuts.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")))
+    judged = judged.select("key", share.alias("times"), F.when(size > 0, by_cut).otherwise(0).alias("told"))
+    others = judged.groupBy("key").agg(F.max("times").alias("times"), F.min("told").alias("least"), F.max("told").alias("most"))
+    others = written(others.filter("times <> least or times <> most").select("key", "times"))
+    rows, (doc_id, source, text), named = numbered(docs, "doc_id", "source", "text")
+    wordy = F.coalesce(text.rlike(WORD), F.lit(False))
+    kept = rows.withColumns({"key": _key(doc_id, text), "of": source.cast("string")}).join(cuts, F.col("of").eqNullSafe(F.col("source"))).join(others, "key", "left")
+    kept = kept.withColumn("times", F.coalesce("times", F.when(wordy, by_cut).otherwise(0))).filter("times > 0")
     return kept.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*named)

@@ -34,7 +34,7 @@ from lacuna.llm.common import arrow_batches, numbered
 from lacuna.llm.repeats import Filter, _filter
 from lacuna.operators.components import connected_components
 from lacuna.operators.lineage import written
-from lacuna.operators.skew import join_per_key
+from lacuna.operators.skew import HOT, join_per_key
 
 WORDS, SIMILARITY = 5, (4, 5)
 SAMPLE, LEAST_HELD, MOST_HOT = 4_000, 3, 100_000
@@ -55,6 +55,8 @@ RADIUS, LEAST_FOR_RADIUS = 24, 40
 PARITIES = 4
 #: Rows that go to Python at once.
 BATCH = 2_000
+#: Pairs that a task keeps to leave out repeats. Bounds memory, not results.
+PAIRS_KEPT = 1_000_000
 
 
 def shingles(text: str | None, words_each: int = WORDS) -> set[bytes]:
@@ -87,13 +89,36 @@ def _can_reach(n, pos, n2, pos2):
     return (den * n >= num * n2) & (den * n2 >= num * n) & ((num + den) * most >= num * (n + n2))
 
 
-def _parities(hashes: np.ndarray) -> np.ndarray:
+def _parities(hashes: np.ndarray, words: int = PARITIES) -> np.ndarray:
     """Whether an odd number of the hashes falls on each bit, as signed words. Two sets differ in as many elements at least as
     their parities differ in bits, since elements of both sets cancel out."""
-    odd = np.bincount((hashes % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    odd = np.bincount((hashes % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _sketch(hashes: np.ndarray) -> bytes:
+    """The number of hashes and their parities, about a bit or two for each hash: a large set needs more bits than a small one."""
+    words = max(PARITIES, 1 << max(0, len(hashes) - 1).bit_length() >> 6)
+    return len(hashes).to_bytes(8, "little") + _parities(hashes, words).tobytes()
+
+
+def _sketches_allow(a: bytes, b: bytes) -> bool:
+    """Whether sketches leave it open that two sets are similar (an exact bound, see ``_differ_little``)."""
+    x, y = (np.frombuffer(v, np.uint64, offset=8) for v in (a, b))
+    while len(x) != len(y):  # bits that coincide under fewer words cancel out
+        x, y = (v.reshape(2, -1)[0] ^ v.reshape(2, -1)[1] if len(v) == max(len(x), len(y)) else v for v in (x, y))
+    num, den = SIMILARITY
+    n = int.from_bytes(a[:8], "little") + int.from_bytes(b[:8], "little")
+    return (den + num) * int(np.bitwise_count(x ^ y).sum()) <= (den - num) * n
+
+
+def _sets_similar(a: bytes, b: bytes) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    num, den = SIMILARITY
+    return den * common >= num * (len(x) + len(y) - common)
+
+
 def _keyed(docs: DataFrame) -> tuple[DataFrame, list]:
     """The rows under names that no step uses, with doc_id, text and a key of the whole row; and their columns as they were."""
     rows, (doc_id, text), named = numbered(docs, "doc_id", "text")
@@ -119,7 +144,7 @@ def _often(keyed: DataFrame, words_each: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marks(keyed: DataFrame, words_each: int) -> DataFrame:
-    """key, doc_id, form, n (shingles) for every row; fingerprint, parities and first shingles of each form once in a task at least."""
+    """key, doc_id, form, n (shingles) for every row; fingerprint, parities, sketch and first shingles of each form once in a task at least."""
     shared = keyed.sparkSession.sparkContext.broadcast(_often(keyed, words_each))
     num, den = SIMILARITY
 
@@ -127,7 +152,7 @@ def _marks(keyed: DataFrame, words_each: int) -> DataFrame:
         hot, held = shared.value
         met = set()
         for batch in batches:
-            forms, sizes, prints, odd, firsts = [], [], [], [], []
+            forms, sizes, prints, odd, sketches, firsts = [], [], [], [], [], []
             for x in batch.column("text"):
                 text = x.as_py() or ""
                 form, every = _form(text), simhash.shingle_hashes(text, words_each)
@@ -138,6 +163,7 @@ def _marks(keyed: DataFrame, words_each: int) -> DataFrame:
                 if form in met or not n:
                     prints.append(None)
                     odd.append(None)
+                    sketches.append(None)
                     firsts.append(None)
                     continue
                 if len(met) >= MET:
@@ -145,44 +171,98 @@ def _marks(keyed: DataFrame, words_each: int) -> DataFrame:
                 met.add(form)
                 prints.append(simhash.majority(found))
                 odd.append(_parities(found))
+                sketches.append(_sketch(found))
                 often = np.zeros(n, np.int64)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
                     often = np.where(hot[at] == found, held[at], 0)
                 firsts.append(found[np.lexsort((found, often))][: n - -(-num * n // den) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("doc_id"), pa.array(forms, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))], ["key", "doc_id", "form", "n", "fp", "odd", "firsts"])
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("doc_id"), pa.array(forms, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["key", "doc_id", "form", "n", "fp", "odd", "sketch", "firsts"])
 
     rows = keyed.select("__key", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = written(rows.mapInArrow(run, "key long, doc_id long, form long, n long, fp long, odd array<long>, firsts array<long>"))
+    marks = written(rows.mapInArrow(run, "key long, doc_id long, form long, n long, fp long, odd array<long>, sketch binary, firsts array<long>"))
     shared.destroy()
     return marks
 
 
+def _hot(counted: DataFrame) -> np.ndarray:
+    """The hashes (at most ``HOT``, sorted) of postings that hold more than one in ``HOT`` of all rows."""
+    total = counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    return np.sort(counted.filter(F.col("count") * HOT > max(total, HOT)).select("hash").toArrow().column("hash").to_numpy())
+
+
 def _postings(marks: DataFrame) -> DataFrame:
-    """hash, form, n, pos and fp: the first shingles that other forms have among theirs (a few others may stay).
+    """form, n, fp, and hashes with pos: a form's first shingles that other forms have among theirs (a few others may stay), a
+    row for the hot ones and one for the others. Lists of a form are shuffled with what belongs to it once, rows are not.
 
     First only the hashes are counted; a filter of fixed size then keeps the other postings from any shuffle.
     """
-    counted = marks.select(F.explode("firsts").alias("hash")).groupBy("hash").count()
-    known = marks.sparkSession.sparkContext.broadcast(_filter(counted.filter("count > 1"), "hash").words)
+    counted = written(marks.select(F.explode("firsts").alias("hash")).groupBy("hash").count().filter("count > 1"))
+    known = marks.sparkSession.sparkContext.broadcast((_filter(counted, "hash").words, _hot(counted)))
 
     def run(batches):
-        shared = Filter(known.value)
+        words, hottest = known.value
+        shared = Filter(words)
         for batch in batches:
             lists = batch.column("firsts")
             sizes, hashes = np.diff(lists.offsets.to_numpy()), lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
             row = np.repeat(np.arange(len(sizes)), sizes)
             pos = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = np.flatnonzero(shared.has(hashes.view(np.uint64)))
-            others = [batch.column(c).to_numpy()[row[at]] for c in ("form", "n", "fp")]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes[at], others[0], others[1], pos[at], others[2])], ["hash", "form", "n", "pos", "fp"])
+            stays, hot = shared.has(hashes.view(np.uint64)), np.isin(hashes, hottest)
+            for kind in (True, False):
+                at = np.flatnonzero(stays & (hot == kind))
+                has, n = np.unique(row[at], return_counts=True)
+                ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                of = [batch.column(c).to_numpy()[has] for c in ("form", "n", "fp")]
+                held = [pa.ListArray.from_arrays(ends, pa.array(x[at])) for x in (hashes, pos)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), kind)), *map(pa.array, of), *held], ["hot", "form", "n", "fp", "hashes", "places"])
 
     described = marks.filter("firsts is not null").select("form", "n", "fp", "firsts")
-    found = written(described.mapInArrow(run, "hash long, form long, n long, pos long, fp long"))
+    found = written(described.mapInArrow(run, "hot boolean, form long, n long, fp long, hashes array<long>, places array<long>"))
     known.destroy()
     return found
 
 
+def _rows(lists: DataFrame, hot: bool) -> DataFrame:
+    """hash, form, n, pos, fp (and the label) of these postings."""
+    more = [c for c in lists.columns if c == "label"]
+    each = lists.filter(F.col("hot") == hot).select("form", "n", "fp", *more, F.explode(F.arrays_zip("hashes", "places")).alias("x"))
+    return each.select(F.col("x.hashes").alias("hash"), "form", "n", F.col("x.places").alias("pos"), "fp", *more)
+
+
+def _whole_postings(batches, columns: list[str]):
+    """Arrays of the columns for as many whole postings as there are in rows sorted by hash."""
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            rows = {c: batch.column(c).to_numpy() for c in columns}
+            rows = rows if held is None else {c: np.concatenate([held[c], rows[c]]) for c in columns}
+            last = int(np.searchsorted(rows["hash"], rows["hash"][-1]))
+            held = {c: x[last:] for c, x in rows.items()}
+            if last:
+                yield {c: x[:last] for c, x in rows.items()}
+    if held is not None:
+        yield held
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _are_able(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """As ``_able``, for rows at places x and y of these arrays."""
+    num, den = SIMILARITY
+    (n, pos, fp), (n2, pos2, fp2) = ([rows[c][at] for c in ("n", "pos", "fp")] for at in (x, y))
+    most = 1 + np.minimum(n - pos - 1, n2 - pos2 - 1)
+    near = np.bitwise_count((fp ^ fp2).view(np.uint64)) <= RADIUS
+    return (den * n >= num * n2) & (den * n2 >= num * n) & ((num + den) * most >= num * (n + n2)) & (near | (np.minimum(n, n2) < LEAST_FOR_RADIUS))
+
+
 def _able(x: str, y: str):
     """Whether two postings (prefixes of their columns) of one hash may belong to similar forms."""
     n, n2 = F.col(f"{x}n"), F.col(f"{y}n")
@@ -199,11 +279,72 @@ def _stars(postings: DataFrame) -> DataFrame:
     return met.filter((F.col("form") != F.col("first_form")) & _able("", "first_")).select(F.col("first_form").alias("a"), F.col("form").alias("b"), F.col("hash").alias("g"))
 
 
-def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
-    """The postings with the group that each form belongs to by the links so far."""
+def _stars_dealt(postings: DataFrame) -> DataFrame:
+    """As ``_stars``, for postings none of which is hot: each is dealt to a task whole, once."""
+
+    def run(batches):
+        for rows in _whole_postings(batches, ["hash", "form", "n", "pos", "fp"]):
+            starts, form = _starts(rows["hash"]), rows["form"]
+            head = np.repeat(starts, np.diff(np.append(starts, len(form))))
+            at = np.flatnonzero((form != form[head]) & _are_able(rows, head, np.arange(len(form))))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (form[head[at]], form[at], rows["hash"][at])], ["a", "b", "g"])
+
+    return postings.repartition("hash").sortWithinPartitions("hash", "form").mapInArrow(run, "a long, b long, g long")
+
+
+def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists with the group that each form belongs to by the links so far."""
     label = connected_components(links)
-    rows = postings.join(label, postings.form == label.node, "left")
-    return written(rows.select("hash", "form", "n", "pos", "fp", F.coalesce("component", "form").alias("label")))
+    rows = lists.join(label, lists.form == label.node, "left")
+    return written(rows.select("hot", "form", "n", "fp", F.coalesce("component", "form").alias("label"), "hashes", "places"))
+
+
+def _mixed_dealt(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For postings none of which is hot, each dealt to a task whole, once: candidates (a, b, g) of different groups in those
+    that are not large, of each row outside the most frequent group with all rows; and as ``_mixed`` the rows of large ones."""
+    names, most_pairs = ["hash", "form", "n", "pos", "fp", "label", "most", "size", "outside", "other"], LARGE
+    schema = pa.schema([(c, pa.int64()) for c in names])
+
+    def pairs_of(found: list[tuple]) -> pa.RecordBatch:
+        a, b, g = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((b, a))
+        at = order[_starts(a[order], b[order])] if len(a) else order
+        got = {"hash": g[at], "form": a[at], "other": b[at]}
+        return pa.RecordBatch.from_arrays([pa.array(got[c]) if c in got else pa.nulls(len(at), pa.int64()) for c in names], schema=schema)
+
+    def run(batches):
+        found, kept = [], 0
+        for rows in _whole_postings(batches, names[:6]):
+            hashes, form, label = rows["hash"], rows["form"], rows["label"]
+            starts, of_label = _starts(hashes), _starts(hashes, label)
+            held, first = np.diff(np.append(of_label, len(form))), np.searchsorted(of_label, starts)
+            size, top, labels = np.diff(np.append(starts, len(form))), np.maximum.reduceat(held, first), np.diff(np.append(first, len(held)))
+            is_top = np.flatnonzero(held == np.repeat(top, labels))
+            most = label[of_label[is_top[np.searchsorted(is_top, first)]]]
+            outside, post = size - top, np.repeat(np.arange(len(starts)), size)
+            large = (labels > 1) & (outside * size > most_pairs)
+            x = np.flatnonzero((label != most[post]) & ~large[post])
+            each = size[post[x]]
+            y = np.arange(each.sum()) + np.repeat(starts[post[x]] - np.cumsum(each) + each, each)
+            x = np.repeat(x, each)
+            at = np.flatnonzero(label[x] != label[y])
+            at = at[_are_able(rows, x[at], y[at])]
+            found.append((np.minimum(form[x[at]], form[y[at]]), np.maximum(form[x[at]], form[y[at]]), hashes[x[at]]))
+            kept += len(at)
+            if kept >= PAIRS_KEPT:
+                yield pairs_of(found)
+                found, kept = [], 0
+            at = np.flatnonzero(large[post])
+            if len(at):
+                more = [most[post[at]], size[post[at]], outside[post[at]]]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in [rows[c][at] for c in names[:6]] + more] + [pa.nulls(len(at), pa.int64())], schema=schema)
+        if kept:
+            yield pairs_of(found)
+
+    dealt = _rows(labelled, False).repartition("hash").sortWithinPartitions("hash", "label")
+    found = written(dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names)))
+    pairs = found.filter("other is not null").groupBy(F.col("form").alias("a"), F.col("other").alias("b")).agg(F.min("hash").alias("g"))
+    return written(pairs), found.filter("other is null").drop("other")
 
 
 def _mixed(labelled: DataFrame, total: int) -> DataFrame:
@@ -266,27 +407,40 @@ def _between(mixed: DataFrame, parities: DataFrame) -> DataFrame:
     return met.groupBy("a", "b").agg(F.min("of").alias("of")).select("a", "b", F.col("of.hash").alias("g"))
 
 
-def _linked(postings: DataFrame, stars: DataFrame, keyed: DataFrame, firsts: DataFrame, parities: DataFrame, words_each: int) -> DataFrame:
+def _linked(lists: DataFrame, stars: DataFrame, keyed: DataFrame, marks: DataFrame, firsts: DataFrame, parities: DataFrame, words_each: int) -> DataFrame:
     """Verified links (a, b) that connect all similar forms, from the first candidates on.
 
     Turns go on while the pairs left in large postings outnumber the postings and a turn took a quarter of them or more. A turn
-    reads and joins the rows of large postings only; those of the others just learn what became of their groups.
+    reads and joins the rows of large postings only; those of the others just learn what became of their groups, and pairs of
+    those that are not hot are known before the first turn.
     """
-    total, tried, turn, before = postings.count(), stars.select("a", "b"), 0, None
-    links = _verified(stars, keyed, firsts, words_each)
-    rows = _mixed(_labelled(postings, links), total)
+    total, tried, turn, before = lists.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0], stars.select("a", "b"), 0, None
+    links = _verified(stars, keyed, marks, firsts, words_each)
+    labelled = _labelled(lists, links)
+    pairs_left, dealt = _mixed_dealt(labelled)
+    rows = _mixed(_rows(labelled, True), total).unionByName(dealt)
     small, large = rows.filter(~_is_large()), rows.filter(_is_large())
     while True:
         pairs = large.filter(_is_large()).agg(F.coalesce(F.sum("outside"), F.lit(0))).first()[0]
         if pairs <= PAIRS_EACH * total or (before is not None and 4 * pairs > 3 * before):
             break
         found = written(_turn(large.filter(_is_large()), turn, total).join(tried, ["a", "b"], "left_anti"))
-        more = _verified(found, keyed, firsts, words_each)
+        more = _verified(found, keyed, marks, firsts, words_each)
         groups = _tied(large, more)
         small, large = _regrouped(small, groups, "label", "most"), _mixed(written(_regrouped(large, groups, "label")), total)
         links, tried, turn, before = links.union(more), tried.union(found.select("a", "b")), turn + 1, pairs
-    rest = written(_between(small.unionByName(large), parities).join(tried, ["a", "b"], "left_anti"))
-    return links.union(_verified(rest, keyed, firsts, words_each))
+    if turn:
+        pairs_left = _apart(pairs_left, connected_components(links))
+    every = _between(small.unionByName(large), parities).union(pairs_left).groupBy("a", "b").agg(F.min("g").alias("g"))
+    rest = written(every.join(tried, ["a", "b"], "left_anti"))
+    return links.union(_verified(rest, keyed, marks, firsts, words_each))
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b, g) whose ends are not in one group."""
+    for c in ("a", "b"):
+        pairs = pairs.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+    return pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "g")
 
 
 def _tiled(pairs: DataFrame) -> DataFrame:
@@ -297,16 +451,56 @@ def _tiled(pairs: DataFrame) -> DataFrame:
     return met.select("a", "b", F.xxhash64("g", part("a"), part("b")).alias("tile"))
 
 
-def _verified(pairs: DataFrame, keyed: DataFrame, firsts: DataFrame, words_each: int) -> DataFrame:
+def _compared(held: DataFrame, tiled: DataFrame, good) -> DataFrame:
+    """Those of the pairs (tile, a, b) for which ``good`` is true of both forms' data, held as (tile, form, data): a form's data
+    go once to each tile that has pairs of it, and a task reads tile after tile, first the data and then the pairs."""
+    no_data, no_form = F.lit(None).cast("binary").alias("data"), F.lit(0).cast("long").alias("b")
+    both = held.select("tile", F.lit(0).alias("kind"), F.col("form").alias("a"), no_form, "data").union(tiled.select("tile", F.lit(1), "a", "b", no_data))
+
+    def run(batches):
+        of, known = None, {}
+        for batch in batches:
+            found, data = [], batch.column("data")
+            for i, (tile, kind, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tile", "kind", "a", "b")), strict=True)):
+                if tile != of:
+                    of, known = tile, {}
+                if kind == 0:
+                    known[a] = data[i].as_py()
+                elif good(known[a], known[b]):
+                    found.append((tile, a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], ["tile", "a", "b"])
+
+    return written(both.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(run, "tile long, a long, b long"))
+
+
+def _needed(tiled: DataFrame) -> DataFrame:
+    """tile and form, for both ends of the pairs."""
+    return tiled.select("tile", F.col("a").alias("form")).union(tiled.select("tile", "b")).distinct()
+
+
+def _verified(pairs: DataFrame, keyed: DataFrame, marks: DataFrame, firsts: DataFrame, words_each: int) -> DataFrame:
     """Those of the pairs that are similar, by all their shingles.
 
-    A filter of fixed size keeps other texts from the joins. A form's set of shingles goes once to each tile that has pairs
-    of it, and not once with each pair; a task reads tile after tile, first the sets and then the pairs.
+    Sketches come first, a sixty-fourth of a set or two: most pairs that are not similar differ in more bits than similar ones
+    can, so their sets stay where they are. Filters of fixed size keep other sketches and texts from the joins.
     """
+    context = keyed.sparkSession.sparkContext
     tiled = written(_tiled(pairs))
-    need = tiled.select("tile", F.col("a").alias("form")).union(tiled.select("tile", "b")).distinct()
+    need = _needed(tiled)
+    known = context.broadcast(_filter(need.select("form").distinct(), "form").words)
+
+    def asked(batches):
+        forms = Filter(known.value)
+        for batch in batches:
+            yield batch.filter(pa.array(forms.has(batch.column("form").to_numpy().view(np.uint64))))
+
+    sketches = marks.filter("sketch is not null").select("form", F.col("sketch").alias("data")).mapInArrow(asked, "form long, data binary")
+    tiled = _compared(sketches.join(need, "form"), tiled, _sketches_allow)
+    known.destroy()
+
+    need = _needed(tiled)
     wanted = need.select("form").distinct().join(firsts, "form").select(F.col("first.key").alias("__key"))
-    known = keyed.sparkSession.sparkContext.broadcast(_filter(wanted, "__key").words)
+    known = context.broadcast(_filter(wanted, "__key").words)
 
     def sieve(batches):
         known_keys, met = Filter(known.value), set()
@@ -318,34 +512,13 @@ def _verified(pairs: DataFrame, keyed: DataFrame, firsts: DataFrame, words_each:
             met.update(keys[at].tolist())
             texts = [batch.column("text")[i].as_py() or "" for i in at]
             found = [np.unique(simhash.shingle_hashes(x, words_each)).tobytes() for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([_form(x) for x in texts], pa.int64()), pa.array(found, pa.binary())], ["form", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([_form(x) for x in texts], pa.int64()), pa.array(found, pa.binary())], ["form", "data"])
 
     # What the filter lets pass besides the first row of each form that is needed only repeats a form, or meets no tile.
-    held = keyed.select("__key", "text").mapInArrow(sieve, "form long, hashes binary")
-    sets = held.join(need, "form").select("tile", F.lit(0).alias("kind"), F.col("form").alias("a"), F.lit(0).cast("long").alias("b"), "hashes")
-    both = sets.union(tiled.select("tile", F.lit(1), "a", "b", F.lit(None).cast("binary")))
-    num, den = SIMILARITY
-
-    def run(batches):
-        of, held = None, {}
-        for batch in batches:
-            good_a, good_b = [], []
-            for i, (tile, kind, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tile", "kind", "a", "b")), strict=True)):
-                if tile != of:
-                    of, held = tile, {}
-                if kind == 0:
-                    held[a] = np.frombuffer(batch.column("hashes")[i].as_py(), np.uint64)
-                    continue
-                x, y = held[a], held[b]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if den * common >= num * (len(x) + len(y) - common):
-                    good_a.append(a)
-                    good_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(good_a, pa.int64()), pa.array(good_b, pa.int64())], ["a", "b"])
-
-    found = written(both.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(run, "a long, b long"))
+    held = keyed.select("__key", "text").mapInArrow(sieve, "form long, data binary")
+    found = _compared(held.join(need, "form"), tiled, _sets_similar)
     known.destroy()
-    return found
+    return found.select("a", "b")
 
 
 def _by_fingerprint(marks: DataFrame) -> DataFrame:
@@ -362,10 +535,10 @@ def _doubtful(keyed: DataFrame, words_each: int) -> DataFrame:
     """__key of the rows that go (stays: null) and of those that are repeated whole; all other rows stay where they are."""
     marks = _marks(keyed, words_each)
     firsts = marks.groupBy("form").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
-    postings = _postings(marks)
-    stars = written(_stars(postings).union(_by_fingerprint(marks)).groupBy("a", "b").agg(F.min("g").alias("g")))
+    lists = _postings(marks)
+    stars = written(_stars(_rows(lists, True)).union(_stars_dealt(_rows(lists, False))).union(_by_fingerprint(marks)).groupBy("a", "b").agg(F.min("g").alias("g")))
     parities = marks.filter("odd is not null").groupBy("form").agg(F.first("odd").alias("odd")).select("form", *[F.col("odd")[i].alias(f"odd{i}") for i in range(PARITIES)])
-    parts = connected_components(_linked(postings, stars, keyed, firsts, parities, words_each))
+    parts = connected_components(_linked(lists, stars, keyed, marks, firsts, parities, words_each))
     rooted = firsts.join(parts, firsts.form == parts.node, "left").select("first", F.coalesce("component", "form").alias("root"))
     chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
     rows = marks.groupBy("key").agg(F.count("*").alias("n")).join(chosen.withColumn("stays", F.lit(True)), "key", "left")
