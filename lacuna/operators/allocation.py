@@ -43,9 +43,9 @@ def allocate(offers: DataFrame, left: Sequence[str], right: Sequence[str], order
     ends, the first offer counts. An end with a null takes no part; no offers give no rows.
     """
     whole = offers.filter(F.concat(*[F.array(F.col(c).isNull()) for c in (*left, *right)]) == F.array(*[F.lit(False)] * (len(left) + len(right))))
-    keyed = whole.select(F.struct(*left).alias("left"), F.struct(*right).alias("right"), F.struct(*order).alias("at"), F.struct("*").alias("row"))
-    open_ = written(keyed)
-    taken, n = [], open_.count()
+    keyed = lambda rows: rows.select(F.struct(*left).alias("left"), F.struct(*right).alias("right"), F.struct(*order).alias("at"), F.struct("*").alias("row"))
+    table = written(whole)
+    taken, n, open_ = [], table.count(), keyed(table)
     while n > most:
         # only the right ends that come first somewhere are looked at from their side, so a round shuffles no open offer
         # where left ends have many offers each
@@ -54,8 +54,12 @@ def allocate(offers: DataFrame, left: Sequence[str], right: Sequence[str], order
         winners = rivals.groupBy("right").agg(F.min_by("left", F.struct("at", "left")).alias("left"))
         both = written(best.join(winners, ["left", "right"]).select("left", "right", "row"))
         taken.append(both)
-        open_ = written(open_.join(both.select("left"), "left", "left_anti").join(both.select("right"), "right", "left_anti").select("left", "right", "at", "row"))
-        n = open_.count()
+        # left ends that took nothing are all whose offers stay open
+        lost = written(best.select("left").join(both.select("left"), "left", "left_anti"))
+        n = lost.count()
+        if n:
+            table = written(open_.join(lost, "left", "left_semi").join(both.select("right"), "right", "left_anti").select("row.*"))
+            n, open_ = table.count(), keyed(table)
     if n:
         ranked = open_.select(F.to_json("left").alias("left"), F.to_json("right").alias("right"), F.row_number().over(Window.orderBy("at", "left", "right")).alias("n"), "row")
         ranked = written(ranked)

@@ -11,6 +11,8 @@ from lacuna.operators.matching import matching_blocks_ratio
 
 #: Bounds under this leave short strings without a guaranteed common pair of letters.
 LEAST = 0.85
+#: In groups of which one side has up to so many strings, all are compared, so pairs are at most so many times the other's.
+DIRECT = 4
 
 
 def _grams(key: Column) -> Column:
@@ -38,17 +40,25 @@ def like_pairs(left: DataFrame, right: DataFrame, least: float = LEAST, per: Seq
     ``least`` or more; null and empty strings are like nothing.
 
     Equal strings meet by equality, others by one of their rarest pairs of letters, so a common word brings nothing together
-    by itself. Strings of groups that the other side lacks are left out first. ``least`` is ``LEAST`` or more.
+    by itself; in groups of which a side has up to ``DIRECT`` strings all meet. Strings of groups that the other side lacks are
+    left out first. ``least`` is ``LEAST`` or more.
     """
     if least < LEAST:
         raise ValueError(f"least must be {LEAST} or more")
     a, b = (side.select(*per, "key").filter("key <> ''").na.drop().distinct() for side in (left, right))
+    able = lambda met: met.filter((F.col("a") != F.col("b")) & (2 * F.least(F.length("a"), F.length("b")) >= least * (F.length("a") + F.length("b")) - 1e-9)).select(*per, "a", "b")
+    direct = None
     if per:
-        a, b = a.join(b.select(*per).distinct(), [*per], "left_semi"), b.join(a.select(*per).distinct(), [*per], "left_semi")
-    counts = a.select("key").union(b.select("key")).filter(F.length("key") > 1).select(F.explode(_grams(F.col("key"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+        sizes = a.groupBy(*per).agg(F.count("*").alias("n_a")).join(b.groupBy(*per).agg(F.count("*").alias("n_b")), [*per])
+        sizes = sizes.select(*per, (F.least("n_a", "n_b") <= DIRECT).alias("few"))
+        a, b = a.join(sizes, [*per]), b.join(sizes, [*per])
+        direct = able(a.filter("few").withColumnRenamed("key", "a").join(b.filter("few").withColumnRenamed("key", "b"), [*per]))
     same = a.join(b, [*per, "key"]).select(*per, F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("ratio"))
-    met = _firsts(a, counts, per, least).withColumnRenamed("key", "a").join(_firsts(b, counts, per, least).withColumnRenamed("key", "b"), [*per, "gram"])
-    able = met.filter((F.col("a") != F.col("b")) & (2 * F.least(F.length("a"), F.length("b")) >= least * (F.length("a") + F.length("b")) - 1e-9)).select(*per, "a", "b")
+    if per:
+        a, b = a.filter("not few"), b.filter("not few")
+    counts = a.select("key").union(b.select("key")).filter(F.length("key") > 1).select(F.explode(_grams(F.col("key"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    able = able(_firsts(a, counts, per, least).withColumnRenamed("key", "a").join(_firsts(b, counts, per, least).withColumnRenamed("key", "b"), [*per, "gram"]))
+    able = able if direct is None else able.union(direct)
     able = able.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b").distinct()
     # not deterministic to Spark, or it would compare pairs before their repeats are gone and before they are dealt out
     return same.union(able.withColumn("ratio", matching_blocks_ratio("a", "b", once=True)).filter(F.col("ratio") >= least).select(*per, "a", "b", "ratio"))

@@ -62,15 +62,15 @@ def words(key: str | Column) -> Column:
     return F.filter(F.split(key, " "), lambda w: w != "")
 
 
-def named_by_path(files: DataFrame, releases: DataFrame) -> DataFrame:
-    """path and title of every release that a folder of the file's path names.
+def folder(path: str) -> Column:
+    """The folders of a file's path; empty where it has none."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.substring(plain, F.lit(1), F.length(plain) - F.length(F.substring_index(plain, "/", -1)) - 1)
 
-    A title counts where its words stand in a row in the folders; one of one or two letters only as a whole folder. Every
-    folder path and title is normalised once. Files without folders and titles without a key name nothing.
-    """
-    folder = F.regexp_extract(F.regexp_replace("path", r"\\", "/"), "^(.*)/[^/]*$", 1)
-    paths = files.select("path", folder.alias("folder")).filter("folder <> ''").distinct()
-    texts = titles.with_key(paths.select("folder").distinct(), "folder", "key")
+
+def named_by_folder(folders: DataFrame, releases: DataFrame) -> DataFrame:
+    """folder and title of every release that a path of folders names; folders are distinct, see ``named_by_path``."""
+    texts = titles.with_key(folders.select("folder"), "folder", "key")
     keyed = titles.with_key(releases.select("title").filter("title is not null").distinct(), "title", "key").filter("key <> ''")
     long_, short = keyed.filter(F.length("key") >= 3), keyed.filter(F.length("key") < 3)
     found = find_names(
@@ -78,7 +78,17 @@ def named_by_path(files: DataFrame, releases: DataFrame) -> DataFrame:
     ).select(F.col("text_id").alias("folder"), F.col("name_id").alias("title"))
     parts = texts.select("folder", F.explode(F.split("folder", "/")).alias("part")).filter("part <> ''")
     whole = titles.with_key(parts, "part", "key").join(short, "key").select("folder", "title")
-    return paths.join(found.union(whole).distinct(), "folder").select("path", "title").distinct()
+    return found.union(whole).distinct()
+
+
+def named_by_path(files: DataFrame, releases: DataFrame) -> DataFrame:
+    """path and title of every release that a folder of the file's path names.
+
+    A title counts where its words stand in a row in the folders; one of one or two letters only as a whole folder. Every
+    folder path and title is normalised once. Files without folders and titles without a key name nothing.
+    """
+    paths = files.select("path", folder("path").alias("folder")).filter("folder <> ''").distinct()
+    return paths.join(named_by_folder(paths.select("folder").distinct(), releases), "folder").select("path", "title").distinct()
 
 
 def singular(word: Column) -> Column:
