@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.operators import readings
-from lacuna.operators.lineage import checkpointed
+from lacuna.operators.lineage import written
 from lacuna.operators.matching import greedy_assignment, matching_blocks_ratio
 
 #: Least similarity at the file's own position, and elsewhere.
@@ -30,6 +30,10 @@ def _key(kind: str, *parts: Column) -> Column:
     return F.when(filled, F.concat_ws("|", F.lit(kind), *[p.cast("string") for p in parts]))
 
 
+def _sort(key: Column) -> Column:
+    return F.substring_index(key, "|", 1)
+
+
 def _keys(*keys: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
@@ -46,17 +50,22 @@ def official_positions(official: DataFrame) -> DataFrame:
 
 def held_positions(held: DataFrame) -> DataFrame:
     """Adds ``keys``; a release whose files carry no disc number is numbered through, so its numbers are absolute as well."""
-    tagged = held.groupBy("release_id").agg(F.max(F.col("disc_number").isNotNull()).alias("tagged"))
     number = F.when(F.col("number") > 0, F.col("number"))
-    keys = _keys(_key("medium", F.coalesce("disc_number", F.lit(1)), number), F.when(~F.col("tagged"), _key("absolute", number)))
-    return held.join(tagged, "release_id").withColumn("keys", keys).drop("tagged")
+    medium = _key("medium", F.coalesce("disc_number", F.lit(1)), number)
+    own, other = held.filter("disc_number is not null"), held.filter("disc_number is null")
+    # only releases of files without a disc number are looked up
+    tagged = own.join(other.select("release_id").distinct(), "release_id", "left_semi").select("release_id").distinct().withColumn("tagged", F.lit(True))
+    rest = other.join(tagged, "release_id", "left").withColumn("keys", _keys(medium, F.when(F.col("tagged").isNull(), _key("absolute", number)))).drop("tagged")
+    return own.withColumn("keys", _keys(medium)).unionByName(rest)
+
 
+def _bases(rows: DataFrame, title: str, titles: DataFrame) -> DataFrame:
+    return rows.join(titles.withColumnRenamed("name", title), title)
 
-def _titles(rows: DataFrame, end: str, titles: Column) -> DataFrame:
-    """One row for each end and title, with the parts of each distinct title parsed once."""
-    each = rows.select(end, F.col(f"{end}.release_id").alias("release_id"), F.explode(titles).alias("title")).filter("title is not null and title <> ''")
-    parsed = readings.parsed(each, "title", False, ["name", "base", "version_type", "version"], likeliest=True).withColumnRenamed("name", "title")
-    return each.join(parsed, "title").select("release_id", end, "base", "version_type", "version").filter("base <> ''")
+
+def _parsed(titles: DataFrame) -> DataFrame:
+    """name, base, version_type and version of each distinct title that has a base."""
+    return readings.parsed(titles.filter("title <> ''"), "title", False, ["name", "base", "version_type", "version"], likeliest=True).filter("base <> ''")
 
 
 def _blocks(titles: DataFrame) -> DataFrame:
@@ -66,71 +75,83 @@ def _blocks(titles: DataFrame) -> DataFrame:
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
-    """Best score of each pair (o, h) over its titles: full titles equal, likeness of the base, likeness of the version."""
-    versions = pairs.select("version_type", "version", "h_version_type", "h_version").distinct().toDF("e_version_type", "e_version", "r_version_type", "r_version")
-    agreed = readings._versions_agree(versions).filter("agree").toDF("e_type", "e_version", "r_type", "r_version", "agree")
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    on = same("version_type", "e_type") & same("version", "e_version") & same("h_version_type", "r_type") & same("h_version", "r_version")
-    able = pairs.join(agreed, on).select("o", "h", "base", "h_base").distinct()
-    distinct = able.select("base", "h_base").distinct().withColumn("ratio", F.when(F.col("base") == F.col("h_base"), 1.0).otherwise(matching_blocks_ratio("base", "h_base")))
-    score = F.struct((F.col("base") == F.col("h_base")).alias("equal"), F.col("ratio").alias("likeness"))
-    return able.join(distinct, ["base", "h_base"]).groupBy("o", "h").agg(F.max(score).alias("score"))
-
-
-def _free(rows: DataFrame, taken: DataFrame, end: str) -> DataFrame:
-    return rows.join(taken.select(end), end, "left_anti")
+    """Each pair with the score of its titles (o_title, h_title): bases equal, likeness of the bases. Pairs of which versions
+    differ, and titles without a base, are left out. Distinct titles are parsed and distinct pairs of them compared once."""
+    both = written(pairs.select("o_title", "h_title").distinct())
+    titles = written(_parsed(both.select(F.col("o_title").alias("title")).union(both.select("h_title"))))
+    side = lambda p: titles.select(F.col("name").alias(f"{p}_title"), *[F.col(c).alias(f"{p}_{c}") for c in ("base", "version_type", "version")])
+    of = both.join(side("o").withColumnsRenamed({"o_version_type": "e_version_type", "o_version": "e_version"}), "o_title")
+    of = of.join(side("h").withColumnsRenamed({"h_version_type": "r_version_type", "h_version": "r_version"}), "h_title")
+    agreed = readings._versions_agree(of).filter("agree").withColumn("equal", F.col("o_base") == F.col("h_base"))
+    agreed = agreed.withColumns({"x": F.when(~F.col("equal"), F.col("o_base")), "y": F.when(~F.col("equal"), F.col("h_base"))})
+    likeness = F.when(F.col("equal"), 1.0).otherwise(F.coalesce("ratio", F.lit(0.0)))
+    told = agreed.withColumn("ratio", matching_blocks_ratio("x", "y", once=True)).select("o_title", "h_title", F.struct("equal", likeness.alias("likeness")).alias("score"))
+    return pairs.join(written(told), ["o_title", "h_title"]).drop("o_title", "h_title")
 
 
 def matched(official: DataFrame, held: DataFrame) -> DataFrame:
-    """o, h (release and seq of either end) and the pass that joined them: ids, position or title."""
-    o = checkpointed(official_positions(official).withColumn("o", F.struct("release_id", "seq")))
-    h = checkpointed(held_positions(held).withColumn("h", F.struct("release_id", "seq")))
-
-    at = o.select("release_id", "o", F.explode("keys").alias("key")).join(h.select("release_id", "h", F.explode("keys").alias("key")), ["release_id", "key"]).select("o", "h").distinct()
-    at = checkpointed(at)
-    placed = at.withColumn("at", F.lit(True))
-    by_track = o.select("release_id", "o", F.col("track_id").alias("id")).join(h.select("release_id", "h", F.explode("track_ids").alias("id")), ["release_id", "id"])
-    named = by_track.select("h").distinct()
-    by_recording = o.select("release_id", "o", F.col("recording_id").alias("id")).join(h.select("release_id", "h", F.explode("recording_ids").alias("id")), ["release_id", "id"]).join(named, "h", "left_anti")
-    recorded = by_recording.select("o", "h").distinct().join(placed, ["o", "h"], "left")
+    """release_id, o and h (seq of either end) and the pass that joined them: ids, position or title.
+
+    Both tables are read several times. What passes leave is looked up by its numbers, and titles are compared elsewhere only
+    in releases in which both sides have some left."""
+    o = official_positions(official).withColumnRenamed("seq", "o")
+    o = o.withColumn("titles", F.array_distinct(F.array_compact(F.concat(F.array("title"), F.coalesce("alt_titles", F.array().cast("array<string>"))))))
+    h = held_positions(held).withColumnRenamed("seq", "h")
+    ends, of_o, of_h = ["release_id", "o", "h"], ["release_id", "o"], ["release_id", "h"]
+    free = lambda rows, taken, end: rows.join(taken.select(*end), end, "left_anti")
+    settled = lambda offers, how: written(greedy_assignment(offers, "o", "h", "score", within="release_id").select(*ends, F.lit(how).alias("pass")))
+
+    # only sorts of keys that files have are dealt, and a pair comes from the first key that both have, so no table of pairs is
+    # kept to find repeats; an end with one key meets once
+    sorts = [r.sort for r in h.select(F.explode(F.transform("keys", _sort)).alias("sort")).distinct().collect()]
+    o_keys = o.select(*of_o, "titles", F.filter("keys", lambda k: _sort(k).isin(sorts)).alias("keys"))
+    several = F.when(F.size("keys") > 1, F.col("keys"))
+    by_key = o_keys.select(*of_o, "titles", several.alias("o_keys"), F.explode("keys").alias("key")).join(h.select(*of_h, "title", several.alias("h_keys"), F.explode("keys").alias("key")), ["release_id", "key"])
+    at = written(by_key.filter(F.coalesce(F.col("key") == F.array_intersect("o_keys", "h_keys")[0], F.lit(True))).select(*ends, "titles", "title"))
+    placed = lambda pairs: pairs.join(at.join(pairs.select(*ends).distinct(), ends, "left_semi").select(*ends, F.lit(True).alias("at")), ends, "left")
+    by_track = written(o.select(*of_o, F.col("track_id").alias("id")).filter("id is not null").join(h.select(*of_h, F.explode("track_ids").alias("id")), ["release_id", "id"]).select(*ends).distinct())
+    named = by_track.select(*of_h).distinct()
+    by_recording = o.select(*of_o, F.col("recording_id").alias("id")).filter("id is not null").join(h.select(*of_h, F.explode("recording_ids").alias("id")), ["release_id", "id"]).select(*ends).distinct()
+    by_recording = written(free(by_recording, named, of_h).select(*ends))
+    recorded = placed(by_recording)
     # A repeated recording goes to the position that its file carries, where one of its tracks has that position.
-    somewhere = recorded.filter("at").select("h").distinct().withColumn("somewhere", F.lit(True))
-    recorded = recorded.join(somewhere, "h", "left").filter("at or somewhere is null").select("o", "h", F.lit(0).alias("track"))
-    ids = by_track.select("o", "h", F.lit(1).alias("track")).distinct().union(recorded).join(placed, ["o", "h"], "left")
-    ids = ids.select("o", "h", F.struct("track", F.coalesce("at", F.lit(False)).alias("at")).alias("score"))
-    first = checkpointed(greedy_assignment(ids, "o", "h", "score").select("o", "h", F.lit("ids").alias("pass")))
+    somewhere = recorded.filter("at").select(*of_h).distinct().withColumn("somewhere", F.lit(True))
+    recorded = recorded.join(somewhere, of_h, "left").filter("at or somewhere is null").select(*ends, F.lit(0).alias("track"))
+    ids = placed(written(by_track.withColumn("track", F.lit(1)).union(recorded)))
+    first = settled(ids.select(*ends, F.struct("track", F.coalesce("at", F.lit(False)).alias("at")).alias("score")), "ids")
 
     # A file whose ids name a track or recording of the release is no other track's.
-    known = named.union(by_recording.select("h")).distinct()
-    ours = _free(_titles(o, "o", F.concat(F.array("title"), F.coalesce("alt_titles", F.array().cast("array<string>")))), first, "o")
-    theirs = _free(_titles(h, "h", F.array("title")), first, "h").join(known, "h", "left_anti")
-    theirs = theirs.select("release_id", "h", F.col("base").alias("h_base"), F.col("version_type").alias("h_version_type"), F.col("version").alias("h_version"))
-    placed_pairs = at.join(ours.drop("release_id"), "o").join(theirs.drop("release_id"), "h")
-    untitled = _free(h, first, "h").filter("title is null or trim(title) rlike '^[0-9]*$'").join(known, "h", "left_anti").select("h")
-    bare = _free(at.join(untitled, "h"), first, "o").select("o", "h", F.struct(F.lit(True).alias("equal"), F.lit(1.0).alias("likeness")).alias("score"))
-    near = _scored(placed_pairs.join(untitled, "h", "left_anti")).filter(F.col("score.likeness") >= AT_POSITION)
-    second = greedy_assignment(near.unionByName(bare), "o", "h", "score").select("o", "h", F.lit("position").alias("pass"))
-    second = checkpointed(second)
+    known = written(named.union(by_recording.select(*of_h)).distinct())
+    left = free(free(free(at, first, of_o), first, of_h), known, of_h)
+    untitled = F.coalesce(F.trim("title").rlike("^[0-9]*$"), F.lit(True))
+    near = left.filter(~untitled).select(*ends, F.explode("titles").alias("o_title"), F.col("title").alias("h_title")).filter("o_title <> ''")
+    bare = left.filter(untitled).select(*ends, F.struct(F.lit(True).alias("equal"), F.lit(1.0).alias("likeness")).alias("score"))
+    second = settled(_scored(near).filter(F.col("score.likeness") >= AT_POSITION).select(*ends, "score").unionByName(bare), "position")
 
     done = first.union(second)
-    ours, theirs = _free(ours, second, "o"), _free(theirs, second, "h").join(untitled, "h", "left_anti")
-    blocked = _blocks(ours).join(_blocks(theirs.withColumnRenamed("h_base", "base")).withColumnRenamed("base", "h_base"), ["release_id", "block"]).drop("block").distinct()
-    far = _scored(blocked).filter(F.col("score.likeness") >= ELSEWHERE).join(placed, ["o", "h"], "left")
-    facts = far.join(h.select("h", (F.coalesce("number", F.lit(0)) > 0).alias("numbered"), F.col("disc_number").alias("h_disc")), "h").join(o.select("o", F.coalesce("disc_number", F.lit(1)).alias("disc")), "o")
+    spare = written(free(free(free(h.filter(~untitled).select(*of_h), first, of_h), second, of_h), known, of_h))
+    theirs = written(h.join(spare, of_h, "left_semi").select(*of_h, F.col("title").alias("h_title")))
+    missed = o.join(theirs.select("release_id").distinct(), "release_id", "left_semi").select(*of_o, F.explode("titles").alias("o_title"))
+    ours = written(free(free(missed, first, of_o), second.join(theirs.select("release_id").distinct(), "release_id", "left_semi"), of_o))
+    titles = written(_parsed(ours.select(F.col("o_title").alias("title")).union(theirs.select("h_title"))))
+    letters = _blocks(titles.select("name", "base")).select("name", "block")
+    blocked = _bases(ours, "o_title", letters).join(_bases(theirs, "h_title", letters), ["release_id", "block"]).select(*ends, "o_title", "h_title").distinct()
+    far = placed(written(_scored(written(blocked)).filter(F.col("score.likeness") >= ELSEWHERE).select(*ends, "score")))
+    facts = far.join(h.join(spare, of_h, "left_semi").select(*of_h, (F.coalesce("number", F.lit(0)) > 0).alias("numbered"), F.col("disc_number").alias("h_disc")), of_h)
+    facts = facts.join(o.join(ours.select(*of_o).distinct(), of_o, "left_semi").select(*of_o, F.coalesce("disc_number", F.lit(1)).alias("disc")), of_o)
     # A numbered file at another position needs the very title; a file tagged with another disc is another track.
-    fits = facts.filter("at or ((not numbered or score.equal) and (h_disc is null or h_disc = disc))").select("o", "h", "score")
-    third = greedy_assignment(fits, "o", "h", "score").select("o", "h", F.lit("title").alias("pass"))
-    return done.union(third)
+    fits = facts.filter("at or ((not numbered or score.equal) and (h_disc is null or h_disc = disc))").select(*ends, "score")
+    return done.union(settled(fits, "title"))
 
 
 def audit_tracks(official: DataFrame, held: DataFrame) -> DataFrame:
     """Every official track, found or missing, and every held row that no track took, as an extra."""
-    pairs = checkpointed(matched(official, held))
-    o = official.withColumn("o", F.struct("release_id", "seq")).join(pairs, "o", "left")
-    paths = held.select(F.struct("release_id", "seq").alias("h"), "path")
-    found = o.join(paths, "h", "left").select("release_id", F.col("seq").cast("long").alias("seq"), "title", F.when(F.col("h").isNull(), "missing").otherwise("found").alias("status"), F.lit(False).alias("is_extra"), "pass", "path")
-    spare = held.withColumn("h", F.struct("release_id", "seq")).join(pairs.select("h"), "h", "left_anti").join(official.select("release_id").distinct(), "release_id", "left_semi")
-    extra = spare.select("release_id", F.col("seq").cast("long").alias("seq"), "title", F.lit("found").alias("status"), F.lit(True).alias("is_extra"), F.lit(None).cast("string").alias("pass"), "path")
+    pairs = matched(official, held)
+    files = held.select("release_id", F.col("seq").alias("h"), "title", "path").join(pairs, ["release_id", "h"], "left")
+    found = official.select("release_id", F.col("seq").alias("o"), "title").join(files.filter("o is not null").select("release_id", "o", "pass", "path"), ["release_id", "o"], "left")
+    found = found.select("release_id", F.col("o").cast("long").alias("seq"), "title", F.when(F.col("pass").isNull(), "missing").otherwise("found").alias("status"), F.lit(False).alias("is_extra"), "pass", "path")
+    spare = files.filter("o is null").join(official.select("release_id").distinct(), "release_id", "left_semi")
+    extra = spare.select("release_id", F.col("h").cast("long").alias("seq"), "title", F.lit("found").alias("status"), F.lit(True).alias("is_extra"), F.lit(None).cast("string").alias("pass"), "path")
     return found.unionByName(extra)
 
 

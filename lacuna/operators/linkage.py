@@ -72,7 +72,7 @@ def _keys(values: DataFrame, column: str) -> DataFrame:
     """value and key of each distinct value that has a key."""
     # a key takes longer to make than a value to move, so distinct values are dealt to as many tasks as a shuffle has
     tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = values.select(F.col(column).alias("value")).filter("value is not null").distinct().repartition(tasks, "value")
+    some = values.select(F.col(column).alias("value")).filter("value is not null").distinct().repartition(tasks, F.xxhash64("value"))
     return _keyed(some, "value").filter("key <> ''")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.operators.components import connected_components
-from lacuna.operators.lineage import checkpointed, written
+from lacuna.operators.lineage import written
 
 
 def ascii_tokens(text: Column) -> Column:
@@ -103,10 +103,10 @@ def _in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 used_a.add(a)
                 used_b.add(b)
             taken.append(free)
-        yield batch.filter(pa.array(taken, pa.bool_())).select(["one", "two", "worth"])
+        yield batch.filter(pa.array(taken, pa.bool_())).drop_columns(["part", "a", "b"])
 
 
-def greedy_assignment(offers: DataFrame, left: str, right: str, score: str, most: int = 2_000_000) -> DataFrame:
+def greedy_assignment(offers: DataFrame, left: str, right: str, score: str, most: int = 2_000_000, within: str | None = None) -> DataFrame:
     """One-to-one pairs as if offers were taken by falling score (ties by left, then right) while both ends are free.
 
     A round takes all offers that are the best of both their ends, which is what the sequence would do, and drops the offers of
@@ -114,30 +114,39 @@ def greedy_assignment(offers: DataFrame, left: str, right: str, score: str, most
     through others, don't touch each other, so connected parts are settled apart: those of up to ``most`` offers by one pass
     of a task over each, which holds the ends that are taken and no offers. Larger ones go in rounds; each takes some, so it
     ends. Null ends take no part.
+
+    Ends may be numbers ``within`` a column that both ends of an offer share; offers are then dealt once a round, by this
+    column, and it comes before the ends in what is returned. Tables are written by column.
     """
-    order = [F.desc("worth"), F.col("one"), F.col("two")]
-    given = offers.select(F.col(left).alias("one"), F.col(right).alias("two"), F.col(score).alias("worth")).filter("one is not null and two is not null").distinct()
-    open_ = checkpointed(given.withColumn("a", F.xxhash64(F.lit("left"), "one")).withColumn("b", F.xxhash64(F.lit("right"), "two")))
-    first = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(*order))
-    taken = open_.select("one", "two", "worth").limit(0)
+    group = [within] if within else []
+    order, per = [F.desc("worth"), F.col("one"), F.col("two")], ["within"] if within else []
+    given = offers.select(*[F.col(c).alias("within") for c in group], F.col(left).alias("one"), F.col(right).alias("two"), F.col(score).alias("worth"))
+    given = given.filter(" and ".join(f"{c} is not null" for c in [*per, "one", "two"]))
+    first = lambda end: F.row_number().over(Window.partitionBy(*per, end).orderBy(*order))
+    gone = lambda end: F.max("best").over(Window.partitionBy(*per, end))
+    taken = None
 
     def settle_round(rows: DataFrame) -> DataFrame:
         nonlocal taken
-        best = checkpointed(rows.withColumn("nth", first("one")).withColumn("nth_of_two", first("two")).filter("nth = 1 and nth_of_two = 1").select("one", "two", "worth"))
-        taken = taken.union(best)
-        return checkpointed(rows.join(best.select("one"), "one", "left_anti").join(best.select("two"), "two", "left_anti").select(*rows.columns))
-
-    if not open_.isEmpty():
-        open_ = settle_round(open_)
+        marked = rows.withColumn("nth", first("one")).withColumn("best", (first("two") == 1) & (F.col("nth") == 1)).drop("nth")
+        marked = written(marked.withColumn("open", ~gone("two")).withColumn("open", F.col("open") & ~gone("one")).filter("best or open"))
+        best = marked.filter("best").select(*per, "one", "two", "worth")
+        taken = best if taken is None else taken.union(best)
+        return marked.filter("open").select(*per, "one", "two", "worth")
+
+    dealt = given.repartition("within") if within else given
+    open_ = settle_round(dealt.groupBy(*per, "one", "two").agg(F.max("worth").alias("worth")))
+    named = [*group, left, right, score]
     if open_.isEmpty():
-        return taken.toDF(left, right, score)
+        return taken.toDF(*named)
+    open_ = written(open_.withColumn("a", F.xxhash64(F.lit("left"), *per, "one")).withColumn("b", F.xxhash64(F.lit("right"), *per, "two")))
     parts = connected_components(open_.select("a", "b")).select(F.col("node").alias("a"), F.col("component").alias("part"))
-    open_ = checkpointed(open_.join(parts, "a"))
+    open_ = written(open_.join(parts, "a"))
     large = open_.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("part")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in taken.schema.fields)
-    small = open_.join(large, "part", "left_anti").select("part", "a", "b", "one", "two", "worth").repartition(int(offers.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
+    small = open_.join(large, "part", "left_anti").select("part", "a", "b", *per, "one", "two", "worth").repartition(int(offers.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
     taken = taken.union(small.sortWithinPartitions("part", *order).mapInArrow(_in_order, kinds))
-    open_ = checkpointed(open_.join(large, "part", "left_semi").select("one", "two", "worth"))
+    open_ = written(open_.join(large, "part", "left_semi").select(*per, "one", "two", "worth"))
     while not open_.isEmpty():
-        open_ = settle_round(open_)
-    return taken.toDF(left, right, score)
+        open_ = settle_round(open_.repartition("within") if within else open_)
+    return taken.toDF(*named)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.operators import audit, folders
 from lacuna.operators import linkage as linking
+from lacuna.operators.lineage import written
 from lacuna.plans.catalogue import query, t
 
 
@@ -54,10 +55,12 @@ SELECT l_orderkey AS release_id, count(*) AS expected, count(*) FILTER (flag <>
 FROM f GROUP BY 1""")
 def audited_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as releases, lines as tracks; files of returned lines are not held, the others are named as remasters."""
-    lines = t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min("l_returnflag").alias("flag"))
-    lines = lines.join(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    parts = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    lines = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").join(parts, "l_partkey")
+    # lines and their places are made where an order's lines are dealt to, and written once for both sides
+    lines = lines.repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber", "l_partkey", "p_name").agg(F.min("l_returnflag").alias("flag"))
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    tracks = lines.withColumn("place", place).withColumn("name", F.concat(F.col("p_name"), F.lit(" no "), F.col("l_partkey").cast("string")))
+    tracks = written(lines.select("l_orderkey", place.alias("place"), F.concat(F.col("p_name"), F.lit(" no "), F.col("l_partkey").cast("string")).alias("name"), "flag"))
     text, ids = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
     official = tracks.select(
         F.col("l_orderkey").alias("release_id"), F.col("place").alias("seq"), F.lit(1).alias("disc_number"), F.col("place").alias("track_position"), F.col("place").alias("absolute_position"),
