@@ -13,6 +13,8 @@ from lacuna.functions import readings as grammar
 from lacuna.operators.lineage import written
 from lacuna.operators.matching import matching_blocks_ratio
 
+#: Beginnings of expected keys up to which all tasks get them. Decides on the plan, not on its result.
+BEGINS = 200_000
 #: What a title with masked letters scores against the one that spells them out, and what an unbracketed version needs.
 MASKED, TAIL = 0.95, 0.90
 #: Versions of one type agree from this similarity on.
@@ -27,19 +29,21 @@ _ROW = {
 }
 
 
-def parsed(names: DataFrame, name: str, filename: bool, columns: Sequence[str] = tuple(_ROW), likeliest: bool = False) -> DataFrame:
+def parsed(names: DataFrame, name: str, filename: bool, columns: Sequence[str] = tuple(_ROW), likeliest: bool = False, begins: frozenset[str] | None = None) -> DataFrame:
     """name, n (0: the likeliest) and the parts of every reading of every distinct name; ``words`` are those of the whole
     title, ``lone`` its key if it could be a title that is a version's name. Null and empty names have no readings.
 
-    Only the ``columns`` are made and leave Python; with ``likeliest`` only the likeliest title of a name is read."""
-    of = grammar.first_reading if likeliest else grammar.readings
+    Only the ``columns`` are made and leave Python; with ``likeliest`` only the likeliest title of a name is read, with
+    ``begins`` none of which the key cannot begin so, see ``grammar.readings_from``."""
+    whole = grammar.first_reading if likeliest else grammar.readings
+    of = (lambda x: enumerate(whole(x, filename))) if begins is None else lambda x: grammar.readings_from(x, filename, begins)
     told = {"name": lambda x, n, r: x, "n": lambda x, n, r: n, "words": lambda x, n, r: grammar.title_key(r.title).split(), "lone": lambda x, n, r: grammar.lone(x, filename)}
     makers = [told.get(c) or (lambda x, n, r, c=c: getattr(r, c)) for c in columns]
     kinds = [pa.list_(pa.string()) if _ROW[c].startswith("array") else pa.int32() if _ROW[c] == "int" else pa.string() for c in columns]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(x, n, r) for x in batch.column(0).to_pylist() for n, r in enumerate(of(x, filename))]
+            rows = [(x, n, r) for x in batch.column(0).to_pylist() for n, r in of(x)]
             yield pa.RecordBatch.from_arrays([pa.array([make(*row) for row in rows], kind) for make, kind in zip(makers, kinds, strict=True)], list(columns))
 
     # a name takes longer to parse than to move, so names are dealt to as many tasks as a shuffle has
@@ -131,7 +135,10 @@ def same_titles(expected: DataFrame, title: str, offered: DataFrame, name: str)
     side = lambda rows, p: rows.select(F.col("name").alias(p), F.struct("n", "title").alias(f"{p}_reading"), F.coalesce("version_type", F.lit("")).alias("kind"), _compact("full").alias("key"))
     columns = ["name", "n", "title", "version_type", "full"]
     # expected titles are written, so that Spark knows whether they are few enough to go to the files
-    e, r = written(side(parsed(expected, title, False, columns), "e")), side(parsed(offered, name, True, columns), "r")
+    e = written(side(parsed(expected, title, False, columns), "e"))
+    # readings of files are not taken apart where no expected key begins like them, as long as these beginnings are few
+    begins = e.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(grammar.BEGIN)), lambda i: F.substr("key", F.lit(1), i))).alias("b")).distinct().limit(BEGINS + 1).collect()
+    r = side(parsed(offered, name, True, columns, begins=frozenset(x.b for x in begins) if len(begins) <= BEGINS else None), "r")
     best = e.join(r, ["kind", "key"]).groupBy("e", "r").agg(F.min(F.struct("e_reading", "r_reading")).alias("best"))
     return best.select(F.col("e").alias("title"), F.col("r").alias("name"), F.col("best.e_reading.title").alias("e_reading"), F.col("best.r_reading.title").alias("r_reading"))
 
