@@ -129,13 +129,17 @@ def greedy_assignment(offers: DataFrame, left: str, right: str, score: str, most
     def settle_round(rows: DataFrame) -> DataFrame:
         nonlocal taken
         marked = rows.withColumn("nth", first("one")).withColumn("best", (first("two") == 1) & (F.col("nth") == 1)).drop("nth")
+        if not within:
+            best = written(marked.filter("best").select("one", "two", "worth"))
+            taken = best if taken is None else taken.union(best)
+            return written(rows.join(best.select("one"), "one", "left_anti").join(best.select("two"), "two", "left_anti").select("one", "two", "worth"))
         marked = written(marked.withColumn("open", ~gone("two")).withColumn("open", F.col("open") & ~gone("one")).filter("best or open"))
         best = marked.filter("best").select(*per, "one", "two", "worth")
         taken = best if taken is None else taken.union(best)
         return marked.filter("open").select(*per, "one", "two", "worth")
 
-    dealt = given.repartition("within") if within else given
-    open_ = settle_round(dealt.groupBy(*per, "one", "two").agg(F.max("worth").alias("worth")))
+    dealt = (given.repartition("within") if within else given).groupBy(*per, "one", "two").agg(F.max("worth").alias("worth"))
+    open_ = settle_round(dealt if within else written(dealt))
     named = [*group, left, right, score]
     if open_.isEmpty():
         return taken.toDF(*named)
